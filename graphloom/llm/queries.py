@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from ..operators.versions import in_force
 from ..sources.tables import table
 from .bpe import encode_column
+from .neighbours import similar_pairs, usable_vectors
 from .packing import pack
 from .spans import SharedSpans
 from .terms import term_counts
 
 
+def p2_found(spark, d):
+    return similar_pairs(usable_vectors(table(spark, d, "nodes")), 64)
+
+
 def _texts(spark, d):
     """Summaries of nodes and contents of knowledge documents, rows in force only."""
     return (
@@ -46,7 +51,7 @@ def p8_shared(spark, d):
     return SharedSpans(docs).report(docs)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_shared)}
 
 _FORCE = "QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, ingest_no DESC) = 1"
 _TERMS = f"""
@@ -62,7 +67,15 @@ t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 g AS (SELECT doc_id, md5(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM t)),
 u AS (SELECT DISTINCT doc_id, h FROM g)
 """
+_VECTORS = f"""
+forced AS (SELECT id, embedding_csv FROM nodes WHERE id IS NOT NULL {_FORCE}),
+lists AS (SELECT id, list_transform(list_filter(list_transform(string_split(embedding_csv, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM forced),
+good AS (SELECT id, v::DOUBLE[64] AS v FROM lists WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (SELECT a.id AS x, b.id AS y, round(array_cosine_similarity(a.v, b.v), 6) AS cos FROM good a JOIN good b ON a.id <> b.id),
+top AS (SELECT * FROM c WHERE cos >= 0.92 QUALIFY row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) <= 5)
+"""
 SQL = {
+    "p2_found": f"WITH {_VECTORS} SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM top",
     "p5_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_counts": f"WITH {_TERMS} SELECT * FROM marked",
     "p8_found": f"WITH {_GRAMS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id",
