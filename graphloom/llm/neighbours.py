@@ -19,7 +19,7 @@ from ..operators.versions import in_force
 from ..plans.session import Workspace
 
 #: Links kept per vector, orders tried for the first graph, vectors per block, bits of an order.
-LINKS, ORDERS, BLOCK, BITS = 10, 6, 1024, 40
+LINKS, ORDERS, BLOCK, BITS = 8, 6, 1024, 40
 #: Members compared at once at one vector, and members from which a vector is dealt to several tasks.
 SLICE, HUB = 64, 4096
 #: Rounds end when fewer than this share of the links changed, at the latest after ROUNDS.
@@ -68,6 +68,12 @@ def _matrix(column, kind: str, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim)
 
 
+def _unit(short: np.ndarray) -> np.ndarray:
+    """Unit vectors of short forms."""
+    q = short.astype(np.float32)
+    return q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+
+
 def _orders(batches, dim: int, seed: int):
     planes = np.random.default_rng(seed).standard_normal((dim, ORDERS * BITS)).astype(np.float32)
     weights = (1 << np.arange(BITS, dtype=np.int64))[::-1]
@@ -110,7 +116,7 @@ def _blocks(batches, dim: int):
 
     def block(n):
         nonlocal cls, vec
-        c, v = np.array(cls[:n]), np.frombuffer(b"".join(vec[:n]), dtype="<f4").reshape(-1, dim)
+        c, v = np.array(cls[:n]), _unit(np.frombuffer(b"".join(vec[:n]), dtype="i1").reshape(-1, dim))
         cls, vec = cls[n:], vec[n:]
         s = v @ v.T
         np.fill_diagonal(s, -3)
@@ -195,8 +201,7 @@ def _meet(batches, dim: int, floor: float):
     for t in _sorted_groups(batches, 0):
         at = t.column(0).to_numpy()
         cls, least = t.column(1).to_numpy(), t.column(2).to_numpy()
-        q = _matrix(t.column(3), "i1", dim).astype(np.float32)
-        q /= np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+        q = _unit(_matrix(t.column(3), "i1", dim))
         bound = np.maximum(least, floor)
         starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         rows: list[tuple] = []
@@ -252,11 +257,12 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
     vecs = ws.cut(
         vectors.select("cls", "vec").mapInArrow(lambda b: _orders(b, dim, seed), "cls bigint, vec binary, short binary, place array<bigint>")
     )
+    ws.release()
     first = None
     for i in range(ORDERS):
         one = (
-            vecs.select(F.col("place")[i].alias("p"), "cls", "vec")
-            .repartitionByRange("p", "cls").sortWithinPartitions("p", "cls").select("cls", "vec")
+            vecs.select(F.col("place")[i].alias("p"), "cls", "short")
+            .repartitionByRange("p", "cls").sortWithinPartitions("p", "cls").select("cls", "short")
             .mapInArrow(lambda b: _blocks(b, dim), _LINK)
         )
         first = one if first is None else first.unionByName(one)
@@ -265,24 +271,32 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
     ws.release()
     slack = floor - 0.02  # what 8 bits per number may be off, with room
     for turn in range(ROUNDS):
-        ends = graph.select("cls", "nbr", "sim", "fresh").mapInArrow(_ends, "cls bigint, at bigint, fresh boolean").groupBy("cls", "at").agg(F.max("fresh").alias("fresh"))
-        if turn:
-            ends = ends.join(ends.where("fresh").select("at").distinct(), "at", "left_semi")
-        hubs = ends.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
-        sent = ends.select("cls", "at").join(
-            vecs.select("cls", "short").join(graph.select("cls", "sim").mapInArrow(_least, "cls bigint, least float"), "cls"), "cls"
+        ends = ws.cut(
+            graph.mapInArrow(_ends, "cls bigint, at bigint, fresh boolean").repartition("cls")
+            .groupBy("cls", "at").agg(F.max("fresh").alias("fresh"))
         )
-        dealt = sent.join(hubs, "at", "left").withColumn(
-            "salt", F.pmod(F.xxhash64("cls"), F.coalesce(F.ceil(F.col("n") / HUB), F.lit(1)).cast("long"))
+        hubs = ws.cut(ends.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > HUB))
+        met = ends if not turn else ends.join(ends.where("fresh").select("at").distinct(), "at", "left_semi")
+        sent = met.select("cls", "at").join(
+            vecs.select("cls", "short").join(graph.select("cls", "sim").mapInArrow(_least, "cls bigint, least float"), "cls"), "cls"
         )
+        if hubs.isEmpty():
+            dealt = sent.withColumn("salt", F.lit(0).cast("long"))
+        else:
+            dealt = sent.join(hubs, "at", "left").withColumn(
+                "salt", F.pmod(F.xxhash64("cls"), F.coalesce(F.ceil(F.col("n") / HUB), F.lit(1)).cast("long"))
+            )
         offers = (
             dealt.repartition("at", "salt").sortWithinPartitions("at", "salt").select("at", "cls", "least", "short")
             .mapInArrow(lambda b: _meet(b, dim, slack), _LINK)
         )
         old = graph
         kept = old.withColumn("fresh", F.expr("cast(repeat(char(0), length(fresh)) as binary)"))
+        offers = ws.cut(offers)
+        ws.release()
         graph = merge(kept.unionByName(offers))
-        ws.drop(old)
+        for t in (old, ends, hubs, offers):
+            ws.drop(t)
         ws.release()
         n = graph.agg(
             F.sum(F.length("fresh")).alias("all"),
@@ -303,6 +317,7 @@ def most_similar(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0,
     """
     ws = Workspace(vectors.sparkSession, "neighbours")
     members = ws.cut(vectors.select("id", F.xxhash64("vec").alias("cls"), "vec"))
+    ws.release()
     graph, vecs = neighbour_graph(ws, members.groupBy("cls").agg(F.min("vec").alias("vec")), dim, floor, seed)
     pairs = graph.select("cls", "nbr", "sim").mapInArrow(lambda b: _pairs(b, floor - 0.02), "a bigint, b bigint").distinct()
     v = vecs.select("cls", "vec")
