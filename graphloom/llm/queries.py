@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators.versions import in_force
 from ..sources.tables import table
 from .bpe import encode_column
+from .files import not_hand_written
+from .functions import function_pairs
 from .neighbours import similar_pairs, usable_vectors
 from .packing import pack
 from .spans import SharedSpans
@@ -17,6 +19,18 @@ def p2_found(spark, d):
     return similar_pairs(usable_vectors(table(spark, d, "nodes")), 64)
 
 
+def p3_found(spark, d):
+    return not_hand_written(table(spark, d, "nodes"), table(spark, d, "third_party_files")).select("id")
+
+
+def p4_found(spark, d):
+    return function_pairs(table(spark, d, "nodes")).select("id")
+
+
+def p4_pairs(spark, d):
+    return function_pairs(table(spark, d, "nodes"))
+
+
 def _texts(spark, d):
     """Summaries of nodes and contents of knowledge documents, rows in force only."""
     return (
@@ -51,7 +65,7 @@ def p8_shared(spark, d):
     return SharedSpans(docs).report(docs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_pairs, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_shared)}
 
 _FORCE = "QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, ingest_no DESC) = 1"
 _TERMS = f"""
