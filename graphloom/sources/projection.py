@@ -122,11 +122,11 @@ cu AS (SELECT *, r_name || '.' || n_name || '.' || layer AS ns,
   CASE WHEN layer = 'Tests' THEN 'tests/' || n_name || '/' || c_name || 'Tests.cs' ELSE 'src/' || layer || '/' || n_name || '/' || c_name || '.cs' END AS path,
   CASE WHEN layer = 'Tests' THEN 'Test' ELSE 'Source' END AS role
   FROM (SELECT *, {_case('c_mktsegment', _SEGMENT)} AS layer FROM customer JOIN w ON c_nationkey = n_nationkey)),
-st AS (SELECT o_custkey AS k, count(*) AS cnt, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY o_custkey),
+cst AS (SELECT o_custkey AS k, count(*) AS cnt, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY o_custkey),
 n AS (
 {_sql('region', id="'region:' || r_regionkey", name='r_name', type="'Namespace'", namespace='r_name', file_role="'Unknown'", project_context='r_name')}
 UNION ALL {_sql('w', id="'nation:' || n_nationkey", name='n_name', type="'Module'", namespace="r_name || '.' || n_name", file_path="'src/' || n_name || '/index.ts'", file_role="'Source'", project_context='r_name')}
-UNION ALL {_sql('cu LEFT JOIN st ON k = c_custkey', id="'customer:' || c_custkey", name='c_name', type="'Class'", namespace='ns', file_path='path', line_count='floor(abs(c_acctbal) / 10)', source_hash="CASE WHEN c_acctbal >= 0 THEN sha256(c_name) END", file_role='role', project_context='r_name', change_count='coalesce(cnt, 0)', created_at='lo', updated_at='hi')}
+UNION ALL {_sql('cu LEFT JOIN cst ON k = c_custkey', id="'customer:' || c_custkey", name='c_name', type="'Class'", namespace='ns', file_path='path', line_count='floor(abs(c_acctbal) / 10)', source_hash="CASE WHEN c_acctbal >= 0 THEN sha256(c_name) END", file_role='role', project_context='r_name', change_count='coalesce(cnt, 0)', created_at='lo', updated_at='hi')}
 UNION ALL {_sql('orders JOIN cu ON o_custkey = c_custkey', id="'order:' || o_orderkey", name="'order' || o_orderkey", type="'Method'", namespace='ns', file_path='path', line_count='floor(o_totalprice / 5000)', source_hash="sha256('order' || o_orderkey)", file_role='role', project_context='r_name', created_at='o_orderdate', updated_at='o_orderdate')}
 UNION ALL {_sql('part', id="'part:' || p_partkey", name="p_name || ' ' || p_partkey", type=_case('p_type', _PART_TYPE, "'Class'"), namespace=f"'Catalog.' || p_brand || '.' || ({_case('p_type', _PART)})", file_path=f"'src/' || ({_case('p_type', _PART)}) || '/' || p_brand || '/Part' || p_partkey || '.cs'", line_count='p_size * 10', source_hash='sha256(p_name)', file_role="'Source'", project_context="'Catalog'", external_kind="CASE WHEN p_type = 'SMALL' THEN 'DatabaseOperation' END", recognition="CASE WHEN p_type = 'SMALL' THEN p_size / 50.0 END")}
 UNION ALL {_sql('supplier JOIN w ON s_nationkey = n_nationkey', id="'supplier:' || s_suppkey", name='s_name', type="CASE WHEN s_suppkey % 2 = 0 THEN 'MessageTopic' ELSE 'DatabaseTable' END", namespace="r_name || '.' || n_name || '.Persistence'", file_role="'Unknown'", project_context='r_name')}),
