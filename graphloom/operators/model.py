@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 #: Vertex types.
 NODE_TYPES = [
     "Namespace", "Module", "File", "Class", "Interface", "Struct", "Enum", "Method", "Property", "Field", "Operator", "ApiEndpoint",
@@ -40,11 +38,11 @@ FORBIDDEN = [
     ("Core", "Application"), ("Core", "Infrastructure"), ("Core", "Presentation"), ("Application", "Infrastructure"), ("Application", "Presentation"),
 ]
 
-NODE_SCHEMA = T.StructType.fromDDL(
+NODE_SCHEMA = (
     "id string, name string, type string, namespace string, file_path string, line_number int, line_count int, summary string, source_hash string, "
     "file_role string, project_context string, change_count bigint, created_at timestamp, updated_at timestamp, properties map<string,string>"
 )
-EDGE_SCHEMA = T.StructType.fromDDL("src string, dst string, type string, confidence double")
+EDGE_SCHEMA = "src string, dst string, type string, confidence double"
 
 
 def sql_list(values) -> str:
