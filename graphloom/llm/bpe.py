@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -17,6 +18,8 @@ import regex
 
 #: Fixed value: the split pattern published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pattern over ASCII letters, digits and white space, for texts that have no other characters.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+", re.ASCII)
 DEFAULT_VOCABULARY = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
 #: Words remembered by one Python worker; when full the memory is emptied, which changes no result.
 MEMO_WORDS = 400_000
@@ -55,7 +58,11 @@ class TrieEncoder:
                 self.parts[t], self.rank[t] = (x, y), r
         self._fits: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.find = regex.compile(PATTERN).findall
+        self._any, self._ascii = regex.compile(PATTERN).findall, _ASCII.findall
+
+    def find(self, text: str) -> list[str]:
+        """The pieces of a text between which no merge reaches."""
+        return self._ascii(text) if text.isascii() else self._any(text)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the text of tokens a and b is encoded as exactly these two.
