@@ -144,6 +144,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _parse(batches, span: int):
+    """Factors of both texts of each pair, each parsed against the other."""
     last, block = None, None
     for b in batches:
         xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -151,17 +152,22 @@ def _parse(batches, span: int):
         out = []
         for i, (x, y) in enumerate(zip(xs, ys)):
             if x != last:
-                last, block = x, Block(tx[i].as_py(), span)
-            out += [(x, y, j, k, n) for k, j, n in block.factors(ty[i].as_py())]
+                last, text = x, tx[i].as_py()
+                block = Block(text, span)
+            other = ty[i].as_py()
+            found = block.factors(other)
+            if found:
+                out += [(y, x, *f) for f in found]
+                out += [(x, y, *f) for f in Block(other, span).factors(text)]
         cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["x", "y", "x_start", "y_start", "length"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cls", "other", "start", "other_start", "length"])
 
 
 class SharedSpans:
     """Spans of at least ``span`` code points that stand in more than one distinct text.
 
     ``members``: doc_id and class, a class being all documents with an equal text. ``factors``: for each pair
-    of classes x < y that share a span, the factors of y's text in x's. Only pairs of classes are worked on,
+    of classes that share a span, the factors of each text in the other. Only pairs of classes are worked on,
     copies are never paired with each other; texts shorter than the span (null and empty ones too) are left
     out. Classes are 64-bit hashes of the text.
     """
@@ -204,7 +210,7 @@ class SharedSpans:
             .repartition("x").sortWithinPartitions("x")
         )
         self.factors = ws.cut(
-            both.mapInArrow(lambda b: _parse(b, span), "x bigint, y bigint, x_start bigint, y_start bigint, length bigint")
+            both.mapInArrow(lambda b: _parse(b, span), "cls bigint, other bigint, start bigint, other_start bigint, length bigint")
         )
         for t in (pairs, wanted, texts):
             ws.drop(t)
@@ -216,7 +222,7 @@ class SharedSpans:
         ``members`` says the same without expanding copies.
         """
         m = self.members
-        linked = self.factors.select("x", "y").distinct()
+        linked = self.factors.where("cls < other").select(F.col("cls").alias("x"), F.col("other").alias("y")).distinct()
         across = (
             linked.join(m.select(F.col("cls").alias("x"), F.col("doc_id").alias("p")), "x")
             .join(m.select(F.col("cls").alias("y"), F.col("doc_id").alias("q")), "y")
@@ -227,7 +233,7 @@ class SharedSpans:
 
     def class_pairs(self) -> DataFrame:
         """One row per pair of classes that share a span: number of factors, longest one."""
-        return self.factors.groupBy("x", "y").agg(F.count("*").alias("factors"), F.max("length").alias("longest"))
+        return self.factors.where("cls < other").groupBy("cls", "other").agg(F.count("*").alias("factors"), F.max("length").alias("longest"))
 
     def report(self, docs: DataFrame) -> DataFrame:
         """Per document: code points, code points that lie in a shared span, links to other classes, copies.
@@ -235,12 +241,9 @@ class SharedSpans:
         A document with an equal copy of at least the span's length is shared throughout. Null texts have 0
         code points.
         """
-        f = self.factors
-        parts = f.select(F.col("x").alias("cls"), F.col("y").alias("other"), F.col("x_start").alias("s"), "length").unionByName(
-            f.select(F.col("y").alias("cls"), F.col("x").alias("other"), F.col("y_start").alias("s"), "length")
-        )
+        parts = self.factors
         # At most one interval per start position of a text, whatever the number of partners.
-        longest = parts.groupBy("cls", "s").agg(F.max(F.col("s") + F.col("length")).alias("e"))
+        longest = parts.groupBy("cls", F.col("start").alias("s")).agg(F.max(F.col("start") + F.col("length")).alias("e"))
         before = Window.partitionBy("cls").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
         covered = (
             longest.withColumn("done", F.coalesce(F.max("e").over(before), F.lit(0)))
