@@ -181,12 +181,12 @@ _FILLER = {
     "the", "a", "an", "this", "that", "these", "to", "of", "for", "and", "or", "in", "on", "by", "with", "from", "is", "are", "be", "its", "it", "which", "will", "does", "do", "used",
     "method", "function", "func", "procedure", "routine", "member", "operation", "helper", "constructor", "property", "class", "field", "async", "asynchronously", "summary",
     "description", "describe", "handler", "implementation", "implement", "perform", "execute", "call", "called", "simple", "simply", "just", "given", "specified", "value", "object", "instance", "new", "static", "documentation", "doc",
+    "see", "also", "ref", "refs", "cf", "ticket", "issue", "bug", "commit", "jira", "fixes", "closes",
 }
 _POINTER = [
     re.compile(p)
     for p in (
-        r"https?://\S+", r"\[?\b[A-Za-z][A-Za-z0-9_]*-\d+\b\]?", r"\(?#\d+\)?", r"\((?:[0-9a-f]{5,40})\)", r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b",
-        r"(?i)\b(?:issue|ticket|bug|commit|pr|pull request|work item|revision|rev|change)\s*:?\s*#?\w*\d\w*", r"\b(?:[A-Z][a-z0-9]+){2,}\d+\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\d+\b",
+        r"https?://\S+", r"(?i)\b(?:issue|ticket|bug|commit|pr|pull request|work item|revision|rev|change)\s*:?\s*#?\w*\d\w*", r"\[?\b[A-Za-z][A-Za-z0-9_]*-\d+\b\]?", r"\(?#\d+\)?", r"\((?:[0-9a-f]{5,40})\)", r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b", r"\b(?:[A-Z][a-z0-9]+){2,}\d+\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\d+\b",
     )
 ]
 _SEE = re.compile(r"(?i)^(?:@see|see(?: also)?|cf\.?|refer(?:s)? to|compare|defined in|documented (?:in|at|by)|copied from|moved to|link(?:ed)? to|same as|like|equivalent to|overload of|wrapper (?:for|of|around)|implements?|overrides?)\s*:?\s*(?:the\s+)?[\w.$<>#:/()\[\]-]+(?:\s*\([^)]*\))?(?:\s+(?:instead|above|below|for (?:details|more|documentation)))?\s*[.!]?$")
@@ -206,7 +206,7 @@ def clean(comment: str) -> str:
     text = _INHERIT.sub(" ", text)
     text = _REF.sub(lambda m: " " + re.sub(r"^[A-Z]:", "", m[1]) + " ", text)
     text = re.sub(r"\{@(?:link|linkcode|code|linkplain)\s+([^}|]*)[^}]*\}", r" \1 ", text)
-    text = re.sub(r"(?m)^@(?:description|desc|summary|remarks|returns?|brief|fileoverview|example)\b", " ", text)
+    text = re.sub(r"(?m)^[ \t]*@(?:description|desc|summary|remarks|returns?|brief|fileoverview|example)\b", " ", text)
     text = re.sub(r"</?[A-Za-z][\w.:-]*(?:\s[^<>]*)?/?>", " ", text)
     return "\n".join(x for x in (re.sub(r"[ \t]+", " ", y).strip() for y in text.split("\n")) if x)
 
