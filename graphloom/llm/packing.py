@@ -66,10 +66,10 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], cap
         tf.append(c)
     lens = np.array([len(t) for t in term])
     start_of = np.concatenate(([0], np.cumsum(lens)))
-    term_all, doc_all, tf_all = np.concatenate(term), np.concatenate(doc), np.concatenate(tf).astype(np.float32)
+    term_all, doc_all, tf_all = np.concatenate(term), np.concatenate(doc), np.concatenate(tf)
     weight = idf[term_all] * (tf_all * (K1 + 1)) / (tf_all + K1 * (1 - B + B * sizes[doc_all] / mean))
     by_term = np.argsort(term_all, kind="stable")
-    post_doc, post_w = doc_all[by_term], weight[by_term].astype(np.float32)
+    post_doc, post_w = doc_all[by_term].astype(np.intp), weight[by_term].astype(np.float64)
     heads, first = np.unique(term_all[by_term], return_index=True)
     last = np.concatenate((first[1:], [len(by_term)]))
     slot = np.searchsorted(heads, term_all)  # the posting list of each (item, term)
@@ -88,9 +88,10 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], cap
         by_size, sorted_sizes = by_size[alive], sorted_sizes[alive]
         if len(by_size) and sorted_sizes[0] <= gap:
             s = slot[start_of[seed] : start_of[seed + 1]]
-            runs = last[s] - first[s]
-            at = np.repeat(first[s] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
-            score = np.bincount(post_doc[at], weights=post_w[at], minlength=n)
+            lists = [slice(a, b) for a, b in zip(first[s].tolist(), last[s].tolist())]
+            score = np.bincount(
+                np.concatenate([post_doc[x] for x in lists]), weights=np.concatenate([post_w[x] for x in lists]), minlength=n
+            )
             open_ = by_size[: np.searchsorted(sorted_sizes, gap, side="right")]
             near = open_[np.lexsort((ids[open_], -sizes[open_], -score[open_]))]
             near = near[score[near] > 0]
