@@ -351,3 +351,56 @@ def similar_pairs(vectors: DataFrame, dim: int, k: int = 5, floor: float = 0.92)
     """``id_a < id_b`` where one is among the other's ``k`` most similar and the cosine is at least ``floor``."""
     near = most_similar(vectors, dim, k, floor)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def _neighbours_of(batches):
+    """(query, neighbour) of every link of the vectors to be expanded."""
+    for b in batches:
+        nbr = [np.frombuffer(x, dtype="<i8") for x in b.column(1).to_pylist()]
+        q = np.repeat(b.column(0).to_numpy(), [len(x) for x in nbr])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate(nbr) if nbr else np.zeros(0, np.int64))], names=["q", "cls"])
+
+
+def _scores(batches, dim: int):
+    for b in batches:
+        x, y = (_matrix(b.column(i), "<f4", dim).astype(np.float64) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], names=["q", "cls", "cosine"])
+
+
+def graph_search(ws: Workspace, graph: DataFrame, vecs: DataFrame, queries: DataFrame, dim: int, k: int = 5, beam: int = 48, entries: int = 256, rounds: int = 16) -> DataFrame:
+    """``q, cls, cosine``: for each query (``q, vec``) the k best vectors found by greedy search on the graph.
+
+    All queries walk at once. A query starts at the nearest of ``entries`` vectors picked by hash, a bounded set,
+    and in each round looks at the links of the members of its beam that were not looked at; it ends when its
+    beam brings nothing new. What is compared is a few times the beam per query and round.
+    """
+    v = vecs.select("cls", "vec")
+    start = ws.cut(v.orderBy(F.xxhash64("cls")).limit(entries).select("cls", F.col("vec").alias("y")))
+    q = ws.cut(queries.select("q", F.col("vec").alias("x")))
+    best = Window.partitionBy("q").orderBy(F.desc("cosine"), "cls")
+    keep = lambda df: df.withColumn("n", F.row_number().over(best)).where(F.col("n") <= beam).drop("n")
+    scored = lambda df: df.select("q", "cls", "x", "y").mapInArrow(lambda b: _scores(b, dim), "q bigint, cls bigint, cosine double")
+    # A stated query set against a bounded set of entries.
+    state = ws.cut(keep(scored(q.join(F.broadcast(start), F.lit(True)))).withColumn("seen", F.lit(False)))
+    for _ in range(rounds):
+        todo = state.where("not seen").select("q", "cls")
+        found = todo.join(graph.select("cls", "nbr"), "cls").select("q", "nbr").mapInArrow(_neighbours_of, "q bigint, cls bigint").distinct()
+        new = found.join(state.select("q", "cls"), ["q", "cls"], "left_anti")
+        hits = scored(new.join(q, "q").join(v.withColumnRenamed("vec", "y"), "cls")).withColumn("seen", F.lit(False))
+        nxt = ws.cut(keep(state.withColumn("seen", F.lit(True)).unionByName(hits)))
+        ws.drop(state)
+        state = nxt
+        if state.where("not seen").isEmpty():
+            break
+    return keep(state).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "cls", F.round("cosine", 6).alias("cosine"))
+
+
+def search_vectors(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 5, seed: int = 7) -> DataFrame:
+    """``q, id, ids, cosine``: for each query (``q bigint, vec``) its k nearest distinct vectors, each with its
+    smallest id and the number of ids that share it. An empty index gives no rows."""
+    ws = Workspace(vectors.sparkSession, "search")
+    members = ws.cut(vectors.select("id", F.xxhash64("vec").alias("cls"), "vec"))
+    graph, vecs = neighbour_graph(ws, members.groupBy("cls").agg(F.min("vec").alias("vec")), dim, -1.0, seed)
+    hits = graph_search(ws, graph, vecs, queries, dim, k)
+    names = members.groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("ids"))
+    return hits.join(names, "cls").select("q", "id", "ids", "cosine")

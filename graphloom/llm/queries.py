@@ -9,7 +9,7 @@ from ..sources.tables import table
 from .bpe import encode_column
 from .files import not_hand_written
 from .functions import function_pairs
-from .neighbours import similar_pairs, usable_vectors
+from .neighbours import search_vectors, similar_pairs, usable_vectors
 from .packing import pack
 from .spans import SharedSpans
 from .terms import term_counts
@@ -19,6 +19,13 @@ def p2_found(spark, d):
     return similar_pairs(usable_vectors(table(spark, d, "nodes")), 64)
 
 
+def p2_search(spark, d):
+    """Nearest vectors of every node in force whose ingest number is divisible by 100, by search on the graph."""
+    vectors = usable_vectors(table(spark, d, "nodes"))
+    last = in_force(table(spark, d, "nodes"), [F.col("ingest_no").alias("q")]).where("q % 100 = 0")
+    return search_vectors(vectors, vectors.join(last, "id").select("q", "vec"), 64)
+
+
 def p3_found(spark, d):
     return not_hand_written(table(spark, d, "nodes"), table(spark, d, "third_party_files")).select("id")
 
@@ -65,7 +72,7 @@ def p8_shared(spark, d):
     return SharedSpans(docs).report(docs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_pairs, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_search, p3_found, p4_found, p4_pairs, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_shared)}
 
 _FORCE = "QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, ingest_no DESC) = 1"
 _TERMS = f"""
