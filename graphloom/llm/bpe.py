@@ -44,7 +44,11 @@ class TrieEncoder:
         self.length = [0] * self.size
         for b, i in self.ids.items():
             self.length[i] = len(b)
-        self.longest = max(self.length)
+        # The longest token that ends in two given bytes: no longer one needs to be tried.
+        self.reach: dict[bytes, int] = {}
+        for b in self.ids:
+            if len(b) > self.reach.get(b[-2:], 1):
+                self.reach[b[-2:]] = len(b)
         # Merges in order: rank and both parts of each merged token.
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: list[tuple[int, int] | None] = [None] * self.size
@@ -64,19 +68,12 @@ class TrieEncoder:
         """The pieces of a text between which no merge reaches."""
         return self._ascii(text) if text.isascii() else self._any(text)
 
-    def fits(self, a: int, b: int) -> bool:
+    def _stands(self, a: int, b: int) -> bool:
         """Whether the text of tokens a and b is encoded as exactly these two.
 
         Undo the merges of both tokens in reverse order of rank; the pair stands unless at some time the two
         tokens at the seam would have been merged before the merge undone last.
         """
-        key = a * self.size + b
-        known = self._fits.get(key)
-        if known is None:
-            known = self._fits[key] = self._stands(a, b)
-        return known
-
-    def _stands(self, a: int, b: int) -> bool:
         rank, parts, never = self.rank, self.parts, len(self.merged) + 1
         limit, tie = never, False
         while True:
@@ -94,21 +91,34 @@ class TrieEncoder:
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Encodings of sorted distinct non-empty words, in the same order."""
-        ids, length, fits, longest = self.ids, self.length, self.fits, self.longest
+        get, length, reach, size, known, stands = self.ids.get, self.length, self.reach.get, self.size, self._fits, self._stands
         out = []
         last: list[int] = [-1]  # last token of each prefix of the word at hand
         before = b""
         for w in words:
+            whole = get(w)
+            if whole is not None:  # every token is the encoding of its own bytes
+                out.append((whole,))
+                continue
             n, k, most = len(w), 0, min(len(w), len(before))
             while k < most and w[k] == before[k]:
                 k += 1
             del last[k + 1 :]
             for i in range(k + 1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    t = ids.get(w[j:i])
-                    if t is not None and (j == 0 or fits(last[j], t)):
-                        last.append(t)
-                        break
+                far = reach(w[i - 2 : i], 1) if i > 1 else 1
+                for j in range(i - far if i > far else 0, i):
+                    t = get(w[j:i])
+                    if t is None:
+                        continue
+                    if j:
+                        key = last[j] * size + t
+                        ok = known.get(key)
+                        if ok is None:
+                            ok = known[key] = stands(last[j], t)
+                        if not ok:
+                            continue
+                    last.append(t)
+                    break
             before = w
             tokens, i = [], n
             while i:
