@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import Workspace
+
 NO_DAY = "0001-01-01"
 
 
@@ -27,6 +29,33 @@ def reference_ends(
     )
 
 
+def _state(refs: DataFrame, marks: DataFrame, slot: str) -> DataFrame:
+    """What is known of each referenced (id, slot): the last index and deletion before the slot, and whether
+    there is one within it (busy). ``marks``: id, slot, t, up. Times of a slot are combined before the shuffle,
+    so the window over an id holds one row per slot of the calendar, however often the id is referred to."""
+    up, down = F.when(F.col("up"), F.col("t")), F.when(~F.col("up"), F.col("t"))
+    per_slot = (
+        refs.select("id", slot).distinct()
+        .select("id", slot, F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("boolean").alias("up"), F.lit(1).alias("ref"))
+        .unionByName(marks.select("id", slot, "t", "up", F.lit(0).alias("ref")))
+        .groupBy("id", slot)
+        .agg(F.max(up).alias("up_s"), F.max(down).alias("down_s"), F.max("ref").alias("ref"))
+    )
+    before = Window.partitionBy("id").orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        per_slot.select(
+            "id", slot, "ref",
+            F.max("up_s").over(before).alias("up0"),
+            F.max("down_s").over(before).alias("down0"),
+            (F.col("up_s").isNotNull() | F.col("down_s").isNotNull()).alias("busy"),
+        )
+        .where("ref = 1")
+        # What is present throughout the slot needs no further look.
+        .where("busy or up0 is null or down0 > up0")
+        .select("id", slot, "up0", "down0", "busy")
+    )
+
+
 def missing_references(
     edges: DataFrame,
     nodes: DataFrame,
@@ -43,9 +72,10 @@ def missing_references(
 
     Distinct (id, day) keys of the references are taken first (combined before the shuffle, so a popular id
     costs one key per day) and anti-joined with the distinct parent keys. Keys that have a parent get the
-    state at the start of the day from a running maximum over that id's days. Only where a parent was indexed
-    or deleted on the very day of a reference are single rows compared, within (id, day). The verdict per
-    (id, day) is joined back to the references; a hot id is spread over its days.
+    state at the start of the day from a running maximum over that id's days, and the verdict is joined back to
+    the references. References on a day with an index or deletion of their id are decided in the same way by the
+    minute, and only those of such a minute row by row, within (id, minute). So a hot id is spread over its days,
+    a hot day over its minutes.
 
     Null or blank ids are no references. A reference without a time is present only in ``fixed``, because no
     row is known to precede it. Nodes or deletions with a null id or time prove nothing. Equal rows count
@@ -58,61 +88,45 @@ def missing_references(
     gone = deletions.where(F.col("node_id").isNotNull() & F.col("deleted_at").isNotNull()).select(
         F.col("node_id").alias("id"), F.col("deleted_at").alias("t"), F.lit(False).alias("up")
     )
+    minute = lambda df: df.withColumn("minute", F.date_trunc("minute", "t"))
     marks = seen.unionByName(gone).withColumn("day", F.to_date("t"))
-    up, down = F.when(F.col("up"), F.col("t")), F.when(~F.col("up"), F.col("t"))
 
     keys = refs.select("id", "day").distinct()
     always = fixed.where(F.col("id").isNotNull()).select("id").distinct()
     known = seen.select("id").distinct()
     wanted = keys.join(always, "id", "left_anti")
+    none = F.lit(None).cast("timestamp")
     never = wanted.join(known, "id", "left_anti").select(
-        "id", "day", F.lit(None).cast("timestamp").alias("up0"), F.lit(None).cast("timestamp").alias("down0"),
-        F.lit(False).alias("busy"), F.lit(True).alias("never"),
-    )
-
-    per_day = (
-        wanted.join(known, "id", "left_semi")
-        .select("id", "day", F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("boolean").alias("up"), F.lit(1).alias("ref"))
-        .unionByName(marks.select("id", "day", "t", "up", F.lit(0).alias("ref")))
-        .groupBy("id", "day")
-        .agg(F.max(up).alias("up_d"), F.max(down).alias("down_d"), F.max("ref").alias("ref"))
-    )
-    before = Window.partitionBy("id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    state = (
-        per_day.select(
-            "id", "day", "ref",
-            F.max("up_d").over(before).alias("up0"),
-            F.max("down_d").over(before).alias("down0"),
-            (F.col("up_d").isNotNull() | F.col("down_d").isNotNull()).alias("busy"),
-        )
-        .where("ref = 1")
-        .select("id", "day", "up0", "down0", "busy", F.lit(False).alias("never"))
-        .unionByName(never)
+        "id", "day", none.alias("up0"), none.alias("down0"), F.lit(False).alias("busy"), F.lit(True).alias("never")
     )
-    # What is present all day needs no further look.
-    state = state.where("never or busy or up0 is null or down0 > up0")
-    judged = refs.join(state, ["id", "day"])
-
-    quiet = judged.where("not busy").select("row_no", "side", "id", "t", "up0", "never")
-    busy = judged.where("busy")
-    both = busy.select(
-        "id", "day", "t", "row_no", "side", "up0", "down0",
-        F.lit(None).cast("timestamp").alias("up_t"), F.lit(None).cast("timestamp").alias("down_t"),
+    ws = Workspace(edges.sparkSession, "references")
+    state = ws.cut(_state(wanted.join(known, "id", "left_semi"), marks, "day").withColumn("never", F.lit(False)).unionByName(never))
+    by_day = refs.join(state, ["id", "day"])
+    out = ["row_no", "side", "id", "t", "up0", "never"]
+    quiet = by_day.where("not busy").select(*out)
+
+    busy = ws.cut(minute(refs.join(state.where("busy").select("id", "day"), ["id", "day"], "left_semi").select("row_no", "side", "id", "t")))
+    theirs = minute(marks.join(busy.select("id").distinct(), "id", "left_semi"))
+    by_minute = busy.join(_state(busy, theirs, "minute"), ["id", "minute"])
+    still = by_minute.where("not busy").select("row_no", "side", "id", "t", "up0", F.lit(False).alias("never"))
+
+    close = by_minute.where("busy")
+    both = close.select(
+        "id", "minute", "t", "row_no", "side", "up0", "down0", none.alias("up_t"), none.alias("down_t")
     ).unionByName(
-        marks.join(busy.select("id", "day").distinct(), ["id", "day"], "left_semi").select(
-            "id", "day", "t", F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("string").alias("side"),
-            F.lit(None).cast("timestamp").alias("up0"), F.lit(None).cast("timestamp").alias("down0"),
-            up.alias("up_t"), down.alias("down_t"),
+        theirs.join(close.select("id", "minute").distinct(), ["id", "minute"], "left_semi").select(
+            "id", "minute", "t", F.lit(None).cast(close.schema["row_no"].dataType).alias("row_no"), F.lit(None).cast("string").alias("side"),
+            none.alias("up0"), none.alias("down0"), F.when(F.col("up"), F.col("t")).alias("up_t"), F.when(~F.col("up"), F.col("t")).alias("down_t"),
         )
     )
-    until = Window.partitionBy("id", "day").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    close = (
+    until = Window.partitionBy("id", "minute").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    row_by_row = (
         both.withColumn("up1", F.greatest("up0", F.max("up_t").over(until)))
         .withColumn("down1", F.greatest("down0", F.max("down_t").over(until)))
         .where("side is not null and (up1 is null or down1 > up1)")
         .select("row_no", "side", "id", "t", F.col("up1").alias("up0"), F.lit(False).alias("never"))
     )
-    return quiet.unionByName(close).select(
+    return quiet.unionByName(still).unionByName(row_by_row).select(
         "row_no", "side", "id", "t",
         F.when(F.col("never"), "never").when(F.col("up0").isNull(), "later").otherwise("deleted").alias("reason"),
     )
