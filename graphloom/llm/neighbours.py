@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from ..operators.versions import in_force
 from ..plans.session import Workspace
 
-#: Links kept per vector, orders tried for the first graph, vectors per block, bits of an order.
-LINKS, ORDERS, BLOCK, BITS = 8, 6, 1024, 40
+#: Links kept per vector if only near pairs are asked for (from a cosine of NEAR), and if pairs of any cosine are.
+LINKS, MORE_LINKS, NEAR = 8, 16, 0.8
+#: Orders tried for the first graph, vectors per block, bits of an order.
+ORDERS, BLOCK, BITS = 6, 1024, 40
 #: Members compared at once at one vector, and members from which a vector is dealt to several tasks.
 SLICE, HUB = 64, 4096
 #: Rounds end when fewer than this share of the links changed, at the latest after ROUNDS.
@@ -110,7 +112,7 @@ def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.take_along_axis(s, at, 1)
 
 
-def _blocks(batches, dim: int):
+def _blocks(batches, dim: int, links: int):
     """Links within consecutive runs of about BLOCK rows of a sorted partition."""
     cls, vec = [], []
 
@@ -120,7 +122,7 @@ def _blocks(batches, dim: int):
         cls, vec = cls[n:], vec[n:]
         s = v @ v.T
         np.fill_diagonal(s, -3)
-        at, sim = _best(s, LINKS)
+        at, sim = _best(s, links)
         return _links(c, c[at], sim, np.ones(sim.shape, dtype=bool))
 
     for b in batches:
@@ -148,8 +150,8 @@ def _sorted_groups(batches, key: int):
         yield rest
 
 
-def _merge(batches):
-    """The LINKS best distinct links of each vector, from several rows of links per vector sorted by vector.
+def _merge(batches, links: int):
+    """The ``links`` best distinct links of each vector, from several rows of links per vector sorted by vector.
 
     A link is fresh if no earlier graph had it: old rows have fresh = 0, which wins over an offer.
     """
@@ -166,7 +168,7 @@ def _merge(batches):
         order = np.lexsort((nbr, -sim, cls))
         cls, nbr, sim, fresh = cls[order], nbr[order], sim[order], fresh[order]
         heads, start, count = np.unique(cls, return_index=True, return_counts=True)
-        kept = np.minimum(count, LINKS)
+        kept = np.minimum(count, links)
         cut = lambda a, d: [a[s : s + k].astype(d).tobytes() for s, k in zip(start, kept)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(heads), pa.array(cut(nbr, "<i8"), pa.binary()), pa.array(cut(sim, "<f4"), pa.binary()), pa.array(cut(fresh, "u1"), pa.binary())],
@@ -188,11 +190,11 @@ def _ends(batches):
         )
 
 
-def _least(batches):
+def _least(batches, links: int):
     """The least similarity among the links of each vector with all its links, else -1."""
     for b in batches:
         sim = [np.frombuffer(s, dtype="<f4") for s in b.column(1).to_pylist()]
-        least = np.array([s.min() if len(s) >= LINKS else -1.0 for s in sim], dtype=np.float32)
+        least = np.array([s.min() if len(s) >= links else -1.0 for s in sim], dtype=np.float32)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least)], names=["cls", "least"])
 
 
@@ -254,6 +256,7 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
     caller who asks for pairs of at least that cosine has no use for; links of the first graph are kept at any
     cosine, for the joins to walk on. Comparisons in the rounds use 8 bits per number.
     """
+    links = LINKS if floor >= NEAR else MORE_LINKS
     vecs = ws.cut(
         vectors.select("cls", "vec").mapInArrow(lambda b: _orders(b, dim, seed), "cls bigint, vec binary, short binary, place array<bigint>")
     )
@@ -263,10 +266,10 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
         one = (
             vecs.select(F.col("place")[i].alias("p"), "cls", "short")
             .repartitionByRange("p", "cls").sortWithinPartitions("p", "cls").select("cls", "short")
-            .mapInArrow(lambda b: _blocks(b, dim), _LINK)
+            .mapInArrow(lambda b: _blocks(b, dim, links), _LINK)
         )
         first = one if first is None else first.unionByName(one)
-    merge = lambda df: ws.cut(df.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merge, _LINK))
+    merge = lambda df: ws.cut(df.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _merge(b, links), _LINK))
     graph = merge(first)
     ws.release()
     slack = floor - 0.02  # what 8 bits per number may be off, with room
@@ -278,7 +281,7 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
         hubs = ws.cut(ends.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > HUB))
         met = ends if not turn else ends.join(ends.where("fresh").select("at").distinct(), "at", "left_semi")
         sent = met.select("cls", "at").join(
-            vecs.select("cls", "short").join(graph.select("cls", "sim").mapInArrow(_least, "cls bigint, least float"), "cls"), "cls"
+            vecs.select("cls", "short").join(graph.select("cls", "sim").mapInArrow(lambda b: _least(b, links), "cls bigint, least float"), "cls"), "cls"
         )
         if hubs.isEmpty():
             dealt = sent.withColumn("salt", F.lit(0).cast("long"))
