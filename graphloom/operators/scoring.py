@@ -296,3 +296,94 @@ def feature_path(nodes: DataFrame, query_terms: list[str], limit: int = 20) -> D
         s = s + F.when(name.contains(t), 6).otherwise(0) + F.when(text.contains(t), 2).otherwise(0) + F.when(path.contains(t), 1).otherwise(0)
     l = layer(F.col("namespace"), F.col("file_path"))  # noqa: E741
     return nodes.select("id", s.cast("int").alias("score"), l.alias("layer")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def doctor_status(nodes: DataFrame, edges: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: nodes, nodes with a vector, call edges, diagnostics and documents."""
+    a = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "Diagnostic").alias("diagnostics"))
+    b = edges.agg(F.count_if(F.col("type") == "Calls").alias("call_edges"))
+    c, d = docs.agg(F.count("*").alias("documents")), nodes.select("id").join(vectors.select("id"), "id", "left_semi").agg(F.count("*").alias("embedded"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
+
+
+def with_trust(report: DataFrame, trust: DataFrame) -> DataFrame:
+    """A report with a warning column if the relationships behind it may be incomplete."""
+    note = F.when(F.col("confidence") != "High", F.concat(F.lit("relationship evidence is "), F.lower("confidence")))
+    return report.crossJoin(F.broadcast(trust.select(note.alias("warning"))))  # one row
+
+
+def context_pack(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 2) -> DataFrame:
+    """``part, id`` of a minimal context: the target, its callers, callees and interfaces, what it affects and needs, its tests."""
+    from .traverse import downstream, editing_context
+
+    tag = lambda df, p: df.select(F.lit(p).alias("part"), "id")
+    own = tag(nodes.where(F.col("id") == target), "target")
+    around = editing_context(nodes, edges, target).select(F.col("role").alias("part"), "id")
+    return (
+        own.unionByName(around).unionByName(tag(impact(nodes, edges, target, depth), "affected"))
+        .unionByName(tag(downstream(nodes, edges, target, depth), "needed")).unionByName(tag(related_tests(nodes, edges, target), "test"))
+    )
+
+
+def edit_route(nodes: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:
+    """Files to edit: the best match is the anchor, files linked with it by dependencies are companions, the rest context."""
+    surface = implementation_surface(nodes, terms)
+    ws = Workspace(nodes.sparkSession, "route")
+    surface = ws.cut(surface)
+    best = surface.orderBy(F.desc("score"), "file_path").limit(1).select("file_path")  # one row
+    file = nodes.where("file_path is not null").select("id", "file_path")
+    mine = file.join(F.broadcast(best), "file_path", "left_semi").select("id")
+    e = edges.where(F.col("type").isin(TRAVERSAL))
+    linked = (
+        e.join(mine.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+        .unionByName(e.join(mine.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))).distinct().join(file, "id").select("file_path").distinct()
+    )
+    j = surface.join(linked.withColumn("linked", F.lit(True)), "file_path", "left").join(best.withColumn("first", F.lit(True)), "file_path", "left")
+    return j.select("file_path", "score", F.when(F.coalesce("first", F.lit(False)), "anchor").when(F.coalesce("linked", F.lit(False)), "companion").otherwise("context").alias("role"))
+
+
+def implementation_patterns(nodes: DataFrame, edges: DataFrame, term: str, seeds: int = 24, seed_score: float = 0.55, limit: int = 10) -> DataFrame:
+    """``scope, id, score``: the best example of a pattern per scope, a namespace prefix of three parts.
+
+    Seeds match the term by name; of their neighbours, five kinds of evidence count 18 each (callers, callees,
+    interfaces, stores, entry points), direct tests 8 up to three, and entry, store and external 6 each. Two
+    kinds are needed. Low freshness costs 25, medium 6.
+    """
+    low = term.lower()
+    seed = nodes.where(F.lower("name").contains(low) & F.col("type").isin("Class", "Method", "Interface")).orderBy("name", "id").limit(seeds)
+    ws = Workspace(nodes.sparkSession, "patterns")
+    seed = ws.cut(seed)
+    ids = seed.select("id")
+    e = edges.where(F.col("type").isin([*TRAVERSAL]))
+    kinds = nodes.select(F.col("id").alias("other"), F.col("type").alias("kind"), test_role().alias("tests"))
+    near = (
+        e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", F.lit(True).alias("out"))
+        .unionByName(e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit(False).alias("out")))
+        .join(kinds, "other")
+    )
+    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    g = near.groupBy("id").agg(
+        any_(~F.col("out") & ~F.col("tests")).alias("callers"), any_(F.col("out")).alias("callees"), any_(F.col("out") & (F.col("type") == "Implements")).alias("bases"),
+        any_(F.col("kind").isin("DatabaseTable", "MessageTopic")).alias("store"), any_(F.col("kind") == "ApiEndpoint").alias("entry"), any_(F.col("kind") == "ExternalConcept").alias("external"),
+        F.least(F.count_if(~F.col("out") & F.col("tests")), F.lit(3)).alias("tests"),
+    )
+    kinds_found = F.col("callers") + F.col("callees") + F.col("bases") + F.col("store") + F.col("entry")
+    less = F.when(freshness() == "Low", 25).when(freshness() == "Medium", 6).otherwise(0)
+    score = F.round(F.lit(100 * seed_score)) + 18 * kinds_found + 8 * F.col("tests") + 6 * (F.col("entry") + F.col("store") + F.col("external")) - less
+    s = seed.join(g, "id").where(kinds_found >= 2)
+    s = s.select(F.coalesce(F.substring_index("namespace", ".", 3), F.lit("(none)")).alias("scope"), "id", score.cast("int").alias("score"))
+    best = s.groupBy("scope").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("id"))).alias("b")).select("scope", "b.id", "b.score")
+    return best.orderBy(F.desc("score"), "scope").limit(limit)
+
+
+#: Which analyses read the output of which.
+TOOL_LINKS = [
+    ("upsert_nodes", "extract_keywords"), ("upsert_nodes", "hotspots"), ("upsert_edges", "hotspots"), ("upsert_edges", "impact"), ("extract_keywords", "keyword_statistics"),
+    ("keyword_statistics", "classify_keywords"), ("classify_keywords", "related_by_keywords"), ("impact", "test_shield"), ("impact", "impact_confidence"), ("related_tests", "test_shield"),
+    ("violations", "erosion_timeline"), ("god_classes", "erosion_timeline"), ("pagerank", "risky_core"), ("bridges", "risky_core"), ("hotspots", "pull_request_report"),
+]
+
+
+def tool_dependencies(spark, tool: str) -> DataFrame:
+    """Analyses that read the output of one, a filter of a constant table."""
+    return spark.createDataFrame(TOOL_LINKS, "producer string, consumer string").where(F.col("producer") == tool)

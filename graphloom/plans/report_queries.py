@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import NEEDS_PATH, layer_sql
 from ..operators import algorithms as A
 from ..operators import frontend as W
 from ..operators import knowledge as K
@@ -11,6 +12,8 @@ from ..operators import mutations as M
 from ..operators import reader as Rd
 from ..operators import resolution as X
 from ..operators import scoring as C
+from ..operators import settings as Se
+from ..operators import structural as St
 from ..operators.model import COMMUNITY, STRUCTURAL, TRAVERSAL, sql_list
 from ..operators.traverse import editing_context, impact
 from ..sources.projection import INGEST_GRAPH_SQL, ORDER_GRAPH_SQL, ingest_graph, order_graph
@@ -234,7 +237,7 @@ t AS (SELECT f.file_path, (s + coalesce(plus, 0))::BIGINT AS score, nodes FROM f
 SELECT file_path, score, nodes, CASE WHEN score >= 12 THEN 'High' WHEN score >= 6 THEN 'Medium' ELSE 'Low' END AS confidence, row_number() OVER (ORDER BY score DESC, file_path) <= 5 AS is_primary FROM t""")
 _add("ref_C17_feature_path", ingest_graph, lambda n, e: C.feature_path(n, ["endpoint", "shipment"]), """
 , sc AS (SELECT id, namespace, file_path, 6 * contains(lower(coalesce(name, '')), 'endpoint')::INT + 2 * contains(lower(coalesce(summary, '')), 'endpoint')::INT + contains(lower(coalesce(file_path, '')), 'endpoint')::INT + 6 * contains(lower(coalesce(name, '')), 'shipment')::INT + 2 * contains(lower(coalesce(summary, '')), 'shipment')::INT + contains(lower(coalesce(file_path, '')), 'shipment')::INT AS score FROM gn)
-SELECT id, score, """ + __import__("graphloom.functions.columns", fromlist=["layer_sql"]).layer_sql() + " AS layer FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+SELECT id, score, """ + layer_sql() + " AS layer FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 _add("ref_C18_replace_surface", ingest_graph, lambda n, e: C.replace_surface(n, e, "tern-log"), f"""
 , m AS (SELECT id AS src, coalesce(array_to_string(string_split(namespace, '.')[1:2], '.'), '(none)') AS module FROM gn)
 SELECT module, count(DISTINCT ge.src) AS nodes, count(*) AS edges FROM ge JOIN m ON m.src = ge.src WHERE ge.type IN {sql_list(STRUCTURAL)} AND dst IN (SELECT id FROM gn WHERE contains(lower(name), 'tern-log') OR contains(lower(id), 'tern-log')) GROUP BY 1""")
@@ -245,7 +248,7 @@ SELECT id, min(dist)::INT AS dist, count(DISTINCT root) AS seeds FROM bfs WHERE
 _add("ref_C19_node_risk", order_graph, lambda n, e: C.node_risk(n.withColumn("line_number", F.lit(None).cast("int")), e, n.where("id like 'part:1%'")), f"""
 , {_VIOL}, fn AS (SELECT dst AS id, count(*) AS fan FROM e WHERE type IN {sql_list(STRUCTURAL)} GROUP BY 1), cv AS (SELECT DISTINCT dst AS id FROM e WHERE type = 'Calls' AND src IN (SELECT id FROM n WHERE {_TT})),
 p AS (SELECT n.id, (CASE WHEN fan >= 8 THEN 4 WHEN fan >= 3 THEN 2 WHEN fan > 0 THEN 1 ELSE 0 END + CASE WHEN cv.id IS NULL THEN 2 ELSE 0 END + CASE WHEN change_count >= 5 THEN 2 WHEN change_count >= 3 THEN 1 ELSE 0 END
- + 3 * (n.id IN (SELECT src FROM viol WHERE violation IS NOT NULL))::INT + (updated_at IS NULL OR (coalesce(trim(file_path), '') = '' AND type IN {sql_list(__import__("graphloom.functions.columns", fromlist=["NEEDS_PATH"]).NEEDS_PATH)}))::INT)::INT AS points FROM n LEFT JOIN fn ON fn.id = n.id LEFT JOIN cv ON cv.id = n.id WHERE n.id LIKE 'part:1%')
+ + 3 * (n.id IN (SELECT src FROM viol WHERE violation IS NOT NULL))::INT + (updated_at IS NULL OR (coalesce(trim(file_path), '') = '' AND type IN {sql_list(NEEDS_PATH)}))::INT)::INT AS points FROM n LEFT JOIN fn ON fn.id = n.id LEFT JOIN cv ON cv.id = n.id WHERE n.id LIKE 'part:1%')
 SELECT *, CASE WHEN points >= 8 THEN 'High' WHEN points >= 4 THEN 'Medium' ELSE 'Low' END AS risk FROM p""")
 _add("ref_C20_pull_request", order_graph, lambda n, e: C.pull_request_report(n, e, n.where(_CHG)))
 _add("ref_C25_file_reasons", order_graph, lambda n, e: C.file_reasons(n, editing_context(n, e, "customer:8")))
@@ -348,3 +351,62 @@ _raw("ref_J15_cascade_conflicts", lambda s, d: W.cascade_conflicts(_styles(s, d)
 _raw("ref_J16_specificity_warnings", lambda s, d: W.specificity_warnings(_styles(s, d)), f"WITH {_STY} SELECT file_path, property, target_kind, target, c.id AS stronger, s.id AS simple FROM d s JOIN d c USING (file_path, property, target_kind, target) WHERE s.selector = '.' || target AND c.spec > s.spec AND abs(c.so - s.so) <= 6 AND c.id <> s.id")
 _raw("ref_R13_near_duplicate_styles", lambda s, d: W.near_duplicate_styles(_styles(s, d)))
 _raw("ref_S15_table_accesses", lambda s, d: X.table_accesses(table(s, d, "nodes").where("source_snippet is not null").select(F.col("ingest_no").alias("id"), F.col("source_snippet").alias("text"))))
+
+# Status, packs, routes and patterns
+_raw("ref_R10_doctor_status", lambda s, d: (lambda n, e: C.doctor_status(n, e, documents(s, d), table(s, d, "nodes").where("embedding_csv is not null and id is not null").select("id")))(*ingest_graph(s, d)), f"WITH {INGEST_GRAPH_SQL}, {DOCS_SQL}" + """
+SELECT (SELECT count(*) FROM gn) AS nodes, (SELECT count(*) FROM gn WHERE type = 'Diagnostic') AS diagnostics, (SELECT count(*) FROM ge WHERE type = 'Calls') AS call_edges, (SELECT count(*) FROM kd) AS documents, (SELECT count(*) FROM gn WHERE id IN (SELECT id FROM nodes WHERE embedding_csv IS NOT NULL)) AS embedded""")
+_raw("ref_C24_with_trust", lambda s, d: C.with_trust(St.hotspots(*order_graph(s, d)).select("id", "fan_in"), X.relationship_trust(_runs(s, d))))
+_add("ref_C4_context_pack", order_graph, lambda n, e: C.context_pack(n, e, "part:5", 2))
+_add("ref_C15_edit_route", ingest_graph, lambda n, e: C.edit_route(n, e, ["route", "index"]))
+_add("ref_C10_implementation_patterns", order_graph, lambda n, e: C.implementation_patterns(n.withColumn("line_number", F.lit(None).cast("int")), e, "large"))
+_raw("ref_C22_tool_dependencies", lambda s, d: C.tool_dependencies(s, "impact"), "SELECT 'impact' AS producer, unnest(['test_shield', 'impact_confidence']) AS consumer")
+
+# Settings: event properties as JSON files; a graph of configuration from parts and suppliers
+_raw("ref_S8_S9_settings", lambda s, d: Se.settings(table(s, d, "events").select(F.concat(F.lit("e"), "event_id", F.lit(".json")).alias("path"), F.col("props").alias("content"))), """
+SELECT 'e' || event_id || '.json' AS path, 'k' AS raw_key, 'k' AS key, left(json_extract_string(props, '$.k'), 80) AS preview FROM events""")
+
+
+def _config(s, d):
+    p, sup = table(s, d, "part").where("p_partkey < 3000"), table(s, d, "supplier")
+    key = F.concat_ws(":", F.lower("p_type"), F.concat(F.lit("s"), (F.col("p_size") % 5).cast("string")))
+    n = (
+        p.select(F.concat(F.lit("file:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit("ConfigurationFile").alias("type"), F.concat("p_brand", F.lit(".json")).alias("file_path")).distinct()
+        .unionByName(p.select(F.concat(F.lit("entry:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("ConfigurationEntry").alias("type"), F.lit(None).cast("string").alias("file_path")))
+        .unionByName(p.select(F.concat(F.lit("key:"), key).alias("id"), key.alias("name"), F.lit("ConfigurationKey").alias("type"), F.lit(None).cast("string").alias("file_path")).distinct())
+        .unionByName(p.select(F.concat(F.lit("key:"), F.lower("p_type")).alias("id"), F.lower("p_type").alias("name"), F.lit("ConfigurationKey").alias("type"), F.lit(None).cast("string").alias("file_path")).distinct())
+        .unionByName(sup.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("Class").alias("type"), F.concat(F.lit("src/"), "s_name").alias("file_path")))
+    ).withColumn("line_number", F.lit(1))
+    k = F.col("s_suppkey")
+    leaf = F.concat(F.lit("key:"), F.element_at(F.array(*[F.lit(x) for x in ("economy", "promo", "small")]), (k % 3 + 1).cast("int")), F.lit(":s"), (k % 5).cast("string"))
+    sect = F.concat(F.lit("key:"), F.element_at(F.array(*[F.lit(x) for x in ("economy", "promo", "small")]), (k % 3 + 1).cast("int")))
+    e = (
+        p.select(F.concat(F.lit("file:"), "p_brand").alias("src"), F.concat(F.lit("entry:"), "p_partkey").alias("dst"), F.lit("DefinesConfig").alias("type"), F.lit(1.0).alias("confidence"))
+        .unionByName(p.select(F.concat(F.lit("entry:"), "p_partkey").alias("src"), F.concat(F.lit("key:"), key).alias("dst"), F.when(F.col("p_partkey") % 2 == 0, "DefinesConfig").otherwise("OverridesConfig").alias("type"), F.lit(1.0).alias("confidence")))
+        .unionByName(sup.select(F.concat(F.lit("supplier:"), k).alias("src"), leaf.alias("dst"), F.lit("ReadsConfig").alias("type"), ((k % 10) / 10.0).alias("confidence")))
+        .unionByName(sup.select(F.concat(F.lit("supplier:"), k).alias("src"), sect.alias("dst"), F.lit("BindsConfig").alias("type"), F.when(k % 4 > 0, (k % 10) / 10.0).alias("confidence")))
+    )
+    return n, e
+
+
+_CFG = """p AS (SELECT *, lower(p_type) || ':s' || p_size % 5 AS key FROM part WHERE p_partkey < 3000), su AS (SELECT *, ['economy', 'promo', 'small'][s_suppkey % 3 + 1] AS sec FROM supplier)"""
+_raw("ref_J4_config_definitions", lambda s, d: Se.definitions(*_config(s, d), "Promo:S1"), f"""WITH {_CFG}
+SELECT 'file:' || p_brand AS file, 'entry:' || p_partkey AS entry, 'key:' || key AS key, CASE WHEN p_partkey % 2 = 0 THEN 'DefinesConfig' ELSE 'OverridesConfig' END AS relation FROM p WHERE key = 'promo:s1' ORDER BY p_brand || '.json', p_name, 'entry:' || p_partkey LIMIT 100""")
+_raw("ref_J5_config_usages", lambda s, d: Se.usages(*_config(s, d), "promo:s1"), f"""WITH {_CFG},
+u AS (SELECT 'supplier:' || s_suppkey AS src, 'key:' || sec || ':s' || s_suppkey % 5 AS dst, 'ReadsConfig' AS type, s_suppkey % 10 / 10.0 AS raw, s_suppkey % 10 / 10.0 AS confidence, s_name FROM su WHERE sec = 'promo' AND s_suppkey % 5 = 1
+ UNION ALL SELECT 'supplier:' || s_suppkey, 'key:' || sec, 'BindsConfig', CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 10 / 10.0 END, least(coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 10 / 10.0 END, 0.75), 0.75), s_name FROM su WHERE sec = 'promo')
+SELECT src, dst, type, confidence::DOUBLE AS confidence FROM u ORDER BY coalesce(raw, 0) DESC, 'src/' || s_name, s_name, src LIMIT 100""")
+_raw("ref_S13_class_attributes", lambda s, d: W.class_attributes(table(s, d, "customer").select(F.col("c_custkey").alias("page"), F.concat(F.lit('<div class="card '), F.lower("c_mktsegment"), F.lit('" id="c'), "c_custkey", F.lit('"><link rel="x" href="a.css">')).alias("html"))), """
+SELECT c_custkey AS page, unnest(['class', 'class', 'id', 'stylesheet']) AS kind, unnest(['card', lower(c_mktsegment), 'c' || c_custkey, 'a.css']) AS name FROM customer""")
+_raw("ref_S16_diagnostics", lambda s, d: X.parse_diagnostics(table(s, d, "nodes").where("lower(type) = 'diagnostic' and file_path is not null and line_number is not null").select(F.col("ingest_no").alias("output_id"), F.lit(1).alias("n"), F.concat("file_path", F.lit("("), "line_number", F.lit(",1): error TS2304: Cannot find "), "name").alias("text"))), """
+SELECT 'tsc' AS tool, file_path AS file, line_number AS line, 'error' AS severity, 'TS2304' AS code, 'Cannot find ' || name AS message FROM nodes WHERE lower(type) = 'diagnostic' AND file_path IS NOT NULL AND line_number IS NOT NULL""")
+
+
+def _m7(s, d):
+    """Documents re-sent in a second half: the mentions of the newest versions, dangling ones repaired."""
+    n, _ = ingest_graph(s, d)
+    return K.mentions(documents(s, d), n).groupBy("type").agg(F.count("*").alias("links"), F.count_distinct("id").alias("documents"))
+
+
+_raw("ref_M7_document_links", _m7, f"WITH {INGEST_GRAPH_SQL}, {DOCS_SQL}" + """, a AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(related_node_ids_csv, '[,;|\\r\\n]'))) AS target FROM kd), b AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(related_document_ids_csv, '[,;|\\r\\n]'))) AS key FROM kd),
+l AS (SELECT DISTINCT id, 'Mentions' AS type, target FROM a WHERE target IN (SELECT id FROM gn) UNION ALL SELECT DISTINCT b.id, 'References', t.id FROM b JOIN kd t ON t.id = b.key OR t.source = b.key WHERE b.key <> '') SELECT type, count(*) AS links, count(DISTINCT id) AS documents FROM l GROUP BY 1""")
+_raw("ref_M6_save_classes", lambda s, d: M.save_classes(*(lambda k: (k.withColumn("classification", F.lit("Unknown")), k.where("keyword < 'm'")))(K.keyword_statistics(K.extract_keywords(K.keyword_sources(ingest_graph(s, d)[0], documents(s, d)))).select("keyword", F.lit("DomainConcept").alias("classification")))))
