@@ -36,7 +36,7 @@ def _state(refs: DataFrame, marks: DataFrame, slot: str) -> DataFrame:
     up, down = F.when(F.col("up"), F.col("t")), F.when(~F.col("up"), F.col("t"))
     per_slot = (
         refs.select("id", slot).distinct()
-        .select("id", slot, F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("boolean").alias("up"), F.lit(1).alias("ref"))
+        .select("id", slot, F.lit(None).cast(marks.schema["t"].dataType).alias("t"), F.lit(None).cast("boolean").alias("up"), F.lit(1).alias("ref"))
         .unionByName(marks.select("id", slot, "t", "up", F.lit(0).alias("ref")))
         .groupBy("id", slot)
         .agg(F.max(up).alias("up_s"), F.max(down).alias("down_s"), F.max("ref").alias("ref"))
@@ -82,20 +82,21 @@ def missing_references(
     each; a deletion at the very time of indexing does not remove the node. Empty tables give empty results.
     """
     refs = reference_ends(edges, row, columns, at)
+    kind = refs.schema["t"].dataType  # with or without a zone, as the references have it
     seen = nodes.where(F.col("id").isNotNull() & F.col("last_indexed_at").isNotNull()).select(
-        "id", F.col("last_indexed_at").alias("t"), F.lit(True).alias("up")
+        "id", F.col("last_indexed_at").cast(kind).alias("t"), F.lit(True).alias("up")
     )
     gone = deletions.where(F.col("node_id").isNotNull() & F.col("deleted_at").isNotNull()).select(
-        F.col("node_id").alias("id"), F.col("deleted_at").alias("t"), F.lit(False).alias("up")
+        F.col("node_id").alias("id"), F.col("deleted_at").cast(kind).alias("t"), F.lit(False).alias("up")
     )
-    minute = lambda df: df.withColumn("minute", F.date_trunc("minute", "t"))
+    minute = lambda df: df.withColumn("minute", F.date_trunc("minute", "t").cast(kind))
     marks = seen.unionByName(gone).withColumn("day", F.to_date("t"))
 
     keys = refs.select("id", "day").distinct()
     always = fixed.where(F.col("id").isNotNull()).select("id").distinct()
     known = seen.select("id").distinct()
     wanted = keys.join(always, "id", "left_anti")
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None).cast(kind)
     never = wanted.join(known, "id", "left_anti").select(
         "id", "day", none.alias("up0"), none.alias("down0"), F.lit(False).alias("busy"), F.lit(True).alias("never")
     )

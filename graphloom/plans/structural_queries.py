@@ -29,7 +29,7 @@ SELECT (SELECT count(*) FROM gn WHERE lower(project_context) = 'tidalledger') AS
 _add("ref_P2_project_contexts", ingest_graph, lambda n, e: S.project_contexts(n), "SELECT DISTINCT project_context FROM gn WHERE project_context IS NOT NULL ORDER BY 1 LIMIT 100")
 _add("ref_P3_suggest_project", ingest_graph, lambda n, e: S.suggest_project(n, "tidal-ledgr"), """
 , p AS (SELECT DISTINCT project_context, lower(regexp_replace(project_context, '[^\\p{L}\\p{Nd}]', '', 'g')) AS b FROM gn WHERE project_context IS NOT NULL),
-s AS (SELECT project_context, CASE WHEN b = 'tidalledgr' THEN 0 WHEN contains(b, 'tidalledgr') OR contains('tidalledgr', b) THEN 1 WHEN levenshtein(b, 'tidalledgr') <= 2 THEN levenshtein(b, 'tidalledgr') + 2 END AS score FROM p WHERE b <> '')
+s AS (SELECT project_context, CASE WHEN b = 'tidalledgr' THEN 0 WHEN contains(b, 'tidalledgr') OR contains('tidalledgr', b) THEN 1 WHEN levenshtein(b, 'tidalledgr') <= 2 THEN levenshtein(b, 'tidalledgr') + 2 END::INTEGER AS score FROM p WHERE b <> '')
 SELECT project_context, score FROM s WHERE score IS NOT NULL""")
 _add("ref_P4_unreferenced", order_graph, S.unreferenced, f"""
 SELECT id, name, type FROM n WHERE type IN ('Method', 'Class') AND id NOT IN (SELECT dst FROM e WHERE type IN {sql_list([*STRUCTURAL, 'Contains'])}) ORDER BY type, name, id LIMIT 100""")
