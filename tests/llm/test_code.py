@@ -188,3 +188,24 @@ def test_copies_ties_and_threshold(spark):
 def test_no_and_single_vectors(spark):
     x = np.ones((1, 4))
     assert most_similar(vectors(spark, x), 4).count() == 0 and most_similar(vectors(spark, x).limit(0), 4).count() == 0
+
+
+def test_greedy_search_finds_the_nearest(spark):
+    from graphloom.llm.neighbours import search_vectors
+
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((30, 16))
+    x = centres[rnd.integers(0, 30, 1200)] + 0.5 * rnd.standard_normal((1200, 16))
+    x[7] = x[8]  # one vector of two ids
+    v = vectors(spark, x)
+    q = v.where("id like '%00'").selectExpr("cast(substring(id, 2) as bigint) as q", "vec")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got, hit, n = {}, 0, 0
+    for r in search_vectors(v, q, 16).collect():
+        got.setdefault(r["q"], []).append(r["cosine"])
+    for i, cos in got.items():
+        best = np.unique(np.round(u @ u[i], 6))[::-1][:5]
+        hit += sum(c >= best[-1] - 2e-6 for c in cos)
+        n += len(cos)
+    assert len(got) == 12 and n == 60 and hit / n >= 0.9
+    assert search_vectors(v, q.limit(0), 16).count() == 0
