@@ -145,9 +145,14 @@ def is_keyword(token: Column, least: int = 4) -> Column:
     )
 
 
+#: Parts of a key whose value is secret.
+SECRET_TOKENS = ["password", "secret", "token", "apikey", "api_key", "connectionstring", "connection_string", "privatekey", "private_key"]
+
+
 def mask_value(key: Column, value: Column) -> Column:
-    """Stars instead of the value of a secret key, else the first 80 characters."""
-    return F.when(F.lower(key).rlike("password|secret|token|apikey|api_key|connectionstring|credential|privatekey"), "***").otherwise(F.substring(value, 1, 80))
+    """Empty for null and blank values, stars for those of a secret key, else the first 80 characters without quotes."""
+    plain = F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", "")
+    return F.when(F.coalesce(F.trim(value), F.lit("")) == "", "").when(F.lower(key).rlike("|".join(SECRET_TOKENS)), "***").otherwise(F.substring(plain, 1, 80))
 
 
 def config_key(key: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 #: Vertex types.
 NODE_TYPES = [
-    "Namespace", "Module", "File", "Class", "Interface", "Struct", "Enum", "Method", "Property", "Field", "Operator", "ApiEndpoint",
-    "DatabaseTable", "DatabaseOperation", "MessageTopic", "ExternalService", "ExternalConcept", "Diagnostic", "CssClass", "CssVariable", "HtmlElement",
-    "ConfigurationFile", "ConfigurationKey", "ConfigurationEntry",
+    "Namespace", "Class", "Struct", "Interface", "Method", "Delegate", "Property", "Field", "Event", "Indexer", "Operator", "Enum", "File", "Module",
+    "ExternalConcept", "DatabaseTable", "ApiEndpoint", "MessageTopic", "ExternalService", "Diagnostic", "IndexRun", "ConfigurationFile", "ConfigurationKey",
+    "ConfigurationEntry",
 ]
 #: Edge types.
 EDGE_TYPES = [

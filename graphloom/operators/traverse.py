@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import Workspace
-from .model import COARSE, ENDPOINT, PRODUCTION_ROLES, STRUCTURAL, TRAVERSAL, WORKFLOW
-from .structural import broken_rule, members
+from .model import COARSE, ENDPOINT, PRODUCTION_ROLES, TRAVERSAL, WORKFLOW
+from .structural import broken_rule
 
 
 def moves(edges: DataFrame, types: list[str] | None, direction: str = "out") -> DataFrame:
@@ -214,8 +214,8 @@ def subgraph_summary(edges: DataFrame, node: str, first: int = 10) -> DataFrame:
 
 def namespace_members(nodes: DataFrame, namespace: str) -> DataFrame:
     """Nodes in a namespace or below it, but no namespaces or files."""
-    n = F.col("namespace")
-    return nodes.where(((n == namespace) | n.startswith(namespace + ".")) & ~F.col("type").isin("Namespace", "File")).select("id", "namespace", "type")
+    n, low = F.lower("namespace"), namespace.lower()
+    return nodes.where(((n == low) | n.startswith(low + ".")) & ~F.col("type").isin("Namespace", "File")).select("id", "namespace", "type")
 
 
 def resolve_id(nodes: DataFrame, wanted: str) -> DataFrame:
@@ -330,33 +330,42 @@ def extraction_closure(nodes: DataFrame, edges: DataFrame, chosen: DataFrame) ->
     return closure(ws, steps, chosen.select(F.lit("").alias("root"), "id")).select("id", "dist")
 
 
+#: Openings of structural questions and what they ask for.
+INTENTS = {
+    "who calls ": "callers", "callers of ": "callers", "callees of ": "callees", "dependencies of ": "callees", "implementations of ": "implementations",
+    "classes implementing ": "implementations", "members in ": "members", "types in namespace ": "members", "types in module ": "members",
+}
+
+
 def structural_intent(question: str) -> tuple[str, str] | None:
     """(kind, subject) of a structural question, or None: callers, callees, implementations or members."""
-    starts = {
-        "who calls ": "callers", "what calls ": "callers", "callers of ": "callers", "what does ": "callees", "callees of ": "callees",
-        "implementations of ": "implementations", "what implements ": "implementations", "members of ": "members", "contents of ": "members",
-    }
-    q = " ".join(question.strip().split()).rstrip("?")
-    for s, kind in starts.items():
-        if q.lower().startswith(s):
-            subject = q[len(s) :]
-            return kind, subject[: -len(" call")] if kind == "callees" and subject.lower().endswith(" call") else subject
+    q = " ".join(question.strip().split()).rstrip("?").rstrip()
+    for opening, kind in INTENTS.items():
+        if q.lower().startswith(opening):
+            return kind, q[len(opening) :].strip().strip("`\"'")
     return None
 
 
 def answer_intent(nodes: DataFrame, edges: DataFrame, question: str) -> DataFrame:
-    """Ids that answer a structural question, empty if it is none."""
+    """Ids that answer a structural question; none if it is no such question or its subject is not one node.
+
+    Members are the nodes of a namespace. The others come from the subject's editing context: its callers, its
+    callees with its interfaces, or the classes, structs and methods among its callers.
+    """
     got = structural_intent(question)
     none = nodes.select("id").limit(0)
     if not got:
         return none
     kind, subject = got
-    at = F.lower("id") == subject.lower()
-    mine = nodes.where(at | (F.lower("name") == subject.lower())).select("id")
     if kind == "members":
-        return members(nodes, edges).join(mine.withColumnRenamed("id", "owner"), "owner", "left_semi").select(F.col("member").alias("id")).distinct()
-    types = ["Implements", "Inherits"] if kind == "implementations" else STRUCTURAL
-    e = edges.where(F.col("type").isin(types))
+        return namespace_members(nodes, subject).select("id")
+    one = resolve_id(nodes.where(~F.col("type").isin("File", "Namespace")), subject).first()
+    if one is None:
+        return none
+    context = editing_context(nodes, edges, one["id"])
     if kind == "callees":
-        return e.join(mine.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    return e.join(mine.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+        return context.where("role in ('callee', 'interface')").select("id").distinct()
+    callers = context.where("role = 'caller'").select("id")
+    if kind == "implementations":
+        return callers.join(nodes.where(F.col("type").isin("Class", "Struct", "Method")).select("id"), "id", "left_semi")
+    return callers

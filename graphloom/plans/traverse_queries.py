@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import traverse as T
-from ..operators.model import COARSE, FORBIDDEN, LAYERS, STRUCTURAL, TRAVERSAL, WORKFLOW, sql_list
+from ..operators.model import COARSE, FORBIDDEN, LAYERS, TRAVERSAL, WORKFLOW, sql_list
 from ..sources.projection import INGEST_GRAPH_SQL, ORDER_GRAPH_SQL, ingest_graph, order_graph
 from .structural_queries import RULES_INGEST, _rule
 
@@ -107,8 +107,9 @@ _add("ref_G12_namespace_members", order_graph, lambda n, e: T.namespace_members(
 _add("ref_G13_resolve_id", order_graph, lambda n, e: T.resolve_id(n, "order100"), """
 h AS (SELECT id, CASE WHEN lower(id) = 'order100' THEN 0 WHEN ends_with(lower(id), 'order100') THEN 1 ELSE 2 END AS rank, (type = 'File')::INT AS f FROM n WHERE lower(id) = 'order100' OR ends_with(lower(id), 'order100') OR lower(name) = 'order100'),
 g AS (SELECT rank, f, count(*) AS c, min(id) AS id FROM h GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1) SELECT id, rank FROM g WHERE c = 1""")
-_add("ref_G14_structural_intent", order_graph, lambda n, e: T.answer_intent(n, e, "who calls part:5?"), f"z AS (SELECT 1) SELECT DISTINCT src AS id FROM e WHERE dst = 'part:5' AND type IN {sql_list(STRUCTURAL)}")
-_add("ref_G14_members", order_graph, lambda n, e: T.answer_intent(n, e, "members of customer:8"), "z AS (SELECT 1) SELECT DISTINCT dst AS id FROM e WHERE src = 'customer:8' AND type = 'Contains'")
+_add("ref_G14_structural_intent", order_graph, lambda n, e: T.answer_intent(n, e, "who calls part:5?"), f"z AS (SELECT 1) SELECT DISTINCT src AS id FROM e WHERE dst = 'part:5' AND src <> 'part:5' AND type IN {_TR} ORDER BY src LIMIT 10")
+_add("ref_G14_callees", order_graph, lambda n, e: T.answer_intent(n, e, "Dependencies of order:100"), f"z AS (SELECT 1) SELECT DISTINCT dst AS id FROM e WHERE src = 'order:100' AND dst <> 'order:100' AND type IN {_TR} ORDER BY dst LIMIT 10")
+_add("ref_G14_members", order_graph, lambda n, e: T.answer_intent(n, e, "members in america.nation_1"), "z AS (SELECT 1) SELECT id FROM n WHERE (namespace = 'AMERICA.NATION_1' OR starts_with(namespace, 'AMERICA.NATION_1.')) AND type NOT IN ('Namespace', 'File')")
 _add("ref_G15_extraction_closure", order_graph, lambda n, e: T.extraction_closure(n, e, n.where("id in ('order:100', 'part:5')")), """
 bare AS (SELECT id FROM n WHERE file_path IS NULL), bfs AS (SELECT id, 0 AS dist FROM n WHERE id IN ('order:100', 'part:5') UNION SELECT dst, dist + 1 FROM bfs JOIN e ON src = bfs.id WHERE dst IN (SELECT id FROM bare) AND dist < 12)
 SELECT id, min(dist)::INT AS dist FROM bfs GROUP BY id""")

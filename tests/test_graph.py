@@ -231,7 +231,11 @@ def test_incremental_plan_and_deletes(spark):
     assert left_n.count() == 2 and [(r["src"], r["dst"]) for r in left_e.collect()] == [("b", "c")]
 
 
-def test_intents():
-    assert T.structural_intent("Who calls  Foo.Bar?") == ("callers", "Foo.Bar")
-    assert T.structural_intent("what does Foo call?") == ("callees", "Foo")
+def test_intents(spark):
+    assert T.structural_intent("Who calls  `Foo.Bar`?") == ("callers", "Foo.Bar")
+    assert T.structural_intent("dependencies of Foo") == ("callees", "Foo")
     assert T.structural_intent("why") is None
+    n, e = graph(spark, [("I", "Interface", "N.A"), ("A", "Class", "n.b"), ("F", "File", "N")], [("A", "Implements", "I"), ("F", "Uses", "I")])
+    ask = lambda q: {r["id"] for r in T.answer_intent(n, e, q).collect()}
+    assert ask("implementations of I") == {"A"} and ask("who calls i") == {"A", "F"} and ask("members in n") == {"I", "A"} and ask("callees of A") == {"I"}
+    assert ask("who calls nobody") == set() and ask("hello") == set()
