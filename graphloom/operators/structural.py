@@ -25,6 +25,12 @@ def with_ends(edges: DataFrame, nodes: DataFrame, src: list[str], dst: list[str]
     return edges.join(s, "src").join(t, "dst")
 
 
+def is_diagnostic(nodes: DataFrame) -> Column:
+    """A diagnostic that is not the record of an index run, where nodes tell."""
+    kind = F.col("type") == "Diagnostic"
+    return kind & (F.coalesce("external_kind", F.lit("")) != "IndexRun") if "external_kind" in nodes.columns else kind
+
+
 def graph_counts(nodes: DataFrame, edges: DataFrame, project: str | None = None) -> DataFrame:
     """One row: nodes, call edges with an end in the project, diagnostics."""
     mine = of_project(nodes, project)
@@ -32,7 +38,7 @@ def graph_counts(nodes: DataFrame, edges: DataFrame, project: str | None = None)
     if (project or "").strip():
         p = project.strip().lower()
         calls = calls.where((F.lower("s_project_context") == p) | (F.lower("t_project_context") == p))
-    a = mine.agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "Diagnostic").alias("diagnostics"))
+    a = mine.agg(F.count("*").alias("nodes"), F.count_if(is_diagnostic(nodes)).alias("diagnostics"))
     return a.crossJoin(F.broadcast(calls.agg(F.count("*").alias("call_edges"))))  # one row each
 
 
@@ -90,7 +96,7 @@ def high_churn(nodes: DataFrame, least: int = 3, limit: int = 50) -> DataFrame:
 def diagnostics(nodes: DataFrame, prefix: str = "", limit: int = 200) -> DataFrame:
     """Diagnostics by place; the name starts with the severity asked for."""
     return (
-        nodes.where((F.col("type") == "Diagnostic") & F.lower("name").startswith(prefix.lower()))
+        nodes.where(is_diagnostic(nodes) & F.lower("name").startswith(prefix.lower()))
         .orderBy(F.asc_nulls_last("file_path"), F.asc_nulls_last("line_number"), "name", "id").select("id", "name", "file_path", "line_number").limit(limit)
     )
 
