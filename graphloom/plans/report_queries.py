@@ -340,7 +340,7 @@ _raw("ref_R15_tool_precision", lambda s, d: X.tool_precision(*_sessions(s, d)),
 def _styles(s, d):
     p = table(s, d, "part")
     k = F.col("p_partkey")
-    return p.where("p_partkey < 4000").select(
+    return p.select(
         k.alias("id"), F.concat("p_brand", (k % 5).cast("string")).alias("file_path"), F.lower("p_type").alias("property"), F.lit("CssClass").alias("target_kind"), F.concat(F.lit("c"), (k % 4).cast("string")).alias("target"), (k % 40).cast("int").alias("source_order"), k.alias("line"),
         F.struct(F.lit(0).alias("a"), (k % 3 + 1).cast("int").alias("b"), (k % 2).cast("int").alias("c")).alias("spec"), F.when(k % 3 == 0, F.concat(F.lit(".c"), (k % 4).cast("string"))).otherwise(F.lit("div .x")).alias("selector"), F.concat("p_size", F.lit("px")).alias("value"),
     )
@@ -367,7 +367,7 @@ SELECT 'e' || event_id || '.json' AS path, 'k' AS raw_key, 'k' AS key, left(json
 
 
 def _config(s, d):
-    p, sup = table(s, d, "part").where("p_partkey < 3000"), table(s, d, "supplier")
+    p, sup = table(s, d, "part"), table(s, d, "supplier")
     key = F.concat_ws(":", F.lower("p_type"), F.concat(F.lit("s"), (F.col("p_size") % 5).cast("string")))
     n = (
         p.select(F.concat(F.lit("file:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit("ConfigurationFile").alias("type"), F.concat("p_brand", F.lit(".json")).alias("file_path")).distinct()
