@@ -306,7 +306,7 @@ SELECT ref_id, CASE WHEN n = 1 THEN i WHEN nf = 1 THEN f END AS target, CASE WHE
 
 
 def _runs(s, d):
-    o = table(s, d, "orders").where("o_orderkey < 4000")
+    o = table(s, d, "orders")
     k = F.col("o_orderkey")
     return o.select(k.alias("run_id"), F.when(k % 2 == 0, "csharp").otherwise("typescript").alias("language"), F.concat(F.lit("s"), (k % 6).cast("string")).alias("scope"), F.col("o_orderdate").alias("completed_at"), (k % 97 == 0).alias("partial"), (k % 2 + 1).alias("schema_version"),
                     F.when(k % 3 == 0, "full").otherwise("incremental").alias("mode"), (k % 500).alias("scanned"), (k % 60).alias("ingested"), (k % 90).alias("resolved"), F.lit(0).alias("unresolved"), (k % 5).alias("indeterminate"), (k % 7).alias("external"), F.lit(0).alias("legacy"),

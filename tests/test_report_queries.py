@@ -1,3 +1,5 @@
+from datetime import date
+
 import __spark_entry__ as E
 import pytest
 
@@ -25,3 +27,13 @@ def test_styles_of_all_parts(spark, parts):
 def test_config_of_all_parts(spark, parts):
     assert {r["entry"] for r in run(spark, "ref_J4_config_definitions", parts)} == {f"entry:{k}" for k in (1, 4001, 4041, 4060, 30001)}
     assert {r["src"] for r in run(spark, "ref_J5_config_usages", parts)} == {"supplier:4"}
+
+
+def test_runs_of_all_orders(spark, tmp_path):
+    """4002 and 4008 share a scope with 6 and are later; resolved is k % 90, indeterminate k % 5, external k % 7."""
+    rows = [(6, date(2001, 1, 1)), (4002, date(2001, 1, 2)), (4008, date(2001, 1, 3))]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    trust = run(spark, "ref_R7_relationship_trust", tmp_path)
+    assert [(r["runs"], r["resolved"], r["indeterminate"], r["external"]) for r in trust] == [(1, 48, 3, 4)]
+    # arity is k % 4, a reason r(k % 5) counts 2
+    assert {r["reason"]: r["n"] for r in run(spark, "ref_R7_reason_counts", tmp_path)} == {"arity": 4, "r2": 2, "r1": 2}
