@@ -212,7 +212,7 @@ dy AS (SELECT unnest(generate_series(DATE '1998-07-04', DATE '1998-08-02', INTER
 SELECT day, (SELECT count(*) FROM vd WHERE vd.day <= dy.day) AS violations, (SELECT count(*) FROM gd WHERE gd.day <= dy.day) AS god_classes, (SELECT coalesce(sum(line_count), 0)::BIGINT FROM gd WHERE gd.day <= dy.day) AS god_lines FROM dy""")
 _add("ref_C5_context_cost", order_graph, lambda n, e: C.context_cost(n.select(F.col("project_context").alias("pack"), "file_path", "line_count", (F.col("type") == "Method").alias("relation"))), """
  SELECT project_context AS pack, (120 + 20 * count(*) + 15 * count(*) FILTER (type = 'Method') + 16 * count(DISTINCT file_path) + 150 + sum(12 * least(coalesce(line_count, 20), 80)))::BIGINT AS tokens FROM n GROUP BY 1""")
-_raw("ref_C26_snippets_in_budget", lambda s, d: C.snippets_in_budget(table(s, d, "documents").where("doc_id % 50 < 12 and n_chars > 0").select((F.col("doc_id") / 50).cast("long").alias("pack"), (F.col("doc_id") % 50).alias("rank"), F.col("doc_id").cast("string").alias("id"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.length("text").alias("chars"))))
+_raw("ref_C26_snippets_in_budget", lambda s, d: C.snippets_in_budget(table(s, d, "documents").where("n_chars > 0").select((F.col("doc_id") / 50).cast("long").alias("pack"), (F.col("doc_id") % 50).alias("rank"), F.col("doc_id").cast("string").alias("id"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.length("text").alias("chars"))))
 _add("ref_C6_caller_groups", order_graph, lambda n, e: C.caller_groups(n, e, "part:5"), f"""
 , c AS (SELECT DISTINCT src AS id FROM e WHERE dst = 'part:5' AND type IN {sql_list(TRAVERSAL)} AND src <> 'part:5')
 SELECT c.id, CASE WHEN {_TT} THEN 'test' WHEN type = 'Method' THEN 'method' WHEN type IN ('Class', 'Struct', 'Interface') THEN 'class' ELSE 'context' END AS "group" FROM c JOIN n ON n.id = c.id""")

@@ -37,3 +37,10 @@ def test_runs_of_all_orders(spark, tmp_path):
     assert [(r["runs"], r["resolved"], r["indeterminate"], r["external"]) for r in trust] == [(1, 48, 3, 4)]
     # arity is k % 4, a reason r(k % 5) counts 2
     assert {r["reason"]: r["n"] for r in run(spark, "ref_R7_reason_counts", tmp_path)} == {"arity": 4, "r2": 2, "r1": 2}
+
+
+def test_snippets_of_all_documents_with_text(spark, tmp_path):
+    rows = [(50, 100, "x" * 100), (62, 40, "y" * 40), (99, 8, "z" * 8), (100, 0, ""), (149, 4, "abcd")]
+    spark.createDataFrame(rows, "doc_id long, n_chars int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["pack"], r["id"]): r["tokens"] for r in run(spark, "ref_C26_snippets_in_budget", tmp_path)}
+    assert got == {(1, "50"): 25, (1, "62"): 10, (1, "99"): 2, (2, "149"): 1}
