@@ -241,12 +241,18 @@ def replace_surface(nodes: DataFrame, edges: DataFrame, concept: str) -> DataFra
 def shared_evidence(items: DataFrame) -> DataFrame:
     """Per group, the share of pairs of methods with common evidence: ``group, pairs, share``.
 
-    ``items``: group, id, evidence (distinct rows). Overlaps are counted over the evidence, so pairs without any
-    are never formed; their number follows from the group's size.
+    ``items``: group, id, evidence (distinct rows). Pairs with common evidence are counted from the number of ids
+    of each evidence, so they are not formed, except those with two or more in common: a pair that shares k is
+    counted k times over the evidence and in k (k - 1) / 2 pairs of evidence, which give k back.
     """
     d = items.distinct()
     n = d.groupBy("group").agg(F.count_distinct("id").alias("n"))
-    hit = d.alias("x").join(d.alias("y"), ["group", "evidence"]).where("x.id < y.id").select("group", F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct().groupBy("group").agg(F.count("*").alias("hit"))
+    e = d.where("group is not null and id is not null and evidence is not null")
+    once = e.groupBy("group", "evidence").agg(F.count("*").alias("m")).groupBy("group").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("shared"))
+    two = e.alias("x").join(e.alias("y"), ["group", "id"]).where("x.evidence < y.evidence").select("group", "id", F.col("x.evidence").alias("e1"), F.col("y.evidence").alias("e2"))
+    same = two.alias("x").join(two.alias("y"), ["group", "e1", "e2"]).where("x.id < y.id").groupBy("group", F.col("x.id").alias("p"), F.col("y.id").alias("q")).agg(F.count("*").alias("j"))
+    again = same.groupBy("group").agg(F.sum(F.round((1 + F.sqrt(1 + 8 * F.col("j"))) / 2).cast("long") - 1).alias("again"))
+    hit = once.join(again, "group", "left").select("group", (F.col("shared") - F.coalesce("again", F.lit(0))).alias("hit"))
     pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
     return n.join(hit, "group", "left").select("group", pairs.alias("pairs"), F.round(F.coalesce("hit", F.lit(0)) / F.nullif(pairs, F.lit(0)), 6).alias("share"))
 

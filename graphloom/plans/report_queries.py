@@ -261,7 +261,7 @@ def _owner(n, e):
     return r["src"] if r else ""
 
 
-_raw("ref_R19_shared_evidence", lambda s, d: C.shared_evidence(table(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_returnflag").alias("group"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("evidence"))), """
+_raw("ref_R19_shared_evidence", lambda s, d: C.shared_evidence(table(s, d, "lineitem").select(F.col("l_returnflag").alias("group"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("evidence"))), """
 WITH i AS (SELECT DISTINCT l_returnflag AS g, l_orderkey AS id, l_suppkey AS ev FROM lineitem WHERE l_quantity >= 49), c AS (SELECT g, count(DISTINCT id) AS n FROM i GROUP BY 1),
 h AS (SELECT g, count(*) AS hit FROM (SELECT DISTINCT a.g, a.id, b.id AS other FROM i a JOIN i b ON a.g = b.g AND a.ev = b.ev AND a.id < b.id) GROUP BY 1)
 SELECT c.g AS "group", (n * (n - 1) / 2)::BIGINT AS pairs, round(coalesce(hit, 0) / (n * (n - 1) / 2)::DOUBLE, 6) AS share FROM c LEFT JOIN h ON h.g = c.g""")

@@ -1,3 +1,7 @@
+import random
+from itertools import combinations
+
+import __spark_entry__ as E
 from pyspark.sql import functions as F
 
 from graphloom.operators import resolution as X
@@ -37,6 +41,22 @@ def test_shared_evidence(spark):
     assert {r["group"]: (r["pairs"], r["share"]) for r in C.shared_evidence(rows).collect()} == {"g": (3, 0.333333), "h": (0, None)}
 
 
+def test_shared_evidence_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(g, i, rng.randrange(9)) for g in "ab" for i in range(25) for _ in range(rng.randrange(1, 6))]
+    sets = {}
+    for g, i, x in rows:
+        sets.setdefault(g, {}).setdefault(i, set()).add(x)
+    want = {g: round(sum(bool(a & b) for a, b in combinations(s.values(), 2)) / 300, 6) for g, s in sets.items()}
+    assert {r["group"]: r["share"] for r in C.shared_evidence(spark.createDataFrame(rows, "group string, id int, evidence int")).collect()} == want
+
+
+def test_shared_evidence_of_all_items(spark, tmp_path):
+    rows = [("A", 1, 7, 5), ("A", 2, 7, 50), ("A", 3, 8, 1), ("A", 3, 7, 2)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_suppkey long, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [(r["pairs"], r["share"]) for r in E.queries()["ref_R19_shared_evidence"](spark, str(tmp_path)).collect()] == [(3, 1.0)]
+
+
 def test_calls_resolve_only_if_unique(spark):
     m = spark.createDataFrame([("m1", "Go", 1, 1, False, "A", "a.cs", "N"), ("m2", "Go", 1, 1, False, "B", "b.cs", "M"), ("m3", "Go", 0, 0, False, "A", "a.cs", "N")], "id string, name string, required int, total int, variadic boolean, owner string, file string, namespace string")
     calls = spark.createDataFrame(
