@@ -322,11 +322,18 @@ def graph_drift(nodes: DataFrame) -> DataFrame:
 
 
 def unit_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, the weather score: 100 less capped deductions for cycles, violations, gaps and low confidence."""
+    """One row, the weather score: 100 less capped deductions for cycles, violations, gaps, low confidence, bridges.
+
+    Bridges are the first ten nodes by betweenness, whatever their score, of a graph with any edge to walk: their
+    number, all that is asked for, needs no scores.
+    """
     cycles = namespace_cycles(nodes, edges).agg(F.count("*").alias("cycles"))
     broken = violations(nodes, edges).agg(F.count("*").alias("broken"))
     gaps = coverage_gaps(nodes, edges).agg(F.count("*").alias("gaps"))
     low = nodes.agg(F.count_if(freshness() == "Low").alias("low"))
-    one = cycles.crossJoin(broken).crossJoin(gaps).crossJoin(low)  # one row each
-    less = "least(25, 5 * cycles) + least(25, 5 * broken) + least(20, gaps div 5) + least(20, low div 10)"
-    return one.withColumn("score", F.expr(f"greatest(0, least(100, 100 - ({less})))").cast("int"))
+    ids = nodes.select("id").distinct()
+    walked = edges.where(F.col("type").isin(TRAVERSAL)).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").limit(1).agg(F.count("*").alias("walked"))
+    bridges = ids.limit(10).agg(F.count("*").alias("bridges")).crossJoin(walked)
+    one = cycles.crossJoin(broken).crossJoin(gaps).crossJoin(low).crossJoin(bridges)  # one row each
+    less = "least(25, 5 * cycles) + least(25, 5 * broken) + least(20, gaps div 5) + least(20, low div 10) + if(walked > 0, least(10, bridges), 0)"
+    return one.withColumn("score", F.expr(f"greatest(0, least(100, 100 - ({less})))").cast("int")).drop("bridges", "walked")

@@ -81,6 +81,15 @@ def test_betweenness_of_a_path(spark):
     assert {r["id"]: r["score"] for r in A.betweenness(n, e).collect()} == {"a": 0.0, "b": 2.0, "c": 2.0, "d": 0.0}
 
 
+def test_weather_score_counts_bridges(spark):
+    def rest(k, kind):
+        ids = [f"n{i:02d}" for i in range(k)]
+        r = S.unit_health(*graph(spark, [(i, "Method") for i in ids], [(a, kind, b) for a, b in zip(ids, ids[1:])])).first()
+        return 100 - min(25, 5 * r["cycles"]) - min(25, 5 * r["broken"]) - min(20, r["gaps"] // 5) - min(20, r["low"] // 10) - r["score"]
+
+    assert [rest(4, "Calls"), rest(12, "Calls"), rest(12, "Contains")] == [4, 10, 0]
+
+
 def test_communities_of_two_cliques(spark):
     pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")]
     n, e = plain(spark, pairs)
