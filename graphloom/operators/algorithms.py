@@ -1,4 +1,4 @@
-"""Whole-graph algorithms as loops of joins and aggregations; no component is ever gathered in one task."""
+"""Whole-graph algorithms as loops of joins and aggregations; only betweenness holds the graph in each task."""
 
 from __future__ import annotations
 
@@ -169,39 +169,58 @@ def articulation_points(nodes: DataFrame, edges: DataFrame, types: list[str] = T
     return count.where("parts > 1").select(F.col("v").alias("id"), "parts")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, types: list[str] = TRAVERSAL, sources: DataFrame | None = None, most: int = 50) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, types: list[str] = TRAVERSAL, sources: DataFrame | None = None) -> DataFrame:
     """``id, score``: number of shortest ways through each node, undirected, each pair counted once.
 
-    Exact if all nodes are sources (the default), with as much state as there are connected pairs; on large
-    graphs give a bounded set of sources and read the score as their part.
+    Exact if all nodes are sources (the default), in time of nodes by edges: every task walks from its share of
+    the sources over the whole graph, which it holds as two arrays of numbers. On large graphs give a bounded set
+    of sources and read the score as their part.
     """
+    import numpy as np
+    import pyarrow as pa
+
     ws = Workspace(nodes.sparkSession, "betweenness")
     pairs = ws.cut(projected(nodes, edges, types, undirected=True))
-    start = (sources if sources is not None else pairs.select(F.col("a").alias("id"))).select("id").distinct()
-    front = ws.cut(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("ways")))
-    levels, seen = [front], front.select("s", "id")
-    while len(levels) <= most:
-        nxt = front.join(pairs, F.col("id") == F.col("a")).groupBy("s", F.col("b").alias("id")).agg(F.sum("ways").alias("ways")).join(seen, ["s", "id"], "left_anti")
-        front = ws.cut(nxt)
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen = seen.unionByName(front.select("s", "id"))
-    below, total = None, None
-    for lev in reversed(levels):
-        if below is None:
-            cur = lev.select("s", "id", "ways", F.lit(0.0).alias("dep"))
-        else:
-            share = (
-                below.select("s", F.col("id").alias("a"), ((1 + F.col("dep")) / F.col("ways")).alias("each")).join(pairs, "a")
-                .groupBy("s", F.col("b").alias("id")).agg(F.sum("each").alias("each"))
-            )
-            cur = lev.join(share, ["s", "id"], "left").select("s", "id", "ways", (F.col("ways") * F.coalesce("each", F.lit(0.0))).alias("dep"))
-        cur = ws.cut(cur)
-        part = cur.where("s != id").groupBy("id").agg(F.sum("dep").alias("dep"))
-        total = part if total is None else total.unionByName(part)
-        below = cur
-    return total.groupBy("id").agg((F.sum("dep") / 2).alias("score"))
+    ids = ws.cut(pairs.select(F.col("a").alias("id")).distinct().withColumn("k", F.monotonically_increasing_id()))
+    number = lambda c, k: ids.select(F.col("id").alias(c), F.col("k").alias(k))
+    links = pairs.join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y").toArrow()
+    keys, x = np.unique(links["x"].to_numpy(), return_inverse=True)
+    order = np.argsort(x, kind="stable")
+    around = np.searchsorted(keys, links["y"].to_numpy())[order].astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(keys)))]).astype(np.int64)
+    sc = nodes.sparkSession.sparkContext
+    held = sc.broadcast((keys, first, around))
+
+    def walk(batches):
+        keys, first, around = held.value
+        n = len(keys)
+        depth, ways, dep, total, reached = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+        for batch in batches:
+            for s in np.searchsorted(keys, batch.column(0).to_numpy()):
+                depth[s], ways[s], front, seen, steps = 0, 1.0, np.array([s]), [], []
+                while len(front):
+                    seen.append(front)
+                    many = first[front + 1] - first[front]
+                    u = np.repeat(front, many)
+                    w = around[np.repeat(first[front] - (np.cumsum(many) - many), many) + np.arange(len(u))]
+                    down = depth[w] < 0
+                    u, w = u[down], w[down]
+                    np.add.at(ways, w, ways[u])
+                    steps.append((u, w))
+                    front = np.unique(w)
+                    depth[front] = len(seen)
+                for u, w in reversed(steps):
+                    np.add.at(dep, u, ways[u] / ways[w] * (1 + dep[w]))
+                seen = np.concatenate(seen)
+                total[seen[1:]] += dep[seen[1:]]  # without the source
+                reached[seen[1:]] = True
+                depth[seen], ways[seen], dep[seen] = -1, 0, 0
+        at = np.flatnonzero(reached)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(total[at])], names=["k", "dep"])
+
+    start = ids if sources is None else ids.join(sources.select("id").distinct(), "id", "left_semi")
+    found = start.select("k").repartition(4 * sc.defaultParallelism, "k").mapInArrow(walk, "k long, dep double")
+    return ids.join(found.groupBy("k").agg((F.sum("dep") / 2).alias("score")), "k").select("id", "score")
 
 
 def communities(nodes: DataFrame, edges: DataFrame, types: list[str], levels: int = 3, rounds: int = 8) -> DataFrame:

@@ -33,15 +33,9 @@ _add("ref_A1_pagerank", order_graph, lambda n, e: _score(A.pagerank(n, e)).order
 _add("ref_A1_pagerank_all_ingest", ingest_graph, lambda n, e: A.pagerank(n, e).select("id", F.round(F.col("score") + 1e-7, 4).alias("score")), _rank("gn", "ge", 20).replace("round(score, 6)", "round(score + 1e-7, 4)"))
 
 
-def _own(n, e):
-    """The graph of one project, small enough for exact betweenness."""
-    mine = n.where("project_context in ('TidalLedger', 'OrchardDesk')")
-    return mine, e
-
-
 _UND = f"""un AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM ge WHERE type IN {_TR} UNION ALL SELECT dst, src FROM ge WHERE type IN {_TR}) WHERE a <> b AND a IN (SELECT id FROM gn WHERE project_context IN ('TidalLedger', 'OrchardDesk')) AND b IN (SELECT id FROM gn WHERE project_context IN ('TidalLedger', 'OrchardDesk')))"""
 _CC = """cc AS (SELECT a AS id, a AS other FROM un UNION SELECT cc.id, un.b FROM cc JOIN un ON un.a = cc.other)"""
-_add("ref_A2_betweenness", ingest_graph, lambda n, e: _score(A.betweenness(*_own(n, e))), f"""{_UND},
+_add("ref_A2_betweenness", ingest_graph, lambda n, e: _score(A.betweenness(n, e)), f"""{_UND},
 bf AS (SELECT DISTINCT a AS s, a AS id, 0 AS d FROM un UNION SELECT s, un.b, d + 1 FROM bf JOIN un ON un.a = bf.id WHERE d < 18),
 ds AS MATERIALIZED (SELECT s, id, min(d) AS d FROM bf GROUP BY 1, 2),
 wy AS (SELECT s, s AS id, 0 AS d, 1.0::DOUBLE AS ways FROM (SELECT DISTINCT a AS s FROM un) UNION ALL
@@ -49,11 +43,11 @@ wy AS (SELECT s, s AS id, 0 AS d, 1.0::DOUBLE AS ways FROM (SELECT DISTINCT a AS
 w AS MATERIALIZED (SELECT s, id, d, ways FROM wy)
 SELECT v.id, round(coalesce(sum(CASE WHEN x.s <> v.id AND y.id <> v.id AND x.d + y.d = z.d THEN x.ways * y.ways / z.ways END), 0) / 2, 6) AS score
 FROM (SELECT DISTINCT a AS id FROM un) v LEFT JOIN w x ON x.id = v.id LEFT JOIN w y ON y.s = v.id LEFT JOIN w z ON z.s = x.s AND z.id = y.id GROUP BY v.id""")
-_add("ref_A3_articulation_points", ingest_graph, lambda n, e: A.articulation_points(*_own(n, e)), f"""{_UND},
+_add("ref_A3_articulation_points", ingest_graph, lambda n, e: A.articulation_points(n, e), f"""{_UND},
 rv AS (SELECT DISTINCT a AS v, b AS st_, b AS at_ FROM un UNION SELECT rv.v, rv.st_, un.b FROM rv JOIN un ON un.a = rv.at_ WHERE un.b <> rv.v),
 c AS (SELECT v, st_, min(at_) AS c FROM rv GROUP BY 1, 2) SELECT v AS id, count(DISTINCT c) AS parts FROM c GROUP BY v HAVING count(DISTINCT c) > 1""")
 _add("ref_A3_articulation_points_order", order_graph, lambda n, e: A.articulation_points(n, e), None)
-_add("ref_A4_bridges", ingest_graph, lambda n, e: A.bridges(*_own(n, e)).select("a", "b", F.col("sizes")[0].alias("larger"), F.col("sizes")[1].alias("smaller")), f"""{_UND}, {_CC},
+_add("ref_A4_bridges", ingest_graph, lambda n, e: A.bridges(n, e).select("a", "b", F.col("sizes")[0].alias("larger"), F.col("sizes")[1].alias("smaller")), f"""{_UND}, {_CC},
 sz AS (SELECT id, count(*) AS whole FROM cc GROUP BY id),
 ed AS MATERIALIZED (SELECT a, b FROM un WHERE a < b),
 rc AS (SELECT a, b, a AS at_ FROM ed UNION SELECT rc.a, rc.b, un.b FROM rc JOIN un ON un.a = rc.at_ WHERE NOT (un.a = rc.a AND un.b = rc.b) AND NOT (un.a = rc.b AND un.b = rc.a)),
@@ -64,4 +58,4 @@ _add("ref_A5_communities", ingest_graph, lambda n, e: A.communities(n, e, ["Call
 _add("ref_A6_communities_of", ingest_graph, lambda n, e: A.communities(n, e, COMMUNITY).join(n.where("type = 'Class'").select("id"), "id", "left_semi"))
 _add("ref_R18_community_report", ingest_graph, lambda n, e: A.community_report(n, A.communities(n, e, COMMUNITY)))
 _add("ref_A7_no_projection", ingest_graph, lambda n, e: A.projected(n, e, ["SubscribesTo"]), "zz AS (SELECT 1) SELECT src AS a, dst AS b FROM ge WHERE type = 'SubscribesTo'")
-_add("ref_A8_risky_core", ingest_graph, lambda n, e: A.risky_core(*_own(n, e)))
+_add("ref_A8_risky_core", ingest_graph, lambda n, e: A.risky_core(n, e))

@@ -15,6 +15,7 @@ from graphloom.operators import structural as S
 from graphloom.operators import traverse as T
 from graphloom.operators.model import EDGE_SCHEMA, NODE_SCHEMA
 from graphloom.operators.versions import in_force
+from graphloom.plans import algorithm_queries as Q
 from graphloom.plans.session import Workspace
 
 
@@ -81,6 +82,21 @@ def test_betweenness_of_a_path(spark):
     assert {r["id"]: r["score"] for r in A.betweenness(n, e).collect()} == {"a": 0.0, "b": 2.0, "c": 2.0, "d": 0.0}
 
 
+def test_betweenness_of_a_long_chain_and_a_square(spark):
+    chain = [f"n{i:02d}" for i in range(70)]
+    got = {r["id"]: r["score"] for r in A.betweenness(*plain(spark, [*zip(chain, chain[1:]), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "p")])).collect()}
+    assert got == {**{c: i * (69.0 - i) for i, c in enumerate(chain)}, **dict.fromkeys("pqrs", 0.5)}
+    n, e = plain(spark, [("a", "b"), ("b", "c"), ("x", "y")])
+    assert {r["id"]: r["score"] for r in A.betweenness(n, e, sources=n.where("id = 'a'")).collect()} == {"b": 0.5, "c": 0.0}
+
+
+@pytest.mark.parametrize("name", ["ref_A2_betweenness", "ref_A3_articulation_points", "ref_A4_bridges", "ref_A8_risky_core"])
+def test_algorithms_read_all_projects(spark, name):
+    """The graph and the operator are what the query was registered with; no node is of a named project."""
+    run = dict(zip(Q.QUERIES[name].__code__.co_freevars, Q.QUERIES[name].__closure__))["run"].cell_contents
+    assert run(*plain(spark, [("a", "b"), ("b", "c")])).count() > 0
+
+
 def test_weather_score_counts_bridges(spark):
     def rest(k, kind):
         ids = [f"n{i:02d}" for i in range(k)]
