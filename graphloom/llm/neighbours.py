@@ -260,7 +260,6 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
     vecs = ws.cut(
         vectors.select("cls", "vec").mapInArrow(lambda b: _orders(b, dim, seed), "cls bigint, vec binary, short binary, place array<bigint>")
     )
-    ws.release()
     first = None
     for i in range(ORDERS):
         one = (
@@ -271,7 +270,6 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
         first = one if first is None else first.unionByName(one)
     merge = lambda df: ws.cut(df.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _merge(b, links), _LINK))
     graph = merge(first)
-    ws.release()
     slack = floor - 0.02  # what 8 bits per number may be off, with room
     for turn in range(ROUNDS):
         ends = ws.cut(
@@ -296,11 +294,9 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
         old = graph
         kept = old.withColumn("fresh", F.expr("cast(repeat(char(0), length(fresh)) as binary)"))
         offers = ws.cut(offers)
-        ws.release()
         graph = merge(kept.unionByName(offers))
         for t in (old, ends, hubs, offers):
             ws.drop(t)
-        ws.release()
         n = graph.agg(
             F.sum(F.length("fresh")).alias("all"),
             F.sum(F.length(F.regexp_replace(F.hex("fresh"), "00", "")) / 2).alias("fresh"),
@@ -320,7 +316,6 @@ def most_similar(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0,
     """
     ws = Workspace(vectors.sparkSession, "neighbours")
     members = ws.cut(vectors.select("id", F.xxhash64("vec").alias("cls"), "vec"))
-    ws.release()
     graph, vecs = neighbour_graph(ws, members.groupBy("cls").agg(F.min("vec").alias("vec")), dim, floor, seed)
     pairs = graph.select("cls", "nbr", "sim").mapInArrow(lambda b: _pairs(b, floor - 0.02), "a bigint, b bigint").distinct()
     v = vecs.select("cls", "vec")

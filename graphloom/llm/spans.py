@@ -196,7 +196,6 @@ class SharedSpans:
             .where("x < y").select("x", "y").distinct()
         )
         ws.drop(shared)
-        ws.release()
         wanted = ws.cut(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct())
         small = wanted.count() <= broadcast_rows
         texts = ws.cut(
