@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from typing import NamedTuple
 
 #: A comment, a string, or the start of neither. Strings are matched so that comment signs in them do not count.
 _LEX = re.compile(
@@ -37,8 +39,6 @@ def split_comments(source: str) -> tuple[str, list[tuple[int, int, str]]]:
     line_at = [0]
     for ch in re.finditer("\n", source):
         line_at.append(ch.end())
-    from bisect import bisect_right
-
     found: list[tuple[int, int, str]] = []
     for s, e in spans:
         a, b, text = bisect_right(line_at, s) - 1, bisect_right(line_at, e - 1) - 1, source[s:e]
@@ -62,94 +62,171 @@ def functions(code_lines: list[str]) -> list[tuple[int, str]]:
     return out
 
 
-def assign(cost: list[list[float | None]]) -> dict[int, int]:
-    """The cheapest assignment of rows to columns that makes as many pairs as possible; None forbids a pair.
+def assign(weight: dict[tuple[int, int], float]) -> dict[int, int]:
+    """Row of each column in the matching of greatest total weight; only pairs with a positive weight can match.
 
-    Successive shortest augmenting paths; tables here have a few rows and columns.
+    Rows and columns that hang together are solved apart by the Hungarian method, where every row may also stay
+    alone at no weight. Of equal matchings the one of smaller rows and columns is taken.
     """
-    n, m = len(cost), len(cost[0]) if cost else 0
-    row_of: dict[int, int] = {}
-    for start in range(n):
-        # Bellman-Ford over rows; best[r] = (cost to reach r, path of (row, column) steps)
-        best: dict[int, tuple[float, list[tuple[int, int]]]] = {start: (0.0, [])}
-        todo, goal = [start], None
+    by_row: dict[int, list[int]] = {}
+    by_col: dict[int, list[int]] = {}
+    for (r, c), w in sorted(weight.items()):
+        if w > 0:
+            by_row.setdefault(r, []).append(c)
+            by_col.setdefault(c, []).append(r)
+    out: dict[int, int] = {}
+    left = dict.fromkeys(by_row)
+    while left:
+        rows, cols, todo = [], [], [next(iter(left))]
+        seen = set()
         while todo:
-            r = todo.pop(0)
-            base, path = best[r]
-            for c in range(m):
-                w = cost[r][c]
-                if w is None:
-                    continue
-                step = path + [(r, c)]
-                if c not in row_of:
-                    if goal is None or base + w < goal[0]:
-                        goal = (base + w, step)
-                    continue
-                other = row_of[c]
-                d = base + w - cost[other][c]
-                if any(r2 == other for r2, _ in step):
-                    continue
-                if other not in best or d < best[other][0] - 1e-12:
-                    best[other] = (d, step)
-                    todo.append(other)
-        if goal:
-            for r, c in goal[1]:
-                row_of[c] = r
-    return {r: c for c, r in row_of.items()}
+            r = todo.pop()
+            if r not in left:
+                continue
+            del left[r]
+            rows.append(r)
+            for c in by_row[r]:
+                if c not in seen:
+                    seen.add(c)
+                    cols.append(c)
+                    todo += by_col[c]
+        rows.sort()
+        cols.sort()
+        cost = [[-weight.get((r, c), -1.0) for c in cols] + [0.0] * len(rows) for r in rows]
+        out.update({cols[k]: rows[i] for i, k in enumerate(_hungarian(cost)) if k < len(cols) and cost[i][k] < 0})
+    return out
+
+
+def _hungarian(cost: list[list[float]]) -> list[int]:
+    """Column of each row in the cheapest assignment of all rows; not more rows than columns."""
+    n, m = len(cost), len(cost[0])
+    u, v, row_of, before = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        slack, done = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row_of[at]:
+            done[at] = True
+            r, step, to = row_of[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    d = cost[r - 1][j - 1] - u[r] - v[j]
+                    if d < slack[j]:
+                        slack[j], before[j] = d, at
+                    if slack[j] < step:
+                        step, to = slack[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    slack[j] -= step
+            at = to
+        while at:
+            row_of[at], at = row_of[before[at]], before[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
 
 
 _PARAM = re.compile(r"@(?:param|arg|argument)\s+(?:\{[^}]*\}\s*)?\[?([A-Za-z_$][\w$]*)|<param\s+name\s*=\s*\"([^\"]*)\"")
+_WORD = re.compile(r"[A-Za-z_$][\w$]*")
+#: Lines from a comment to a heading within which they are candidates, and the weight below which a link is implausible.
+NEAR, PLAUSIBLE = 12, 0.5
+#: Weights: the place of the comment (directly above; apart by blank lines; with code between or inside the body),
+#: all its parameter tags fit or none does, it names the function or another one of the source, the row's own summary.
+ABOVE, APART, ASTRAY, TAGS, NO_TAG, NAMED, OTHER_NAMED, SUMMARY = 1.0, 0.45, 0.2, 0.5, -0.4, 0.25, -0.3, 1.5
+
 
+class Link(NamedTuple):
+    """A description linked with a function."""
 
-def documented(source: str, name: str | None = None) -> list[tuple[int, str, list[str]]]:
-    """Line, name and comments of each function of the source.
+    line: int
+    name: str
+    text: str
+    origin: str
+    direct: bool
+    weight: float
+    own: bool
 
-    A comment can belong to a function below it if only comments, attributes or directives stand between them,
-    no blank line and no code. Comments and functions are matched by an assignment whose cost is the distance,
-    less for parameter tags that name the function's parameters and for the name itself; further comments
-    directly above a matched one go with it. A source without a recognised heading is one function that starts
-    at the first line of code; the comments above count.
+
+def _blocks(comments, lines, raw) -> list[tuple[int, int, list[str]]]:
+    """Runs of comments with nothing but attributes and directives between them, with their first and last line."""
+    out: list[tuple[int, int, list[str]]] = []
+    for a, b, text in comments:
+        if out and all(raw[i].strip() and (not lines[i].strip() or _ATTRIBUTE.match(lines[i])) for i in range(out[-1][1] + 1, a)) and a > out[-1][1]:
+            out[-1] = (out[-1][0], b, [*out[-1][2], text])
+        else:
+            out.append((a, b, [text]))
+    return out
+
+
+def _weight(text: str, names: set[str], place: float, name: str, signature: set[str]) -> float:
+    """How well the text of a comment and a function fit together."""
+    w = place
+    tags = {x or y for x, y in _PARAM.findall(text)}
+    if tags:
+        fit = len(tags & signature) / len(tags)
+        w += TAGS * fit if fit else NO_TAG
+    said = {x.lower() for x in _WORD.findall(text)}
+    if name.lower() in said:
+        w += NAMED
+    elif said & names:
+        w += OTHER_NAMED
+    return w
+
+
+def documented(source: str, name: str | None = None, summary: str | None = None) -> list[Link]:
+    """The description of each function of the source that has one, in order of the functions.
+
+    Candidates are the blocks of comments of which something is left once comments that say nothing are dropped
+    (judged for the function at hand), and the summary for the function of the given name. A block is a candidate for
+    every function up to NEAR lines away, above or below. Weights come from the place of the block, from its
+    parameter tags against the heading and from the names it mentions; a link below PLAUSIBLE is rejected. Of the
+    others the matching of greatest weight is kept: a function has one description, a block one function.
+    ``direct`` says that only attributes stand between block and heading, ``own`` that it is the first function of
+    the given name, or the first of all where no heading has the name. A source without a recognised heading
+    is one function that starts at the first line of code.
     """
     code, comments = split_comments(source)
-    lines = code.split("\n")
-    raw = source.split("\n")
+    lines, raw = code.split("\n"), source.split("\n")
     heads = functions(lines)
-    if name and not any(n == name for _, n in heads):
-        first = next((i for i, x in enumerate(lines) if x.strip() and not _ATTRIBUTE.match(x)), None)
+    if not heads or (name and not any(n == name for _, n in heads)):
+        code_at = [i for i, x in enumerate(lines) if x.strip()]
+        first = next((i for i in code_at if not _ATTRIBUTE.match(lines[i])), code_at[-1] if code_at else None)
         if first is not None and not any(i == first for i, _ in heads):
-            heads = sorted([*heads, (first, name)])
-    if not heads:
-        return []
-    owner: dict[int, list[int]] = {}
-
-    def reach(end: int, head: int) -> int | None:
-        """Lines between, if only comments and attributes; None otherwise."""
-        if end >= head:
-            return None
-        for i in range(end + 1, head):
-            if not raw[i].strip() or (lines[i].strip() and not _ATTRIBUTE.match(lines[i])):
-                return None
-        return head - end - 1
-
-    cost: list[list[float | None]] = []
-    for a, b, text in comments:
-        row: list[float | None] = []
-        tags = {x or y for x, y in _PARAM.findall(text)}
-        for head, fn in heads:
-            gap = reach(b, head)
-            if gap is None or lines[a][: len(lines[a]) - len(lines[a].lstrip())].strip():
-                row.append(None)
+            heads = sorted([*heads, (first, name or "")])
+    told: dict[tuple[int, int], str] = {}
+    weight: dict[tuple[int, int], float] = {}
+    direct: set[tuple[int, int]] = set()
+    names = {n.lower() for _, n in heads}
+    signatures = [set(_WORD.findall(" ".join(lines[h : h + 3]))) for h, _ in heads]
+    at = [h for h, _ in heads]
+    for k, (a, b, texts) in enumerate(_blocks(comments, lines, raw)):
+        alone = not lines[a].strip()  # no code on its first line
+        for c in range(bisect_left(at, a - NEAR), bisect_right(at, b + NEAR)):
+            head, fn = heads[c]
+            between = range(b + 1, head) if head > b else ()
+            plain = alone and head > b and all(not lines[i].strip() or _ATTRIBUTE.match(lines[i]) for i in between)
+            near = plain and all(raw[i].strip() for i in between)
+            say = [clean(t) for t in texts if says_something(t, fn)]
+            if not say:
                 continue
-            signature = set(re.findall(r"[A-Za-z_$][\w$]*", lines[head]))
-            row.append(1 + gap - 0.5 * (len(tags & signature) / len(tags) if tags else 0) - 0.25 * (fn.lower() in text.lower()))
-        cost.append(row)
-    for c, h in assign(cost).items():
-        owner.setdefault(h, []).append(c)
-    for c, row in enumerate(cost):
-        h = next((i for i, w in enumerate(row) if w is not None), None)
-        if h is not None and c not in owner.get(h, []):
-            owner.setdefault(h, []).append(c)
-    return [(head, fn, [comments[c][2] for c in sorted(owner.get(i, []))]) for i, (head, fn) in enumerate(heads)]
+            place = ABOVE if near else APART if plain else ASTRAY
+            w = _weight("\n".join(texts), names - {fn.lower()}, place, fn, signatures[c])
+            if w >= PLAUSIBLE:
+                told[k, c], weight[k, c] = "\n".join(say), w
+                if near:
+                    direct.add((k, c))
+    mine = next((c for c, (_, n) in enumerate(heads) if n == name), 0)
+    if heads and says_something(summary, name):
+        told[-1, mine], weight[-1, mine] = clean(summary), SUMMARY
+        direct.add((-1, mine))
+    return [
+        Link(heads[c][0], heads[c][1], told[k, c], "summary" if k < 0 else "comment", (k, c) in direct, weight[k, c], c == mine)
+        for c, k in sorted(assign(weight).items())
+    ]
 
 
 _LEGAL = re.compile(r"copyright|\(c\)\s|©|all rights reserved|licen[cs]ed? under|under the .{0,40}licen[cs]e|spdx-license|\blicen[cs]e\b.{0,30}\bversion\b|see (?:the )?(?:notice|licen[cs]e)\b", re.I)
@@ -164,7 +241,12 @@ _REF = re.compile(r"<(?:see|seealso|paramref|typeparamref)\b[^>]*?(?:cref|name|l
 _INHERIT = re.compile(r"<inherit-?doc\b[^>]*?/?>|\{?@inherit-?doc\b[^}\s]*\}?", re.I)
 _CODE_LINE = re.compile(
     r"[;{}]\s*$|^\s*(?:return|throw|await|if|for|foreach|while|switch|case|var|let|const|import|using|public|private|protected|internal|static|export|new)\b.*[(){};=]"
-    r"|^[\w.$\[\]]+\s*(?:[-+*/]?=|\+\+|--)\s*\S|^[\w.$]+\([^()]*\)[;,]?\s*$|^\s*[)\]}]+[;,]?\s*$|=>\s*$|^</?\w+>$"
+    r"|^[\w.$\[\]]+\s*(?:[-+*/]?=|\+\+|--)\s*\S|^[\w.$]+\([^()]*\)[;,]?\s*$|^\s*[)\]}]+[;,]?\s*$|=>\s*$|^</?\w+>$|^\.\w+(?:<[^<>]*>)?\(.*\)[;,]?$|^return\s+[\w.]+$"
+)
+#: A heading on a line of its own, with a modifier or keyword before the name and parameters after it.
+_HEADING = re.compile(
+    r"^(?:(?:export|default|async|public|private|protected|internal|static|override|virtual|sealed|abstract|partial|extern|unsafe|readonly|new|function)\s+)+[\w<>,.\[\]?$ ]*\([^()]*\)\s*(?::\s*[\w<>\[\], |.]+)?$"
+    r"|^(?:if|for|foreach|while|switch|catch|using|lock|else if|fixed|synchronized)\s*\(.*\)$|^(?:else|try|finally|do)$"
 )
 #: Phrases that stand where documentation should be.
 _PLACEHOLDER = re.compile(
@@ -250,7 +332,7 @@ def says_something(text: str | None, name: str | None) -> bool:
         lines = [x for x in lines if not _LEGAL.search(x)]
         if len(" ".join(lines).split()) < 6:
             return False
-    if all(_CODE_LINE.search(x) for x in lines):
+    if all(_CODE_LINE.search(x) or _ATTRIBUTE.match(x) or _HEADING.match(x) for x in lines):
         return False
     flat = re.sub(r"\s+", " ", " ".join(lines)).strip()
     for p in _POINTER:
@@ -277,13 +359,9 @@ def has_code(source: str | None) -> bool:
 def describe(name: str | None, summary: str | None, source: str | None) -> tuple[str, str] | None:
     """(description, where it is from) of one function's row, or None if it has no code or says nothing.
 
-    The summary is taken if it says something, else the comments above the function in the snippet.
+    It is what :func:`documented` links with the function of the row's name, or with the first function where no
+    heading has the name; a comment counts only directly above. The summary and the comments above compete.
     """
     if not has_code(source):
         return None
-    if says_something(summary, name):
-        return clean(summary), "summary"
-    found = documented(source, name)
-    mine = [f for f in found if f[1] == name] or found[:1]
-    told = [clean(c) for c in (mine[0][2] if mine else []) if says_something(c, name)]
-    return ("\n".join(told), "comment") if told else None
+    return next(((x.text, x.origin) for x in documented(source, name, summary) if x.own and x.direct), None)

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from graphloom.llm.comments import assign, clean, documented, describe, has_code, says_something, split_comments, stem
 from graphloom.llm.files import attribute_rules, glob_regex, not_hand_written, text_sign, tidy_path
@@ -56,14 +58,63 @@ def test_functions_and_their_comments():
         "// Copyright (c) A.\n\n/// <summary>Adds a pair.</summary>\n/// <param name=\"left\">L.</param>\n[Obsolete]\npublic int Add(int left)\n{\n    // inside\n    return left;\n}\n"
         "\n// apart\n\nprivate void Drop()\n{\n}\n// one\n// two\nfunction go(a) {\n}\n"
     )
-    got = {name: [clean(c) for c in cs] for _, name, cs in documented(src)}
-    assert got == {"Add": ["Adds a pair."], "Drop": [], "go": ["one\ntwo"]}
+    got = {x.name: (x.text, x.direct) for x in documented(src)}
+    assert got == {"Add": ("Adds a pair.", True), "go": ("one\ntwo", True)}
 
 
-def test_assignment_is_cheapest():
-    assert assign([[1.0, 2.0], [1.0, 9.0]]) == {0: 1, 1: 0}
-    assert assign([[None, 3.0], [None, 1.0]]) == {1: 1} or assign([[None, 3.0], [None, 1.0]]) == {0: 1}
-    assert assign([]) == {}
+def test_matching_is_the_heaviest():
+    assert assign({(0, 0): 1.0, (0, 1): 2.0, (1, 0): 0.5, (1, 1): 1.9}) == {0: 0, 1: 1}
+    assert assign({}) == {} and assign({(0, 0): -1.0}) == {}
+    # Fewer pairs may weigh more than many: row 0 keeps column 1, row 1 stays alone.
+    assert assign({(0, 1): 5.0, (0, 0): 1.0, (1, 1): 3.0}) == {1: 0}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 4)), st.integers(-2, 9).map(float), max_size=14))
+def test_matching_against_all_matchings(weight):
+    from itertools import permutations
+
+    best = max(sum(max(0.0, weight.get((r, c), 0.0)) for r, c in enumerate(p)) for p in permutations(range(5)))
+    got = assign(weight)
+    assert len(set(got.values())) == len(got) and all(weight[r, c] > 0 for c, r in got.items())
+    assert abs(sum(weight[r, c] for c, r in got.items()) - best) < 1e-9
+
+
+def test_links_compete_and_implausible_ones_are_rejected():
+    # Both comments stand above b; the first one's tags are those of a, so a gets it and b the nearer one.
+    src = (
+        "function a(left, right) {\n}\n\n/** Joins both halves.\n * @param left x\n * @param right y\n */\n\n"
+        "// Drops the cache of the tray.\nfunction b(tray) {\n}\n"
+    )
+    got = {x.name: (x.text, x.direct) for x in documented(src)}
+    assert got == {"a": ("Joins both halves.", False), "b": ("Drops the cache of the tray.", True)}
+    # Blank lines, other names and foreign tags make a link implausible; the name mends the blank line.
+    assert documented("// Keeps the carry of a call.\n\nvoid Add(int a)\n{\n}\n") == []
+    assert [x.direct for x in documented("// Add keeps the carry of a call.\n\nvoid Add(int a)\n{\n}\n")] == [False]
+    assert documented("// Add keeps the carry of a call.\n// @param zeta z\n\nvoid Add(int a)\n{\n}\n") == []
+    assert documented("void Add(int a)\n{\n  // Keeps the carry of a call.\n}\n") == []
+    # A comment after the heading, or above a statement, belongs to nobody.
+    assert documented("void Add(int a) // Keeps the carry of a call.\n{\n}\n") == []
+
+
+def test_summary_and_comment_compete():
+    code = "/** Keeps the carry of add.\n * @param left x\n */\nfunction add(left) {\n}\n"
+    assert describe("add", "Sums with carry.", code) == ("Keeps the carry of add.", "comment")  # tags and name fit
+    assert describe("add", "Sums with carry.", code.replace("left x", "zeta x")) == ("Sums with carry.", "summary")
+    assert describe("gone", "Sums with carry.", "function add(left) {\n}\n") == ("Sums with carry.", "summary")
+
+
+def test_many_functions_in_one_source():
+    src = "".join(f"/** Moves tray {i} along. */\nfunction f{i}(a) {{\n}}\n\n" for i in range(800))
+    assert len(documented(src)) == 800
+
+
+def test_commented_out_code_says_nothing():
+    for code in (
+        "// [Obsolete]\n// public IEnumerable FooOld(int a)\n// {\n//   lock (_gate)\n//   return _rows\n//     .Where(x => x.A > 3)\n//     .ToList();\n// }",
+        "// public override string FooOld(in Keyword keyword)\n// {\n// return a.B();\n// }",
+    ):
+        assert not says_something(code, "Foo")
 
 
 def test_describe():
