@@ -1,9 +1,9 @@
 """Files that are not hand-written: generated, minified, built, copied from others, or data.
 
-Signs come from the text, from the path and from what repositories declare. Declarations are the rules of
-attribute files (patterns with ``linguist-generated`` or ``linguist-vendored``), the nearest directory and the
-last line winning. Repositories that declare nothing get an equivalent list of well-known patterns, and
-patterns mined from the files whose text tells.
+Repositories declare such paths in attribute files (``linguist-generated``, ``linguist-vendored``); the nearest
+directory and the last line win, for each attribute apart. From all paths that are declared, patterns are mined
+(directories, pairs of directories, name endings) and applied to repositories without an attribute file. A file's
+text and the reference items show the rest.
 """
 
 from __future__ import annotations
@@ -18,78 +18,30 @@ from pyspark.sql import functions as F
 from ..operators.versions import in_force
 from .functions import of_type
 
-#: An attribute file for repositories without one. Build and package tools write or fetch these.
-DEFAULT_ATTRIBUTES = """
-node_modules/ linguist-vendored
-bower_components/ linguist-vendored
-jspm_packages/ linguist-vendored
-vendor/ linguist-vendored
-third_party/ linguist-vendored
-third-party/ linguist-vendored
-thirdparty/ linguist-vendored
-3rdparty/ linguist-vendored
-external/*[-.@][0-9]*/ linguist-vendored
-externals/ linguist-vendored
-extern/ linguist-vendored
-packages/*.[0-9]*/ linguist-vendored
-Pods/ linguist-vendored
-Carthage/ linguist-vendored
-site-packages/ linguist-vendored
-.yarn/ linguist-vendored
-bin/Debug/ linguist-generated
-bin/Release/ linguist-generated
-bin/x64/ linguist-generated
-bin/x86/ linguist-generated
-obj/ linguist-generated
-dist/ linguist-generated
-build/ linguist-generated
-out/ linguist-generated
-compiled/ linguist-generated
-.next/ linguist-generated
-.nuxt/ linguist-generated
-.output/ linguist-generated
-.svelte-kit/ linguist-generated
-.angular/ linguist-generated
-.parcel-cache/ linguist-generated
-.turbo/ linguist-generated
-coverage/ linguist-generated
-lcov-report/ linguist-generated
-storybook-static/ linguist-generated
-__generated__/ linguist-generated
-generated/ linguist-generated
-gen/ linguist-generated
-autogen/ linguist-generated
-__snapshots__/ linguist-generated
-__pycache__/ linguist-generated
-target/debug/ linguist-generated
-target/release/ linguist-generated
-target/classes/ linguist-generated
-target/generated-sources/ linguist-generated
-*.min.* linguist-generated
-*-min.js linguist-generated
-*-min.css linguist-generated
-*.bundle.js linguist-generated
-*.chunk.js linguist-generated
-*.[0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f]*.js linguist-generated
-*.map linguist-generated
-*.g.cs linguist-generated
-*.g.i.cs linguist-generated
-*.designer.cs linguist-generated
-*.designer.vb linguist-generated
-*.generated.* linguist-generated
-*.gen.* linguist-generated
-*.pb.* linguist-generated
-*_pb.* linguist-generated
-*_pb2.py linguist-generated
-*_grpc.* linguist-generated
-*.freezed.dart linguist-generated
-*AssemblyInfo.cs linguist-generated
-*.AssemblyAttributes.cs linguist-generated
-TemporaryGeneratedFile_* linguist-generated
-*ModelSnapshot.cs linguist-generated
-*.snap linguist-generated
-package-lock.json linguist-generated
-"""
+#: Directories into which build and package tools write or fetch, at any depth, and endings of names
+#: they give. They stand for the attribute file of a repository without one.
+VENDORED_DIRS = """
+node_modules/ bower_components/ jspm_packages/ vendor/ third_party/ third-party/ thirdparty/ 3rdparty/
+external/*[-.@][0-9]*/ externals/ extern/ packages/*.[0-9]*/ Pods/ Carthage/ site-packages/ .yarn/
+""".split()
+GENERATED_DIRS = """
+bin/Debug/ bin/Release/ bin/x64/ bin/x86/ obj/ dist/ build/ out/ compiled/ .next/ .nuxt/ .output/
+.svelte-kit/ .angular/ .parcel-cache/ .turbo/ coverage/ lcov-report/ storybook-static/ __generated__/
+generated/ gen/ autogen/ __snapshots__/ __pycache__/ target/debug/ target/release/ target/classes/
+target/generated-sources/
+""".split()
+GENERATED_NAMES = """
+*.min.* *-min.js *-min.css *.bundle.js *.chunk.js
+*.[0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f]*.js *.map *.g.cs *.g.i.cs *.designer.cs
+*.designer.vb *.generated.* *.gen.* *.pb.* *_pb.* *_pb2.py *_grpc.* *.freezed.dart *AssemblyInfo.cs
+*.AssemblyAttributes.cs TemporaryGeneratedFile_* *ModelSnapshot.cs *.snap package-lock.json
+""".split()
+DEFAULT_ATTRIBUTES = "\n".join(
+    [f"**/{d}** linguist-vendored" for d in VENDORED_DIRS] + [f"**/{d}** linguist-generated" for d in GENERATED_DIRS] + [f"{n} linguist-generated" for n in GENERATED_NAMES]
+)
+#: The attributes that count, and the roles an index gives to files that are not hand-written.
+ATTRIBUTES = ("linguist-generated", "linguist-vendored")
+NOT_WRITTEN = ("generated", "buildartifact", "snapshot")
 #: Openings of a comment in which a tool says that it wrote the file.
 _WRITTEN_BY_TOOL = re.compile(
     r"^(?:<auto-?generated\b|@generated\b|\[?(?:this (?:file|code|source|class|module) (?:was|is|has been) )?(?:auto(?:matically)?[- ]?)?(?:generated|produced|created|emitted|written|built) (?:code |file )?(?:by|from|with|using|via) (?:a |an |the )?[\w`.@-]+"
@@ -119,53 +71,97 @@ def tidy_path(path: str | None) -> str:
 
 
 @lru_cache(4096)
-def glob_regex(pattern: str) -> str:
+def glob_regex(pattern: str) -> str | None:
     """The regular expression of an attribute-file pattern, over a path below the file's directory.
 
-    Without an inner slash it is about names at any depth; a trailing slash or ``/**`` means all below.
+    A slash at the start or inside ties the pattern to that directory; else it is about names at any depth. ``**/``
+    at the start, ``/**`` at the end and ``/**/`` stand for directories. A pattern with a trailing slash is about
+    directories only and so about no file; it and the empty and negated patterns give None.
     """
-    p = pattern.strip()
-    below = p.endswith("/") or p.endswith("/**")
-    p = re.sub(r"/(?:\*\*)?$", "", p)
-    anchored = p.startswith("/") or (pattern.startswith("/"))
-    deep = not anchored and ("/" not in p or below)
-    p = p.lstrip("/")
+    if not pattern or pattern.endswith("/") or pattern.startswith("!"):
+        return None
+    tied = "/" in pattern
+    p = pattern.removeprefix("/")
     out, i = "", 0
     while i < len(p):
-        if p.startswith("**/", i):
+        if p.startswith("**/", i) and (i == 0 or p[i - 1] == "/"):
             out, i = out + "(?:.*/)?", i + 3
-        elif p.startswith("**", i):
-            out, i = out + ".*", i + 2
+        elif p[i:] == "**" and i and p[i - 1] == "/":
+            out, i = out + ".+", i + 2
         elif p[i] == "*":
             out, i = out + "[^/]*", i + 1
         elif p[i] == "?":
             out, i = out + "[^/]", i + 1
         elif p[i] == "[" and "]" in p[i + 2 :]:
             end = p.index("]", i + 2)
-            out, i = out + "[" + p[i + 1 : end].replace("!", "^", 1 if p[i + 1] == "!" else 0) + "]", end + 1
+            inner = p[i + 1 : end]
+            no = inner[0] in "!^"
+            out, i = out + "(?!/)[" + "^" * no + re.sub(r"([\\\[\]^&])", r"\\\1", inner[no:]) + "]", end + 1
+        elif p[i] == "\\" and i + 1 < len(p):
+            out, i = out + re.escape(p[i + 1]), i + 2
         else:
             out, i = out + re.escape(p[i]), i + 1
-    return ("^(?:.*/)?" if deep else "^") + out + ("/.*$" if below else "$")
+    return ("^" if tied else "^(?:.*/)?") + out + "$"
+
 
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"(?:\s+|$)')
+_MACRO = "[attr]"
 
-def attribute_rules(text: str | None) -> list[tuple[int, str, bool]]:
-    """Line, regular expression and value of each rule about generated or vendored paths in an attribute file."""
+
+def _split_line(line: str) -> tuple[str, list[str]]:
+    """The pattern of a line, unquoted, and its attributes."""
+    m = _QUOTED.match(line)
+    if not m:
+        pattern, *rest = line.split()
+        return pattern, rest
+    known = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+    plain = re.sub(r"\\([0-7]{3}|.)", lambda x: chr(int(x[1], 8)) if len(x[1]) == 3 else known.get(x[1], x[1]), m[1])
+    return plain, line[m.end() :].split()
+
+
+def attribute_macros(text: str | None) -> dict[str, list[str]]:
+    """Attributes that each macro of a top-level attribute file stands for; the last definition holds."""
+    out = {}
+    for line in (text or "").splitlines():
+        name, *rest = line.strip().split() or [""]
+        if name.startswith(_MACRO) and len(name) > len(_MACRO):
+            out[name[len(_MACRO) :]] = rest
+    return out
+
+
+def attribute_rules(text: str | None, macros: dict[str, list[str]] | None = None) -> list[tuple[int, int, str, str, int]]:
+    """Line, place in the line, regular expression, attribute and state of each rule about generated or vendored
+    paths: 1 set, 0 unset or false, -1 unspecified again (``!``). Macros count where they are set."""
     rules = []
     for n, line in enumerate((text or "").splitlines()):
         line = line.strip()
-        if not line or line.startswith("#"):
+        if not line or line.startswith(("#", _MACRO)):
             continue
-        pattern, *attributes = line.split()
-        for a in attributes:
-            m = re.fullmatch(r"(-|!)?linguist-(?:generated|vendored)(?:=(\w+))?", a)
-            if m:
-                rules.append((n, glob_regex(pattern), m[1] is None and (m[2] or "true").lower() not in ("false", "0", "unset")))
+        pattern, attributes = _split_line(line)
+        regex = glob_regex(pattern)
+        if regex is None:
+            continue
+        flat: list[str] = []
+
+        def spread(names: list[str], within: tuple[str, ...] = ()) -> None:
+            for a in names:
+                flat.append(a)
+                if macros and a in macros and a not in within:
+                    spread(macros[a], (*within, a))
+
+        spread(attributes)
+        for k, a in enumerate(flat):
+            m = re.fullmatch(r"([-!]?)([^=\s]+)(?:=(.*))?", a)
+            if m and m[2] in ATTRIBUTES:
+                off = m[1] == "-" or (m[3] is not None and m[3].lower() == "false")
+                rules.append((n, k, regex, m[2], -1 if m[1] == "!" else 0 if off else 1))
     return rules
 
 
 @lru_cache(1)
 def _default() -> re.Pattern:
-    return re.compile("|".join(f"(?:{r})" for _, r, on in attribute_rules(DEFAULT_ATTRIBUTES) if on), re.I)
+    """The built-in rules, for paths in any letter case."""
+    return re.compile("|".join(f"(?:{r})" for _, _, r, _, state in attribute_rules(DEFAULT_ATTRIBUTES) if state == 1), re.I)
 
 
 def head_comments(text: str) -> list[str]:
@@ -235,9 +231,10 @@ def shingles(text: str | None, n: int = 5) -> set[int]:
 
 
 def path_keys(path: str) -> list[str]:
-    """What a pattern can be mined from: the directories of a path and the endings of its name."""
+    """What a pattern can be mined from, in any letter case: the directories of a path, pairs of them, the
+    endings of its name."""
     *dirs, name = path.lower().split("/")
-    keys = {f"{d}/" for d in dirs}
+    keys = {f"{d}/" for d in dirs} | {f"{a}/{b}/" for a, b in zip(dirs, dirs[1:])}
     parts = name.split(".")
     if len(parts) > 2:
         keys.add("*." + ".".join(parts[1:]))
@@ -259,7 +256,7 @@ def _signs(batches):
         rows = []
         for i, project, path, role, text in zip(*(b.column(k).to_pylist() for k in range(5))):
             p = tidy_path(path)
-            attributes = p.lower().rsplit("/", 1)[-1] == ".gitattributes"
+            attributes = p.rsplit("/", 1)[-1] == ".gitattributes"
             rows.append({
                 "id": i, "project": project or "", "path": p, "role": (role or "").strip().lower(), "blank": not (text or "").strip(),
                 "sign": None if attributes else text_sign(text), "listed": bool(p and default.match(p)), "keys": path_keys(p) if p else [],
@@ -274,29 +271,74 @@ def _item_shingles(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))], names=["item", "shingles"])
 
 
+_RULE = "project string, dir string, line int, place int, regex string, attribute string, state int"
+
+
 def _rules(batches):
     for b in batches:
         rows = [
-            {"project": pr, "dir": p.rsplit("/", 1)[0] + "/" if "/" in p else "", "line": n, "regex": r, "value": v}
-            for pr, p, text in zip(*(b.column(k).to_pylist() for k in range(3)))
-            for n, r, v in attribute_rules(text)
+            {"project": pr, "dir": p.rsplit("/", 1)[0] + "/" if "/" in p else "", "line": n, "place": k, "regex": r, "attribute": a, "state": v}
+            for pr, p, text, top in zip(*(b.column(k).to_pylist() for k in range(4)))
+            for n, k, r, a, v in attribute_rules(text, attribute_macros(top))
         ]
-        schema = pa.schema([("project", pa.string()), ("dir", pa.string()), ("line", pa.int32()), ("regex", pa.string()), ("value", pa.bool_())])
+        schema = pa.schema([
+            ("project", pa.string()), ("dir", pa.string()), ("line", pa.int32()), ("place", pa.int32()), ("regex", pa.string()), ("attribute", pa.string()), ("state", pa.int32()),
+        ])
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+#: Parts into which the files of one directory are dealt when they meet its rules.
+SALTS = 16
+
+
+def declarations(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """``id, declared`` of files (``id, project, path``) of which an attribute file (``project, path, rules``) says something.
+
+    Of the rules of all attribute files above a path those that match are compared for each attribute: the deepest
+    directory wins, then the last line, then the last place in the line. ``declared`` is true if an attribute ends
+    up set, false if one ends up unset and none set; paths left unspecified have no row. Macros come from the
+    attribute file at the top of the project. Files of one directory are dealt to several tasks.
+    """
+    top = sources.where("path = '.gitattributes'").groupBy("project").agg(F.max("rules").alias("top"))
+    rules = sources.join(top, "project", "left").select("project", "path", "rules", "top").mapInArrow(_rules, _RULE)
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+    dealt = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        files.where("path != ''").select("id", "project", "path", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(up).alias("dir"))
+        .join(dealt, ["project", "dir", "salt"])
+        .where(F.expr("substring(path, length(dir) + 1) rlike regex"))
+        .groupBy("id", "attribute").agg(F.max_by("state", F.struct(F.length("dir"), "line", "place")).alias("state"))
+        .groupBy("id").agg(F.max("state").alias("state")).where("state >= 0").select("id", (F.col("state") == 1).alias("declared"))
+    )
+
+
+def mined_patterns(declared: DataFrame, support: int, precision: float, projects: int) -> DataFrame:
+    """``key`` of patterns (see :func:`path_keys`) that hold of at least ``support`` declared files in at least
+    ``projects`` projects, ``precision`` of them declared not hand-written. ``declared``: ``project, keys, off``."""
+    return (
+        declared.select("project", F.explode("keys").alias("key"), F.col("off").cast("int").alias("e"))
+        .groupBy("key", "project").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
+        .groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count("*").alias("projects"))
+        .where((F.col("n") >= support) & (F.col("projects") >= projects) & (F.col("e") >= precision * F.col("n"))).select("key")
+    )
+
+
 def not_hand_written(
-    nodes: DataFrame, items: DataFrame, similarity: float = 0.8, support: int = 20, precision: float = 0.8, least_shingles: int = 10
+    nodes: DataFrame, items: DataFrame, similarity: float = 0.8, support: int = 5, precision: float = 0.8, projects: int = 2, least_shingles: int = 10
 ) -> DataFrame:
     """``id, path, reason`` of the files in force that are not hand-written source.
 
     The reason is the first of: what the text shows (``generated``, ``vendored``, ``data``, ``minified``); ``copy``,
     if at least ``similarity`` of its five-word shingles (at least ``least_shingles``) stand in one reference item;
-    ``declared`` by the attribute files of its project; ``listed``, on the well-known patterns; ``role``, a stored
-    role of generated, build artefact or snapshot where there is no text that could show otherwise; ``mined``, a
-    directory name or ending of which at least ``support`` files are there and ``precision`` of them are found by
-    text or role. A path declared hand-written is not taken for its pattern. Files without a path are judged by
-    text and role. Shingles are compared by an equi-join on the shingle, items first thinned to distinct ones.
+    ``declared`` by the attribute files of its project (:func:`declarations`); in projects without attribute files
+    ``mined``, a pattern mined from declared paths (:func:`mined_patterns`), and ``listed``, the built-in patterns;
+    ``role``, a stored role of generated, build artefact or snapshot where there is no text that could show otherwise.
+
+    Paths are declared by attribute files and, in projects that have none, by the stored role: one of generated
+    files or one of written files; an unknown or missing role declares nothing. Roles are out of date at times,
+    hence a precision below 1. Files without a path are judged by text and role. Shingles are compared by an
+    equi-join on the shingle, items first thinned to distinct ones. Ids are unique among the rows in force.
     """
     from ..plans.session import Workspace
 
@@ -316,34 +358,27 @@ def not_hand_written(
         .where(F.col("same") >= similarity * F.col("n")).select("id").distinct().withColumn("copy", F.lit(True))
     )
 
-    rules = signs.where("rules is not null").select("project", "path", "rules").mapInArrow(
-        _rules, "project string, dir string, line int, regex string, value boolean"
+    sources = signs.where("rules is not null").select("project", "path", "rules")
+    declared = declarations(ours, sources)
+    ruled = sources.select("project").distinct().withColumn("ruled", F.lit(True))
+    known_paths = ours.join(declared, "id", "left").join(ruled, "project", "left").withColumn("ruled", F.coalesce("ruled", F.lit(False)))
+    role_off = F.col("role").isin(*NOT_WRITTEN)
+    stated = known_paths.where("path != '' and (ruled or role not in ('', 'unknown'))").select(
+        "project", "keys", F.when(F.col("ruled"), F.coalesce("declared", F.lit(False))).otherwise(role_off).alias("off")
     )
-    parts = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
-    declared = (
-        ours.where("path != ''").select("id", "project", "path", F.explode(up).alias("dir")).join(rules, ["project", "dir"])
-        .where(F.expr("substring(path, length(dir) + 1) rlike concat('(?i)', regex)"))
-        .groupBy("id").agg(F.max_by("value", F.struct(F.length("dir"), "line")).alias("declared"))
-    )
-
-    believed = F.col("sign").isNotNull() | (F.col("role").isin("generated", "buildartifact", "snapshot") & F.col("blank"))
-    evidence = F.col("sign").isNotNull() | F.col("role").isin("generated", "buildartifact", "snapshot")
-    keyed = ours.select("id", F.explode("keys").alias("key"), evidence.cast("int").alias("e"))
-    patterns = (
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
-        .where((F.col("n") >= support) & (F.col("e") >= precision * F.col("n"))).select("key")
+    patterns = mined_patterns(stated, support, precision, projects)
+    mined = (
+        known_paths.where("not ruled").select("id", F.explode("keys").alias("key")).join(patterns, "key", "left_semi")
+        .select("id").distinct().withColumn("mined", F.lit(True))
     )
-    mined = keyed.join(patterns, "key").select("id").distinct().withColumn("mined", F.lit(True))
 
-    all_ = ours.join(copies, "id", "left").join(declared, "id", "left").join(mined, "id", "left")
-    by_path = F.coalesce(F.col("declared"), F.lit(True))
+    all_ = known_paths.join(copies, "id", "left").join(mined, "id", "left")
     reason = (
         F.when(F.col("sign").isNotNull(), F.col("sign"))
         .when(F.col("copy"), "copy")
         .when(F.col("declared"), "declared")
-        .when(F.col("listed") & by_path, "listed")
-        .when(believed, "role")
-        .when(F.col("mined") & by_path, "mined")
+        .when(F.col("mined"), "mined")
+        .when(F.col("listed") & ~F.col("ruled"), "listed")
+        .when(role_off & F.col("blank") & F.coalesce(F.col("declared"), F.lit(True)), "role")
     )
     return all_.select("id", "path", reason.alias("reason")).where("reason is not null")

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm.comments import assign, clean, documented, describe, has_code, says_something, split_comments, stem
-from graphloom.llm.files import attribute_rules, glob_regex, not_hand_written, text_sign, tidy_path
+from graphloom.llm.files import ATTRIBUTES, attribute_macros, attribute_rules, declarations, glob_regex, not_hand_written, text_sign, tidy_path
 from graphloom.llm.functions import function_pairs
 from graphloom.llm.neighbours import most_similar, read_vector, similar_pairs, usable_vectors
 
@@ -142,12 +142,43 @@ def test_function_pairs(spark):
 
 def test_globs():
     m = lambda p, x: __import__("re").match(glob_regex(p), x) is not None
-    assert m("*.g.cs", "a/b/X.g.cs") and not m("*.g.cs", "a/X.cs") and m("obj/", "a/obj/x/y.cs") and not m("obj/", "a/objects/x.cs")
-    assert m("/gen/*.ts", "gen/a.ts") and not m("/gen/*.ts", "a/gen/a.ts") and m("src/**/x.js", "src/x.js") and m("src/**/x.js", "src/a/b/x.js")
-    assert attribute_rules("# c\n*.pb.go linguist-generated\nlib/** linguist-vendored=false -linguist-generated text\n")[1:] == [(2, glob_regex("lib/**"), False)] * 2
+    assert m("*.g.cs", "a/b/X.g.cs") and not m("*.g.cs", "a/X.cs") and not m("*.g.cs", "a/X.G.cs")
+    assert m("/gen/*.ts", "gen/a.ts") and not m("/gen/*.ts", "a/gen/a.ts") and not m("gen/*.ts", "gen/a/b.ts")
+    # An inner slash ties a pattern to its directory, whatever follows.
+    assert m("vendor/**", "vendor/a/b.c") and not m("vendor/**", "x/vendor/b.c") and not m("vendor/**", "vendor") and m("**/vendor/**", "x/vendor/b.c")
+    assert m("src/**/x.js", "src/x.js") and m("src/**/x.js", "src/a/b/x.js") and m("**/x.js", "x.js") and not m("a**b", "a/b") and m("a**b", "axyb")
+    assert m("[!a-c]*.js", "d.js") and not m("[!a-c]*.js", "x/a.js") and m("a[.]b", "a.b") and m("we\\*rd", "we*rd") and not m("we\\*rd", "weird") and m("a?c", "abc") and not m("a?c", "a/c")
+    assert glob_regex("obj/") is None and glob_regex("!x") is None and glob_regex("") is None  # a directory is no file
+
+
+def test_attribute_files():
+    g, v = ATTRIBUTES
+    text = '# c\n*.pb.go linguist-generated\n"my lib/**" linguist-vendored=false -linguist-generated text\nobj/ linguist-generated\n*.x !linguist-vendored\n*.t tool\n'
+    rules = attribute_rules(text, attribute_macros("[attr]tool linguist-generated -diff\n[attr]\n"))
+    assert [(n, k, a, x) for n, k, _, a, x in rules] == [(1, 0, g, 1), (2, 0, v, 0), (2, 1, g, 0), (4, 0, v, -1), (5, 1, g, 1)]
+    assert rules[1][2] == glob_regex("my lib/**")
+    assert attribute_rules("*.t -tool\n*.u tool", {"tool": ["tool", "linguist-generated"]})[0][0] == 1  # a macro that names itself; unset ones say nothing
+    assert attribute_rules(None) == [] and attribute_macros(None) == {}
     assert tidy_path(" .\\src//a.cs") == "src/a.cs" and tidy_path(None) == ""
 
 
+def test_declarations(spark):
+    sources = spark.createDataFrame([
+        ("p", ".gitattributes", "[attr]made linguist-generated\n*.ts made\nlib/** linguist-vendored\nown/** linguist-generated\n"),
+        ("p", "lib/.gitattributes", "ours/** !linguist-vendored\nk.js -linguist-vendored\nx.js -linguist-vendored linguist-vendored\n*.ts -linguist-generated\n"),
+        ("p", "own/.gitattributes", "* linguist-generated\nhand.js linguist-generated=false\n"),
+        ("q", "sub/.gitattributes", "gen/** linguist-generated\n"),
+    ], "project string, path string, rules string")
+    paths = ["a.ts", "a.js", "lib/b.js", "lib/k.js", "lib/x.js", "lib/c.ts", "lib/ours/d.js", "lib/ours/d.ts", "own/z.js", "own/hand.js", "deep/lib/b.js", ""]
+    files = spark.createDataFrame([(f"p:{x}", "p", x) for x in paths] + [(f"q:{x}", "q", x) for x in ("gen/a.js", "sub/gen/a.js", "a.ts")], "id string, project string, path string")
+    got = {r["id"]: r["declared"] for r in declarations(files, sources).collect()}
+    assert got == {
+        "p:a.ts": True, "p:lib/b.js": True, "p:lib/k.js": False, "p:lib/x.js": True, "p:lib/c.ts": True,  # vendored still, though not generated
+        "p:lib/ours/d.ts": False, "p:own/z.js": True, "p:own/hand.js": False, "q:sub/gen/a.js": True,
+    }
+    assert declarations(files, sources.limit(0)).count() == 0
+
+
 SIGNS = [
     ("// <auto-generated>\n// x\nclass A {}", "generated"), ("/* @generated by t */\nx", "generated"), ("#nullable enable\n// Code generated by t v1. DO NOT EDIT.\nx", "generated"),
     ("// Ce fichier est généré par t, toute modification sera perdue.\nx", "generated"), ("// Automatisch erzeugt aus a.xml - nicht von Hand ändern\nx", "generated"),
@@ -170,19 +201,27 @@ def test_not_hand_written(spark):
     df = nodes(spark, [
         f("hand", "src/CodeGeneration/GeneratedThing.cs"), f("obj", "src\\a\\obj\\Debug\\x.cs"), f("copy", "src/util/y.js", "// patched\n" + body.replace("load3", "load3b")), f("vend", "third_party/p/z.js"),
         f("stale", "src/a.cs", role="Generated"), f("bare", "src/b.cs", None, " generated "), f("null", None, None, None), f("snap", "src/Data/XModelSnapshot.cs"), f("test", "tests/AbcTests.cs"),
-        f("attr", "lib/.gitattributes", "gen/** -linguist-generated\nown.js linguist-vendored\n"), f("kept", "lib/gen/k.ts"), f("own", "lib/own.js"), f("else", "gen/k.ts"),
-        f("m", "obj/x.cs", type="Method"),
+        f("m", "obj/x.cs", type="Method"), f("case", "Src/OBJ/x.cs"),
     ])
     items = spark.createDataFrame([(1, body, "x"), (2, None, None), (3, "", None)], "item_id long, content string, id string")
     got = {r["id"]: r["reason"] for r in not_hand_written(df, items).collect()}
-    assert got == {"obj": "listed", "copy": "copy", "vend": "listed", "bare": "role", "snap": "listed", "own": "declared", "else": "listed"}
+    assert got == {"obj": "listed", "copy": "copy", "vend": "listed", "bare": "role", "snap": "listed", "case": "listed"}
     assert not_hand_written(df.limit(0), items.limit(0)).count() == 0
 
 
-def test_mined_patterns(spark):
-    rows = [{"id": f"g{i}", "type": "File", "file_path": f"src/emitted/f{i}.cs", "source_snippet": "// <auto-generated>\nx" if i else "class A {}\n", "project_context": "p"} for i in range(25)]
+def test_patterns_are_mined_from_declarations_and_used_elsewhere(spark):
+    f = lambda i, path, project, text="class A {\n}\n", role="Source": {"id": i, "type": "File", "file_path": path, "source_snippet": text, "file_role": role, "project_context": project}
+    rows = []
+    for p in ("p", "q"):  # two repositories declare what is in emitted/, and that kept/ is theirs
+        rows += [f(f"{p}a", ".gitattributes", p, "emitted/** linguist-generated\nemitted/own.ts -linguist-generated\nobj/** -linguist-generated\n"), f(f"{p}own", "emitted/own.ts", p), f(f"{p}obj", "obj/k.cs", p)]
+        rows += [f(f"{p}e{i}", f"emitted/f{i}.ts", p) for i in range(8)] + [f(f"{p}h{i}", f"src/f{i}.ts", p) for i in range(8)]
+        rows += [f(f"{p}out", "dist/x.js", p)]  # a repository with an attribute file is not judged by patterns
+    rows += [f("r1", "web/Emitted/z.ts", "r"), f("r2", "src/z.ts", "r"), f("r3", "dist/z.js", "r")]  # one without any
+    rows += [f(f"s{i}", f"src/made/f{i}.cs", "st"[i % 2], role="Generated") for i in range(9)] + [f("s9", "src/made/g.cs", "s", role=None)]  # roles declare, too
+    rows += [f(f"t{i}", f"src/Release/f{i}.cs", "t", role="BuildArtifact" if i % 2 else "Source") for i in range(12)]  # not precise enough
     got = {r["id"]: r["reason"] for r in not_hand_written(nodes(spark, rows), spark.createDataFrame([], "item_id long, content string")).collect()}
-    assert got["g0"] == "mined" and len(got) == 25
+    want = {f"{p}e{i}": "declared" for p in "pq" for i in range(8)} | {"r1": "mined", "r3": "listed"} | {f"s{i}": "mined" for i in range(10)}
+    assert got == want
 
 
 # Vectors
