@@ -1,5 +1,6 @@
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from graphloom.llm.bpe import DEFAULT_VOCABULARY, PATTERN, TrieEncoder, encode_column, slices
 from graphloom.llm.packing import pack
 from graphloom.llm.spans import Block, SharedSpans, anchors
-from graphloom.llm.terms import BurstTrie, term_counts, terms_of
+from graphloom.llm.terms import BurstTrie, route_of, term_counts, terms_of
 
 D = "doc_id long, text string, tokens int, cls string"  # the last two clash with inner names
 
@@ -124,11 +125,38 @@ def test_burst_trie_counts(words):
     for w in words:
         t.add(w, 2, 1)
     got = {}
-    for prefix, terms, occ, rec in t.leaves():
-        for w, o, r in zip(terms, occ, rec):
-            assert w.startswith(prefix) and w not in got
-            got[w] = (o, r)
+    for prefix, rests, occ, rec in t.leaves():
+        for w, o, r in zip(rests, occ, rec):
+            assert prefix + w not in got
+            got[prefix + w] = (o, r)
     assert got == {w: (2 * words.count(w), words.count(w)) for w in words} and t.terms == len(got)
+    for p, n in t.weights(0).items():
+        assert n == sum(w.startswith(p) for w in got)
+    assert set(t.weights(0)) == {w[:i] for w in got for i in range(len(w) + 1)}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab", max_size=6), max_size=12), max_size=4), st.sets(st.text(alphabet="ab", max_size=3)))
+def test_routed_subtrees_merge_to_the_sum(parts, some):
+    """Tries burst differently; cut at any set of split prefixes and merged by route they give the counts."""
+    split = frozenset(p[:i] for p in some for i in range(len(p) + 1))
+    tries = {}
+    for k, words in enumerate(parts):
+        t = BurstTrie(burst=1 + k)
+        for w in words:
+            t.add(w, 1, 1)
+        for prefix, rests, occ, rec in t.leaves():
+            for r, o, c in zip(rests, occ, rec):
+                route = route_of(prefix + r, split)
+                assert (prefix + r).startswith(route) and (prefix in split or route == route_of(prefix, split))
+                tries.setdefault(route, BurstTrie(burst=2)).graft(prefix, [r], [o], [c])
+    got = {}
+    for t in tries.values():
+        for prefix, rests, occ, rec in t.leaves():
+            for r, o in zip(rests, occ):
+                assert prefix + r not in got
+                got[prefix + r] = o
+    assert got == Counter(w for words in parts for w in words)
 
 
 def test_term_counts(spark):
@@ -138,6 +166,22 @@ def test_term_counts(spark):
     assert term_counts(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_a_prefix_that_most_terms_share_is_split(spark):
+    long = "p" * 40  # longer than prefixes can be split
+    terms = [f"pre{i:04d}" for i in range(3000)] + [f"{long}{i}" for i in range(2000)] + [f"q{i}" for i in range(50)]
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.sample(terms, 400)) for _ in range(60)]
+    want, recs = Counter(), Counter()
+    for t in texts:
+        want.update(t.split())
+        recs.update(set(t.split()))
+    df = docs(spark, texts).repartition(4)
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in term_counts(df, routes=16, least_route=20).collect()}
+    assert got == {t: (want[t], recs[t]) for t in want}
+    split = frozenset(["", *[long[:i] for i in range(1, 33)]])
+    assert len({route_of(t, split) for t in terms if t.startswith(long)}) > 32 and route_of("q1", split) == "q"
+
+
 def shared(a, b, n):
     return any(a[i : i + n] in b for i in range(len(a) - n + 1))
 
