@@ -1,8 +1,10 @@
 """Long exact spans shared between documents, by relative Lempel-Ziv parsing.
 
-Every document is a reference block. A document is parsed only against blocks with which it shares an anchor:
-a position chosen by content alone, such that any span of the wanted length holds one. Anchors are the index
-of the blocks; the parse against a block is exact.
+Equal texts form a class. An anchor is a gram of half the wanted length chosen by content alone, such that any
+span of that length holds one. Around every anchor that stands in more than one class, the grams of the full
+length are compared by hash; texts that have one in common are each linked with one of them, the reference block
+of that passage. Texts are then parsed against the blocks they are linked with, once per link, so a passage that
+n texts share costs n parses. What the parse finds decides; hashes only name the blocks.
 """
 
 from __future__ import annotations
@@ -51,48 +53,125 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(m[: len(m) - (w - k)], m[w - k :]) if k < w else m
 
 
-def anchors(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, anchor hash and refined keys of every anchor of texts of at least ``span`` code points.
+#: Stands around texts that are hashed together; no code point.
+_EDGE = np.uint32(0x110000)
+
+
+class _Joined:
+    """Several texts in one array, with edges around each so that no window reaches into another text."""
+
+    def __init__(self, texts: list[str], span: int):
+        self.span, self.k = span, span // 2
+        self.reach = span - self.k  # an anchor lies at most so far inside a gram of the span's length
+        lens = np.array([len(t) for t in texts], dtype=np.int64)
+        edge = np.full(self.reach, _EDGE, dtype=np.uint32)
+        parts = [edge]
+        for t in texts:
+            parts += [codes(t), edge]
+        self.x = np.concatenate(parts)
+        self.start = self.reach + np.concatenate(([0], np.cumsum(lens + self.reach)[:-1])).astype(np.int64) if len(lens) else np.zeros(0, np.int64)
+        self.text = np.full(len(self.x), -1, dtype=np.int64)
+        self.left = np.zeros(len(self.x), dtype=np.int64)  # code points from here to the end of the text
+        for i, (s, n) in enumerate(zip(self.start.tolist(), lens.tolist())):
+            self.text[s : s + n] = i
+            self.left[s : s + n] = np.arange(n, 0, -1)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text number and hash of the distinct anchors of each text."""
+        g, span = grams(self.x, self.k), self.span
+        h = np.where(self.left[: len(g)] >= self.k, g, _TOP)
+        w = span - self.k + 1
+        low = _slide(h, w, np.minimum)
+        low = np.where(self.left[: len(low)] >= span, low, np.uint64(0))  # windows over the end of a text say nothing
+        low = np.concatenate((np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)))
+        best = _slide(low, w, np.maximum)[: len(h)]
+        at = np.flatnonzero((best == h) & (h != _TOP))
+        rows = np.unique(np.stack([self.text[at].astype(np.uint64), h[at]], axis=1), axis=0)
+        return rows[:, 0].astype(np.int64), rows[:, 1].view(np.int64)
+
+    def gram(self, at: np.ndarray, n: int, hashes: np.ndarray) -> np.ndarray:
+        """Hashes of the grams of n code points at positions of one text, 0 where the text ends before."""
+        inside = (at >= 0) & (self.left[np.maximum(at, 0)] >= n)
+        return np.where(inside, hashes[np.minimum(np.maximum(at, 0), len(hashes) - 1)], np.uint64(0))
+
+
+def anchors(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every distinct anchor of texts of at least ``span`` code points.
 
     A gram of half the span is an anchor if it has the least hash within some window of the span's length, so
-    two equal spans hold the same anchor. Besides the gram, an equal span holds a quarter of its length more on
-    the left or on the right; the hashes of both longer grams (32 bits each, 0 if the text ends before) tell
-    apart texts that share no more than the anchor.
+    two equal spans hold the same anchor at the same place.
     """
-    k = span // 2
-    w, q = span - k + 1, -(-(span - k) // 2)
-    lens = np.array([len(t) for t in texts])
-    x = codes("".join(texts))
-    ends = np.cumsum(lens)
-    left = np.repeat(ends, lens) - np.arange(len(x))  # code points from here to the end of the text
-    begun = np.arange(len(x)) - np.repeat(ends - lens, lens)
-    g = grams(x, k)
-    h = np.where(left[: len(g)] >= k, g, _TOP)
-    low = _slide(h, w, np.minimum)
-    low = np.where(left[: len(low)] >= span, low, np.uint64(0))  # windows over the end of a text say nothing
-    low = np.concatenate((np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)))
-    best = _slide(low, w, np.maximum)[: len(h)]
-    at = np.flatnonzero((best == h) & (h != _TOP))
-    mine = np.repeat(np.arange(len(texts)), lens)[at]
-    one = np.uint64(1)
-    pad = np.concatenate((g, np.zeros(q, np.uint64)))
-    before = np.where(begun[at] >= q, (_join(g[np.maximum(at - q, 0)], g[at]) >> np.uint64(32)) | one, np.uint64(0))
-    after = np.where(left[at] >= k + q, (_join(g[at], pad[at + q]) >> np.uint64(32)) | one, np.uint64(0))
-    keys = (before << np.uint64(32)) | after
-    rows = np.unique(np.stack([mine.astype(np.uint64), h[at], keys], axis=1), axis=0)
-    return rows[:, 0].astype(np.int64), rows[:, 1].view(np.int64), rows[:, 2].view(np.int64)
+    return _Joined(texts, span).anchors()
+
+
+def quarters(span: int) -> list[tuple[int, int]]:
+    """Ranges (both ends included) of places that an anchor can have in a span."""
+    reach = span - span // 2
+    q = -(-reach // 4)
+    return [(a, min(a + q, reach)) for a in range(0, reach, q)]
 
 
 def _anchor_batches(batches, span: int):
     for b in batches:
         texts, cls = b.column(0).to_pylist(), b.column(1).to_numpy()
         for s, e in slices([len(t) for t in texts]):
-            mine, anchor, keys = anchors(texts[s:e], span)
+            mine, anchor = anchors(texts[s:e], span)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(cls[s:e][mine])], names=["anchor", "cls"])
+
+
+_PLACE = "anchor bigint, cls bigint, pos int, win bigint, keys array<bigint>"
+
+
+def _places(batches, span: int):
+    """Where the anchors stand in each text: position, hash of the window around (cut off at the ends of the text),
+    and for each quarter the hash of what all grams of the span's length with the anchor there have in common (0
+    if there is none)."""
+    for b in batches:
+        texts, cls, wanted = b.column(1).to_pylist(), b.column(0).to_numpy(), b.column(2)
+        off, flat = wanted.offsets.to_numpy(), wanted.values.to_numpy().view(np.uint64)
+        for s, e in slices([len(t) for t in texts]):
+            j = _Joined(texts[s:e], span)
+            g = grams(j.x, j.k)
+            live = np.unique(flat[off[s] - off[0] : off[e] - off[0]])
+            at = np.flatnonzero(np.isin(g, live) & (j.left[: len(g)] >= j.k))
+            win = grams(j.x, j.k + 2 * j.reach)[at - j.reach]
+            key = np.stack([g[at], j.text[at].astype(np.uint64), win], axis=1)
+            at = at[np.unique(key, axis=0, return_index=True)[1]] if len(at) else at
+            keys, hashes = [], {}
+            for lo, hi in quarters(span):
+                n = span - (hi - lo)
+                if n not in hashes:
+                    hashes[n] = grams(j.x, n)
+                here = j.gram(at - lo, n, hashes[n])
+                keys.append(np.where(j.text[at - lo] == j.text[at], here, np.uint64(0)))
+            keys = np.stack(keys, axis=1) if len(at) else np.zeros((0, len(quarters(span))), np.uint64)
+            win = grams(j.x, j.k + 2 * j.reach)[at - j.reach]
+            mine = j.text[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(cls[s:e][mine]), pa.array(keys)], names=["anchor", "cls", "keys"]
+                [
+                    pa.array(g[at].view(np.int64)), pa.array(cls[s:e][mine]), pa.array((at - j.start[mine]).astype(np.int32)), pa.array(win.view(np.int64)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), keys.shape[1]).cast(pa.list_(pa.int64())),
+                ],
+                names=["anchor", "cls", "pos", "win", "keys"],
             )
 
 
+def _passages(batches, span: int):
+    """Hashes of the grams of the span's length around anchors, for the quarters asked for."""
+    ranges = quarters(span)
+    names = ["anchor", "h", "win", "cls"]
+    for b in batches:
+        for cls, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
+            h = grams(codes(text), span)
+            out = set()
+            for x in places:
+                lo, hi = ranges[x["j"]]
+                for i in range(max(0, x["pos"] - hi), min(len(h) - 1, x["pos"] - lo) + 1):
+                    out.add((x["anchor"], int(h[i : i + 1].view(np.int64)[0]), x["win"], cls))
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+
 class Block:
     """A reference text with an index of all its grams of the wanted length."""
 
@@ -105,33 +184,46 @@ class Block:
     def factors(self, text: str) -> list[tuple[int, int, int]]:
         """Greedy parse of the text: (start, start in the block, length) of each factor of at least ``span``.
 
-        At a position whose gram occurs in the block the longest match there from its first occurrence is
-        taken. The parse goes on at the last position whose gram does not lie within that factor, so a span
+        At a position whose gram occurs in the block the longest match there is taken, of equal ones the first in
+        the block. The parse goes on at the last position whose gram does not lie within that factor, so a span
         over the boundary of two factors is not lost.
         """
         y, n = codes(text), self.span
         h = grams(y, n)
-        lo = np.searchsorted(self.sorted, h)
-        hit = np.flatnonzero(self.sorted[np.minimum(lo, len(self.sorted) - 1)] == h)
+        lo, hi = np.searchsorted(self.sorted, h), np.searchsorted(self.sorted, h, side="right")
+        hit = np.flatnonzero(hi > lo)
         out, at = [], 0
         while at < len(hit):
             i = int(hit[at])
-            p, best = int(lo[i]), (0, 0)
-            while p < len(self.sorted) and self.sorted[p] == h[i]:
-                j = int(self.order[p])
-                m = _common(y[i:], self.x[j:])
-                if m > best[0]:
-                    best = (m, j)
-                if m >= n:
-                    break
-                p += 1
-            if best[0] < n:  # equal hash of unequal texts
+            m, j = self._longest(y, i, self.order[lo[i] : hi[i]])
+            if m < n:  # equal hash of unequal texts
                 at += 1
                 continue
-            out.append((i, best[1], best[0]))
-            at = int(np.searchsorted(hit, i + best[0] - n + 1))
+            out.append((i, j, m))
+            at = int(np.searchsorted(hit, i + m - n + 1))
         return out
 
+    def _longest(self, y: np.ndarray, i: int, starts: np.ndarray) -> tuple[int, int]:
+        """Longest match of y[i:] at one of the starts. All are followed at once, and those that fall behind are
+        dropped, so a gram that a block repeats costs one look per code point and repeat still in the race."""
+        if len(starts) == 1:
+            return _common(y[i:], self.x[int(starts[0]) :]), int(starts[0])
+        left, m, step = np.sort(starts), 0, 256
+        while True:
+            k = min(step, len(y) - i - m)
+            room = np.minimum(k, len(self.x) - left - m)
+            if k <= 0 or room.max() <= 0:
+                return m, int(left[0])
+            at = np.minimum(left[:, None] + m + np.arange(k), len(self.x) - 1)
+            same = (self.x[at] == y[i + m : i + m + k]) & (np.arange(k) < room[:, None])
+            got = np.where(same.all(axis=1), k, np.argmin(same, axis=1))
+            left = left[got == got.max()]
+            m += int(got.max())
+            if got.max() < k:
+                return m, int(left[0])
+            if len(left) == 1:
+                return m + _common(y[i + m :], self.x[int(left[0]) + m :]), int(left[0])
+
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     n, step = min(len(a), len(b)), 512
@@ -143,99 +235,173 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+_FACTOR = "cls bigint, other bigint, start bigint, other_start bigint, length bigint"
+
+
 def _parse(batches, span: int):
-    """Factors of both texts of each pair, each parsed against the other."""
-    last, block = None, None
+    """Factors of texts against their block. Rows are (block, class or null, text), sorted, the block's own first."""
+    block, at = None, None
     for b in batches:
-        xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
-        tx, ty = b.column(2), b.column(3)
         out = []
-        for i, (x, y) in enumerate(zip(xs, ys)):
-            if x != last:
-                last, text = x, tx[i].as_py()
-                block = Block(text, span)
-            other = ty[i].as_py()
-            found = block.factors(other)
-            if found:
-                out += [(y, x, *f) for f in found]
-                out += [(x, y, *f) for f in Block(other, span).factors(text)]
+        for r, cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if cls is None:
+                at, block = r, Block(text.as_py(), span)
+            elif r == at:
+                out += [(cls, r, *f) for f in block.factors(text.as_py())]
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cls", "other", "start", "other_start", "length"])
 
 
+def text_hash(seed: int):
+    """64 bits of the text, other ones for each seed."""
+    return F.xxhash64("text") if not seed else F.xxhash64(F.lit(seed), "text")
+
+
+def text_classes(ws: Workspace, base: DataFrame, code=text_hash) -> DataFrame:
+    """``base`` (with ``text``) and the class of the text: a 64-bit hash, checked against the texts.
+
+    Where unequal texts have one hash, all but the least of them get a new one, until no two texts share any. Only
+    texts whose hash occurs more than once are compared.
+    """
+    out = base.withColumn("cls", code(0))
+    for seed in range(1, 50):
+        twice = out.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
+        clash = ws.cut(
+            out.join(twice, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+            .where("low != high").select("cls", "low")
+        )
+        if clash.isEmpty():
+            return out
+        out = out.join(clash, "cls", "left").withColumn("cls", F.when(F.col("low").isNotNull() & (F.col("text") != F.col("low")), code(seed)).otherwise(F.col("cls"))).drop("low")
+    raise RuntimeError("texts cannot be told apart by their hashes")
+
+
 class SharedSpans:
     """Spans of at least ``span`` code points that stand in more than one distinct text.
 
-    ``members``: doc_id and class, a class being all documents with an equal text. ``factors``: for each pair
-    of classes that share a span, the factors of each text in the other. Only pairs of classes are worked on,
-    copies are never paired with each other; texts shorter than the span (null and empty ones too) are left
-    out. Classes are 64-bit hashes of the text.
+    ``members``: doc_id and class, a class being all documents with an equal text. ``factors``: factors of each class
+    in the reference blocks (classes, too) it is linked with; every code point of a class that lies in a span of
+    another class lies in one of its factors. ``groups``: set and class; two classes of a set share a span, and any
+    two that share one are in some set together. Copies are never paired with each other; texts shorter than the
+    span (null and empty ones too) are left out.
+
+    Nothing here grows with pairs: an anchor or passage that a third of all texts hold is combined before each
+    shuffle, texts of one block are dealt to tasks of about ``deal`` parses, and equal sets are kept once.
     """
 
-    def __init__(self, docs: DataFrame, span: int = 200, broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, docs: DataFrame, span: int = 200, broadcast_rows: int = BROADCAST_ROWS, deal: int = 64, code=text_hash):
         spark = docs.sparkSession
-        ws = Workspace(spark, "spans")
-        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= span)
-        base = base.withColumn("cls", F.xxhash64("text"))
+        self.ws = ws = Workspace(spark, "spans")
+        self.deal = deal
+        small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+        base = text_classes(ws, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= span), code)
         self.members = base.select("doc_id", "cls")
-        found = (
-            base.select("text", "cls")
-            .mapInArrow(lambda b: _anchor_batches(b, span), "anchor bigint, cls bigint, keys bigint")
-            .repartition("anchor")
+        found = ws.cut(base.select("text", "cls").mapInArrow(lambda b: _anchor_batches(b, span), "anchor bigint, cls bigint"))
+        twice = ws.cut(found.groupBy("anchor").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("anchor"))
+        wanted = ws.cut(found.join(small(twice), "anchor", "left_semi").groupBy("cls").agg(F.collect_set("anchor").alias("anchors")))
+        texts = ws.cut(
+            base.join(small(wanted.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.min_by("text", "doc_id").alias("text"))
         )
-        twice = found.groupBy("anchor").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("anchor")
-        half = lambda side, shift: F.struct(F.lit(side).alias("side"), F.shiftrightunsigned("keys", shift).bitwiseAND(0xFFFFFFFF).alias("key"))
-        shared = ws.cut(
-            found.join(twice, "anchor", "left_semi")
-            .select("anchor", "cls", F.explode(F.array(half(0, 32), half(1, 0))).alias("k"))
-            .select("anchor", "cls", "k.side", "k.key").where("key != 0").distinct()
+        ws.drop(found)
+        ws.drop(twice)
+        places = ws.cut(texts.join(wanted, "cls").select("cls", "text", "anchors").mapInArrow(lambda b: _places(b, span), _PLACE))
+        ws.drop(wanted)
+        alive = (
+            places.select("anchor", "cls", F.posexplode("keys").alias("j", "key")).where("key != 0")
+            .groupBy("anchor", "j", "key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("anchor", "j", "key")
         )
-        on = ["anchor", "side", "key"]
-        pairs = ws.cut(
-            shared.select(*on, F.col("cls").alias("x")).join(shared.select(*on, F.col("cls").alias("y")), on)
-            .where("x < y").select("x", "y").distinct()
+        windows = ws.cut(
+            places.groupBy("anchor", "win").agg(F.min(F.struct("cls", "pos", "keys")).alias("m"), F.max("cls").alias("last"))
+            .select("anchor", "win", F.col("m.cls").alias("rep"), F.col("m.pos").alias("pos"), F.col("m.keys").alias("keys"), "last")
         )
-        ws.drop(shared)
-        wanted = ws.cut(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct())
-        small = wanted.count() <= broadcast_rows
-        texts = ws.cut(
-            base.join(F.broadcast(wanted) if small else wanted, "cls", "left_semi")
-            .groupBy("cls").agg(F.min_by("text", "doc_id").alias("text"))
+        asked = (
+            windows.select("anchor", "win", "rep", "pos", F.posexplode("keys").alias("j", "key")).where("key != 0").join(alive, ["anchor", "j", "key"], "left_semi")
+            .groupBy(F.col("rep").alias("cls")).agg(F.collect_list(F.struct("anchor", "win", "pos", "j")).alias("places"))
+        )
+        grams_ = ws.cut(
+            texts.join(asked, "cls").select("cls", "text", "places").mapInArrow(lambda b: _passages(b, span), "anchor bigint, h bigint, win bigint, cls bigint")
+        )
+        passages = ws.cut(grams_.groupBy("anchor", "h").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"), *self._sign("win")))
+        held = ws.cut(places.join(small(windows.select("anchor", "win", "rep")), ["anchor", "win"]).select("anchor", "win", "cls", "rep").distinct())
+        two = lambda a, b: F.struct(F.col(a).alias("cls"), F.col(b).alias("other"))
+        over = passages.where("rep < last").select("anchor", "h", F.col("rep").alias("low"))
+        links = ws.cut(
+            held.select(two("cls", "rep").alias("x")).unionByName(windows.where("rep < last").select(two("rep", "last").alias("x")))
+            .unionByName(passages.where("rep < last").select(two("rep", "last").alias("x")))
+            .unionByName(grams_.join(over, ["anchor", "h"]).select(two("cls", "low").alias("x")))
+            .select("x.*").where("cls != other").distinct()
         )
-        both = (
-            pairs.join(texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x")
-            .join(texts.select(F.col("cls").alias("y"), F.col("text").alias("ty")), "y")
-            .select("x", "y", "tx", "ty")
-            .repartition("x").sortWithinPartitions("x")
+        blocks = ws.cut(links.groupBy("other").agg(F.ceil(F.count("*") / deal).alias("tasks")))
+        dealt = links.join(small(blocks), "other").select("other", "cls", F.pmod(F.xxhash64("cls"), "tasks").alias("task"))
+        none = F.lit(None).cast("long")
+        work = (
+            texts.join(blocks.select(F.col("other").alias("cls"), "tasks"), "cls")
+            .select(F.col("cls").alias("other"), none.alias("cls"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
+            .unionByName(dealt.join(texts, "cls").select("other", "cls", "text", "task"))
         )
         self.factors = ws.cut(
-            both.mapInArrow(lambda b: _parse(b, span), "cls bigint, other bigint, start bigint, other_start bigint, length bigint")
+            work.repartition("other", "task").sortWithinPartitions("other", "task", F.asc_nulls_first("cls")).select("other", "cls", "text")
+            .mapInArrow(lambda b: _parse(b, span), _FACTOR)
         )
-        for t in (pairs, wanted, texts):
+        for t in (texts, places, windows, blocks, links):
             ws.drop(t)
+        self._held, self._grams, self._passages = held, grams_, passages
+
+    @staticmethod
+    def _sign(column: str):
+        """Columns that tell sets of distinct numbers apart, combined before the shuffle."""
+        return [F.count("*").alias("n"), F.bit_xor(F.xxhash64(column)).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), column)).alias("t"), F.max(column).alias("m")]
+
+    @property
+    def groups(self) -> DataFrame:
+        """Sets of classes that hold one passage, equal sets once; who is in a set follows from the factors."""
+        sure = self.factors.select("cls", "other").distinct()
+        one = self._passages.groupBy("anchor", "n", "s", "t", "m").agg(F.min(F.struct("h", "rep")).alias("p")).select("anchor", F.col("p.h").alias("h"), F.col("p.rep").alias("low"))
+        rows = self._grams.join(one, ["anchor", "h"]).select("anchor", "h", "win", F.col("cls").alias("rep"), "low")
+        rows = rows.where("rep = low").unionByName(
+            rows.where("rep != low").join(sure.select(F.col("cls").alias("rep"), F.col("other").alias("low")), ["rep", "low"], "left_semi").select(rows.columns)
+        )
+        held = self._held.where("cls = rep").unionByName(
+            self._held.where("cls != rep").join(sure.select("cls", F.col("other").alias("rep")), ["cls", "rep"], "left_semi").select(self._held.columns)
+        )
+        # Windows that many texts hold are dealt to several tasks.
+        deal = lambda df, c: df.withColumn("salt", c)
+        full = self.ws.cut(
+            deal(held.select("anchor", "win", "cls"), F.pmod(F.xxhash64("cls"), F.lit(16)))
+            .join(deal(rows.select("anchor", "h", "win"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))), ["anchor", "win", "salt"])
+            .select("anchor", "h", "cls").distinct()
+        )
+        kept = (
+            full.groupBy("anchor", "h").agg(*self._sign("cls")).where("n > 1")
+            .groupBy("n", "s", "t", "m").agg(F.min(F.struct("anchor", "h")).alias("g")).select("g.*", "n")
+        )
+        return full.join(kept, ["anchor", "h"]).select(F.struct("anchor", "h").alias("set"), "cls", "n")
+
+    def class_pairs(self) -> DataFrame:
+        """``x < y`` of all classes that share a span: as many rows as there are such pairs."""
+        g = self.groups
+        tasks = F.ceil(F.col("n") / self.deal)
+        a = g.select("set", F.col("cls").alias("x"), F.pmod(F.xxhash64("cls"), tasks).alias("task"))
+        b = g.select("set", F.col("cls").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"))
+        return a.join(b, ["set", "task"]).where("x < y").select("x", "y").distinct()
 
     def document_pairs(self) -> DataFrame:
         """``doc_id_a < doc_id_b`` of all documents that share a span, equal texts included.
 
-        As many rows as there are such pairs, which is what is asked for here; :meth:`class_pairs` with
-        ``members`` says the same without expanding copies.
+        As many rows as there are such pairs, which is what is asked for here; ``groups`` with ``members`` say the
+        same without expanding anything.
         """
         m = self.members
-        linked = self.factors.where("cls < other").select(F.col("cls").alias("x"), F.col("other").alias("y")).distinct()
         across = (
-            linked.join(m.select(F.col("cls").alias("x"), F.col("doc_id").alias("p")), "x")
+            self.class_pairs().join(m.select(F.col("cls").alias("x"), F.col("doc_id").alias("p")), "x")
             .join(m.select(F.col("cls").alias("y"), F.col("doc_id").alias("q")), "y")
             .select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"))
         )
         copies = m.select("cls", F.col("doc_id").alias("doc_id_a")).join(m.select("cls", F.col("doc_id").alias("doc_id_b")), "cls")
         return across.unionByName(copies.where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b"))
 
-    def class_pairs(self) -> DataFrame:
-        """One row per pair of classes that share a span: number of factors, longest one."""
-        return self.factors.where("cls < other").groupBy("cls", "other").agg(F.count("*").alias("factors"), F.max("length").alias("longest"))
-
     def report(self, docs: DataFrame) -> DataFrame:
-        """Per document: code points, code points that lie in a shared span, links to other classes, copies.
+        """Per document: code points, code points that lie in a shared span, blocks it is linked with, copies.
 
         A document with an equal copy of at least the span's length is shared throughout. Null texts have 0
         code points.
@@ -256,5 +422,5 @@ class SharedSpans:
         return all_.join(known, "doc_id", "left").select(
             "doc_id", "chars",
             F.when(F.col("size") > 1, F.col("chars")).otherwise(n("covered")).alias("shared_chars"),
-            n("links").alias("linked_texts"), F.greatest(n("size") - 1, F.lit(0)).alias("copies"),
+            n("links").alias("linked_blocks"), F.greatest(n("size") - 1, F.lit(0)).alias("copies"),
         )

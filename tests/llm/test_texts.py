@@ -214,16 +214,55 @@ def test_equal_spans_hold_a_common_anchor():
     for _ in range(30):
         span = "".join(rnd.choice("abcd") for _ in range(200))
         a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 300))) for _ in range(2))
-        mine, h, _ = anchors([a + span + b, b + span + a], 200)
+        mine, h = anchors([a + span + b, b + span + a], 200)
         assert set(h[mine == 0]) & set(h[mine == 1])
 
 
 def test_block_parse_finds_factors_across_boundaries():
     b = Block("0123456789" * 3 + "abcdefghijklmnopqrstuvwxyz", 10)
-    assert b.factors("zz0123456789abcdefghijkl__") == [(2, 0, 10), (3, 21, 21)]
+    assert b.factors("zz0123456789abcdefghijkl__") == [(2, 20, 22)]
+    assert Block("ABCDEFGHIJ--FGHIJKLMNOP", 10).factors("ABCDEFGHIJKLMNOP") == [(0, 0, 10), (5, 12, 11)]
     assert b.factors("short") == []
 
 
+def test_factors_are_the_longest_matches():
+    a, b = "abcdefghij", "0123456789"
+    block = Block("x" + a + "--" + a + b + "==" + a + b[:5] + "z", 10)
+    assert block.factors("?" + a + b + "!") == [(1, 13, 20)]
+    assert block.factors(a + b[:5] + "z")[0] == (0, 35, 16)
+    same = Block("=" * 3000, 10)
+    assert same.factors("=" * 700) == [(0, 0, 700)] and same.factors("=" * 5000)[0] == (0, 0, 3000)
+    rnd = random.Random(9)
+    for _ in range(40):
+        x, y = ("".join(rnd.choice("ab") for _ in range(120)) for _ in range(2))
+        for i, j, m in Block(x, 6).factors(y):
+            most = max(next((k for k in range(121) if i + k >= len(y) or t + k >= len(x) or y[i + k] != x[t + k]), 0) for t in range(len(x)))
+            assert m == most and y[i : i + m] == x[j : j + m]
+
+
+def test_unequal_texts_with_one_hash(spark):
+    from pyspark.sql import functions as F
+
+    base = ["a" * 25 + "bcd", "a" * 25 + "xyz", "a" * 25 + "bcd", "q" * 12 + "w" * 16, "q" * 28]
+    poor = lambda seed: F.when(F.lit(seed) < 3, F.length("text").cast("long")).otherwise(F.xxhash64(F.lit(seed), "text"))
+    s = SharedSpans(docs(spark, base), span=20, code=poor)
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in s.document_pairs().collect()} == {(0, 1), (0, 2), (1, 2)}
+    assert s.members.select("cls").distinct().count() == 4
+
+
+def test_a_passage_of_many_texts_costs_one_parse_each(spark):
+    rnd = random.Random(11)
+    head = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    n = 1500
+    texts = [head + "".join(rnd.choice("ijklmnop ") for _ in range(60)) for _ in range(n)]
+    s = SharedSpans(docs(spark, texts), span=40)
+    links = s.factors.select("cls", "other").distinct().count()
+    assert n - 1 <= links <= 6 * n  # where the texts part, chance makes small windows of their own
+    rows = s.report(docs(spark, texts)).where("shared_chars >= 120").count()
+    assert rows == n
+    assert s.class_pairs().count() == n * (n - 1) // 2
+
+
 def test_spans_on_empty_table(spark):
     s = SharedSpans(docs(spark, ["x"]).limit(0))
     assert s.document_pairs().count() == 0 and s.report(docs(spark, [None, "x"])).count() == 2
