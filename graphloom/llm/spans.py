@@ -20,7 +20,7 @@ from .bpe import slices
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Rows up to which a table of document numbers (16 bytes each) is broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def codes(text: str) -> np.ndarray:
@@ -281,8 +281,8 @@ class SharedSpans:
 
     ``members``: doc_id and class, a class being all documents with an equal text. ``factors``: factors of each class
     in the reference blocks (classes, too) it is linked with; every code point of a class that lies in a span of
-    another class lies in one of its factors. ``groups``: set and class; two classes of a set share a span, and any
-    two that share one are in some set together. Copies are never paired with each other; texts shorter than the
+    another class lies in one of its factors. Any two classes that share a span have a factor in each other or are
+    in one of the ``groups`` together. Copies are never paired with each other; texts shorter than the
     span (null and empty ones too) are left out.
 
     Nothing here grows with pairs: an anchor or passage that a third of all texts hold is combined before each
@@ -306,29 +306,38 @@ class SharedSpans:
         ws.drop(twice)
         places = ws.cut(texts.join(wanted, "cls").select("cls", "text", "anchors").mapInArrow(lambda b: _places(b, span), _PLACE))
         ws.drop(wanted)
-        alive = (
-            places.select("anchor", "cls", F.posexplode("keys").alias("j", "key")).where("key != 0")
-            .groupBy("anchor", "j", "key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("anchor", "j", "key")
-        )
         windows = ws.cut(
-            places.groupBy("anchor", "win").agg(F.min(F.struct("cls", "pos", "keys")).alias("m"), F.max("cls").alias("last"))
-            .select("anchor", "win", F.col("m.cls").alias("rep"), F.col("m.pos").alias("pos"), F.col("m.keys").alias("keys"), "last")
+            places.groupBy("anchor", "win").agg(F.min(F.struct("cls", "pos", "keys")).alias("m"), F.max("cls").alias("last"), F.count("*").alias("n"))
+            .select("anchor", "win", F.col("m.cls").alias("rep"), F.col("m.pos").alias("pos"), F.col("m.keys").alias("keys"), "last", "n")
+        )
+        # What the grams of a quarter have in common: two texts are a pair to be parsed; more texts in one and the same
+        # window are a set; only more texts in several windows have to be told apart by the grams themselves.
+        parts = ws.cut(
+            places.select("anchor", "win", "cls", F.posexplode("keys").alias("j", "key")).where("key != 0")
+            .groupBy("anchor", "j", "key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"), (F.min("win") != F.max("win")).alias("mixed")).where("a < b")
         )
         asked = (
-            windows.select("anchor", "win", "rep", "pos", F.posexplode("keys").alias("j", "key")).where("key != 0").join(alive, ["anchor", "j", "key"], "left_semi")
+            windows.select("anchor", "win", "rep", "pos", F.posexplode("keys").alias("j", "key")).where("key != 0")
+            .join(parts.where("n > 2 and mixed").select("anchor", "j", "key"), ["anchor", "j", "key"], "left_semi")
             .groupBy(F.col("rep").alias("cls")).agg(F.collect_list(F.struct("anchor", "win", "pos", "j")).alias("places"))
         )
         grams_ = ws.cut(
             texts.join(asked, "cls").select("cls", "text", "places").mapInArrow(lambda b: _passages(b, span), "anchor bigint, h bigint, win bigint, cls bigint")
         )
-        passages = ws.cut(grams_.groupBy("anchor", "h").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"), *self._sign("win")))
-        held = ws.cut(places.join(small(windows.select("anchor", "win", "rep")), ["anchor", "win"]).select("anchor", "win", "cls", "rep").distinct())
+        passages = ws.cut(grams_.groupBy("anchor", "h").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"), *self._sign("win")).where("rep < last or n > 1"))
+        # Of passages with equal windows one stands for all.
+        kept = ws.cut(passages.groupBy("anchor", "n", "s", "t", "m").agg(F.min(F.struct("h", "rep", "last")).alias("p")).select("anchor", "p.*"))
+        rows = ws.cut(grams_.join(kept.select("anchor", "h", F.col("rep").alias("low")), ["anchor", "h"]).withColumnRenamed("cls", "rep"))
+        many = windows.where("n > 2").select("anchor", "win").unionByName(rows.select("anchor", "win")).distinct()
+        held = ws.cut(places.select("anchor", "win", "cls").join(windows.where("n > 1").select("anchor", "win", "rep"), ["anchor", "win"]).unionByName(
+            windows.where("n = 1").join(rows.select("anchor", "win").distinct(), ["anchor", "win"], "left_semi").select("anchor", "win", F.col("rep").alias("cls"), "rep")
+        ))
         two = lambda a, b: F.struct(F.col(a).alias("cls"), F.col(b).alias("other"))
-        over = passages.where("rep < last").select("anchor", "h", F.col("rep").alias("low"))
+        both = lambda df, a, b: df.select(F.explode(F.array(two(a, b), two(b, a))).alias("x"))
         links = ws.cut(
             held.select(two("cls", "rep").alias("x")).unionByName(windows.where("rep < last").select(two("rep", "last").alias("x")))
-            .unionByName(passages.where("rep < last").select(two("rep", "last").alias("x")))
-            .unionByName(grams_.join(over, ["anchor", "h"]).select(two("cls", "low").alias("x")))
+            .unionByName(both(parts.where("n = 2"), "a", "b"))
+            .unionByName(kept.select(two("rep", "last").alias("x"))).unionByName(rows.select(two("rep", "low").alias("x")))
             .select("x.*").where("cls != other").distinct()
         )
         blocks = ws.cut(links.groupBy("other").agg(F.ceil(F.count("*") / deal).alias("tasks")))
@@ -343,9 +352,10 @@ class SharedSpans:
             work.repartition("other", "task").sortWithinPartitions("other", "task", F.asc_nulls_first("cls")).select("other", "cls", "text")
             .mapInArrow(lambda b: _parse(b, span), _FACTOR)
         )
-        for t in (texts, places, windows, blocks, links):
+        self._held, self._rows = ws.cut(held.join(many, ["anchor", "win"], "left_semi")), rows
+        self._windows = ws.cut(windows.where("n > 2").select("anchor", "win", "n"))
+        for t in (texts, places, windows, parts, blocks, links, grams_, passages, held):
             ws.drop(t)
-        self._held, self._grams, self._passages = held, grams_, passages
 
     @staticmethod
     def _sign(column: str):
@@ -354,25 +364,24 @@ class SharedSpans:
 
     @property
     def groups(self) -> DataFrame:
-        """Sets of classes that hold one passage, equal sets once; who is in a set follows from the factors."""
+        """``set, cls, n`` of more than two classes that hold one passage, equal sets once. Who is in a set follows
+        from the factors: the class shares one with the block of its window, and that with the block of the set."""
         sure = self.factors.select("cls", "other").distinct()
-        one = self._passages.groupBy("anchor", "n", "s", "t", "m").agg(F.min(F.struct("h", "rep")).alias("p")).select("anchor", F.col("p.h").alias("h"), F.col("p.rep").alias("low"))
-        rows = self._grams.join(one, ["anchor", "h"]).select("anchor", "h", "win", F.col("cls").alias("rep"), "low")
-        rows = rows.where("rep = low").unionByName(
-            rows.where("rep != low").join(sure.select(F.col("cls").alias("rep"), F.col("other").alias("low")), ["rep", "low"], "left_semi").select(rows.columns)
+        firm = lambda df, a, b: df.where(F.col(a) == F.col(b)).unionByName(
+            df.where(F.col(a) != F.col(b)).join(sure.select(F.col("cls").alias(a), F.col("other").alias(b)), [a, b], "left_semi").select(df.columns)
         )
-        held = self._held.where("cls = rep").unionByName(
-            self._held.where("cls != rep").join(sure.select("cls", F.col("other").alias("rep")), ["cls", "rep"], "left_semi").select(self._held.columns)
+        rows = firm(self._rows.select("anchor", "h", "win", "rep", "low"), "rep", "low").select("anchor", "h", "win").unionByName(
+            self._windows.select("anchor", F.col("win").alias("h"), "win")
         )
+        held = firm(self._held.select("anchor", "win", "cls", "rep"), "cls", "rep")
         # Windows that many texts hold are dealt to several tasks.
-        deal = lambda df, c: df.withColumn("salt", c)
         full = self.ws.cut(
-            deal(held.select("anchor", "win", "cls"), F.pmod(F.xxhash64("cls"), F.lit(16)))
-            .join(deal(rows.select("anchor", "h", "win"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))), ["anchor", "win", "salt"])
+            held.select("anchor", "win", "cls", F.pmod(F.xxhash64("cls"), F.lit(16)).cast("int").alias("salt"))
+            .join(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["anchor", "win", "salt"])
             .select("anchor", "h", "cls").distinct()
         )
         kept = (
-            full.groupBy("anchor", "h").agg(*self._sign("cls")).where("n > 1")
+            full.groupBy("anchor", "h").agg(*self._sign("cls")).where("n > 2")
             .groupBy("n", "s", "t", "m").agg(F.min(F.struct("anchor", "h")).alias("g")).select("g.*", "n")
         )
         return full.join(kept, ["anchor", "h"]).select(F.struct("anchor", "h").alias("set"), "cls", "n")
@@ -383,7 +392,8 @@ class SharedSpans:
         tasks = F.ceil(F.col("n") / self.deal)
         a = g.select("set", F.col("cls").alias("x"), F.pmod(F.xxhash64("cls"), tasks).alias("task"))
         b = g.select("set", F.col("cls").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"))
-        return a.join(b, ["set", "task"]).where("x < y").select("x", "y").distinct()
+        parsed = self.factors.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y"))
+        return a.join(b, ["set", "task"]).where("x < y").select("x", "y").unionByName(parsed).distinct()
 
     def document_pairs(self) -> DataFrame:
         """``doc_id_a < doc_id_b`` of all documents that share a span, equal texts included.

@@ -196,6 +196,9 @@ def test_shared_spans_against_brute_force(spark, seed):
         for i in rnd.sample(range(30), rnd.choice([2, 2, 3])):
             at = rnd.randint(0, len(base[i]))
             base[i] = base[i][:at] + s + base[i][at:]
+    mid, side = text(22), [text(30) for _ in range(6)]
+    # One text holds a span in two surroundings, others in one of them each.
+    base += [side[0] + mid + side[1] + side[2] + mid + side[3], side[4] + side[0] + mid + side[1], side[2] + mid + side[3] + side[5]]
     base += [base[0], base[0], "=" * 100, "x" + "=" * 50, None, "", "=" * 19]
     s = SharedSpans(docs(spark, base), span=20)
     want = {(i, j) for j in range(len(base)) for i in range(j) if base[i] and base[j] and shared(base[i], base[j], 20)}
