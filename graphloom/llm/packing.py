@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with documents that belong together.
 
-Documents are dealt to shards; within a shard an inverted index over their tokens answers, for each seed
-document, which unused documents are nearest by BM25, and these fill the seed's container.
+The index over the documents' tokens is sharded by content: a coarse quantizer over all documents (centres of short
+sketches of their BM25 vectors) puts documents with like tokens into one shard. Within a shard an inverted index
+answers, for each seed document, which unused documents are nearest by BM25, and these fill the seed's container.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ K1, B = 1.2, 0.75
 OUT = "container_id bigint, position int, doc_id bigint, start_token int, n_tokens int"
 #: Tokens a shard holds on average: a few hundred containers, a few MB of index.
 SHARD_TOKENS = 1_000_000
+#: Numbers in a sketch, documents the centres are fitted on (the only sample; every document is assigned and packed),
+#: the most centres, and turns of the fit.
+SKETCH, FIT_ROWS, CENTRES, TURNS = 96, 10_000, 512, 12
+#: Share of a container that is filled by nearness alone before the rest is closed with the best fit.
+NEAR_SHARE = 0.8
 
 
 def token_bytes(size: int) -> str:
@@ -49,12 +55,60 @@ def _frequencies(batches, size: int):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["token", "df"])
 
 
+def _planes(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of each token in a sketch."""
+    rnd = np.random.default_rng(11)
+    return rnd.integers(0, SKETCH, size), rnd.choice(np.array([-1.0, 1.0], dtype=np.float32), size)
+
+
+def sketch(tokens: np.ndarray, idf: np.ndarray, mean: float, place: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """A short unit vector whose products come near those of the BM25 vectors: weights added at hashed places."""
+    t, c = np.unique(tokens, return_counts=True)
+    w = idf[t] * (c * (K1 + 1)) / (c + K1 * (1 - B + B * len(tokens) / mean))
+    v = np.bincount(place[t], weights=w * sign[t], minlength=SKETCH).astype(np.float32)
+    n = float(np.sqrt(v @ v))
+    return v / n if n else v
+
+
+def fit_centres(x: np.ndarray, k: int) -> np.ndarray:
+    """Unit centres of the rows of x by spherical k-means; the first ones are rows far from each other."""
+    at = [0]
+    near = x @ x[0]
+    while len(at) < min(k, len(x)):
+        at.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[at[-1]])
+    c = x[at].copy()
+    for _ in range(TURNS):
+        mine = np.argmax(x @ c.T, axis=1)
+        for j in np.unique(mine):
+            v = x[mine == j].sum(0)
+            n = float(np.sqrt(v @ v))
+            if n:
+                c[j] = v / n
+    return c
+
+
+def _sketches(batches, idf: np.ndarray, mean: float):
+    place, sign = _planes(len(idf))
+    for b in batches:
+        rows = [sketch(np.frombuffer(raw, dtype=token_bytes(len(idf))), idf, mean, place, sign).tobytes() for raw in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "sketch"])
+
+
+def _assign(batches, idf: np.ndarray, mean: float, centres: np.ndarray):
+    """The nearest centre of each document."""
+    place, sign = _planes(len(idf))
+    for b in batches:
+        x = np.stack([sketch(np.frombuffer(raw, dtype=token_bytes(len(idf))), idf, mean, place, sign) for raw in b.column(2).to_pylist()]) if b.num_rows else np.zeros((0, SKETCH), np.float32)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.argmax(x @ centres.T, axis=1).astype(np.int32))], names=["doc_id", "n", "tokens", "centre"])
+
+
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], capacity: int, idf: np.ndarray, mean: float):
     """Containers of one shard: lists of item numbers. Items are at most ``capacity`` long and not empty.
 
-    The largest unused item seeds a container. Unused items are tried from the best BM25 score downwards and
-    taken if they fit; ties go to the larger, then to the smaller id. Once the nearest (positive score, best
-    eighth) are through, the gap is closed with the largest item that still fits, nearest first among equals.
+    The largest unused item seeds a container. All unused items with a positive BM25 score are tried from the best
+    downwards and taken if they fit, until NEAR_SHARE of the container is full; ties go to the larger, then to the
+    smaller id. The gap is then closed with the largest item that still fits, nearest first among equals.
     """
     n = len(sizes)
     order = np.lexsort((ids, -sizes))  # largest first
@@ -95,7 +149,9 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], cap
             open_ = by_size[: np.searchsorted(sorted_sizes, gap, side="right")]
             near = open_[np.lexsort((ids[open_], -sizes[open_], -score[open_]))]
             near = near[score[near] > 0]
-            for i in near[: max(8, len(near) // 8)]:
+            for i in near:
+                if capacity - gap >= NEAR_SHARE * capacity:
+                    break
                 if sizes[i] <= gap:
                     box.append(int(i))
                     free[i] = False
@@ -154,9 +210,11 @@ def pack(
 
     Every token of every document is in exactly one row; only documents longer than ``capacity`` are split,
     into full pieces and one rest. Null and empty texts have no tokens and no row. Equal texts are separate
-    items. Shards come from a hash of the id, so neither a hot source nor copies make one large. The document
-    frequencies behind BM25 count all documents; they are a table of at most one number per vocabulary entry,
-    the only thing collected. ``doc_id`` must be unique.
+    items. There are as many centres as shards of ``shard_tokens`` are needed, at most CENTRES, fitted on FIT_ROWS
+    documents picked by a hash of the id; the documents of a centre are dealt by a hash of the id to shards of about
+    ``shard_tokens``, so neither a hot source nor copies make one large. The document frequencies behind BM25 count all
+    documents. Collected are one number per vocabulary entry, the sketches of the fit, and the tokens per centre.
+    ``doc_id`` must be unique.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "pack")
@@ -178,6 +236,23 @@ def pack(
     df[seen.column("token").to_numpy()] = seen.column("df").to_numpy()
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = tokens / n
-    shards = max(1, -(-tokens // shard_tokens))
-    dealt = coded.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "tokens")
+    k = min(CENTRES, -(-tokens // shard_tokens))
+    if k > 1:
+        picked = coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < FIT_ROWS).select("doc_id", "tokens")
+        fit = picked.mapInArrow(lambda b: _sketches(b, idf, mean), "doc_id bigint, sketch binary").toArrow().sort_by("doc_id")
+        centres = fit_centres(np.frombuffer(b"".join(fit.column("sketch").to_pylist()), dtype="<f4").reshape(-1, SKETCH), k) if fit.num_rows else np.zeros((1, SKETCH), np.float32)
+    else:
+        centres = np.zeros((1, SKETCH), np.float32)
+    placed = ws.cut(coded.mapInArrow(lambda b: _assign(b, idf, mean, centres), "doc_id bigint, n int, tokens binary, centre int"))
+    ws.drop(coded)
+    # One row per centre.
+    held = {r["centre"]: r["tokens"] for r in placed.groupBy("centre").agg(F.sum("n").alias("tokens")).collect()}
+    parts = {c: max(1, round(t / shard_tokens)) for c, t in held.items()}
+    first, at = {}, 0
+    for c in sorted(parts):
+        first[c], at = at, at + parts[c]
+    lookup = F.create_map(*[F.lit(x) for c in sorted(parts) for x in (c, F.struct(F.lit(first[c]).cast("long").alias("first"), F.lit(parts[c]).cast("long").alias("parts")))])
+    dealt = placed.select(lookup[F.col("centre")].alias("s"), "doc_id", "tokens").select(
+        (F.col("s.first") + F.pmod(F.xxhash64("doc_id"), F.col("s.parts"))).alias("shard"), "doc_id", "tokens"
+    )
     return dealt.groupBy("shard").applyInArrow(lambda t: _pack_table(t, capacity, idf, mean), OUT)
