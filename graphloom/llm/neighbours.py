@@ -20,12 +20,14 @@ from ..plans.session import Workspace
 
 #: Links kept per vector if only near pairs are asked for (from a cosine of NEAR), and if pairs of any cosine are.
 LINKS, MORE_LINKS, NEAR = 8, 16, 0.8
-#: Orders tried for the first graph, vectors per block, bits of an order.
-ORDERS, BLOCK, BITS = 6, 1024, 40
-#: Members compared at once at one vector, and members from which a vector is dealt to several tasks.
-SLICE, HUB = 64, 4096
+#: Orders tried for the first graph, vectors per block, signs in an order. A projection of its own, in 31 bits, orders
+#: vectors of equal signs, so those of a dense cluster are near their neighbours, too.
+ORDERS, BLOCK, SIGNS = 6, 1024, 24
+#: Members of a vector that are all compared with each other; more are dealt to groups of about so many, other ones in
+#: each round. Rows of a comparison held at once.
+HUB, TILE = 4096, 512
 #: Rounds end when fewer than this share of the links changed, at the latest after ROUNDS.
-SETTLED, ROUNDS = 0.001, 6
+SETTLED, ROUNDS = 0.01, 8
 _LINK = "cls bigint, nbr binary, sim binary, fresh binary"
 
 
@@ -77,13 +79,15 @@ def _unit(short: np.ndarray) -> np.ndarray:
 
 
 def _orders(batches, dim: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((dim, ORDERS * BITS)).astype(np.float32)
-    weights = (1 << np.arange(BITS, dtype=np.int64))[::-1]
+    planes = np.random.default_rng(seed).standard_normal((dim, ORDERS * (SIGNS + 1))).astype(np.float32)
+    planes /= np.sqrt((planes**2).sum(0))
+    weights = (1 << np.arange(SIGNS, dtype=np.int64))[::-1]
     for b in batches:
-        signs = (_matrix(b.column(1), "<f4", dim) @ planes > 0).reshape(-1, ORDERS, BITS)
-        place = (signs @ weights).astype(np.int64)
+        shade = (_matrix(b.column(1), "<f4", dim) @ planes).reshape(-1, ORDERS, SIGNS + 1)
+        rest = np.clip((shade[:, :, SIGNS] + 1) * (1 << 30), 0, (1 << 31) - 1).astype(np.int64)
+        place = ((shade[:, :, :SIGNS] > 0) @ weights).astype(np.int64) * (1 << 31) + rest
         q = _matrix(b.column(1), "<f4", dim)
-        q = np.rint(q * (127 / np.abs(q).max(1, keepdims=True))).astype(np.int8)
+        q = np.rint(q * (32767 / np.abs(q).max(1, keepdims=True))).astype("<i2")
         rows = [q[i].tobytes() for i in range(len(q))]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(rows, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(place.ravel()), ORDERS).cast(pa.list_(pa.int64()))],
@@ -118,7 +122,7 @@ def _blocks(batches, dim: int, links: int):
 
     def block(n):
         nonlocal cls, vec
-        c, v = np.array(cls[:n]), _unit(np.frombuffer(b"".join(vec[:n]), dtype="i1").reshape(-1, dim))
+        c, v = np.array(cls[:n]), _unit(np.frombuffer(b"".join(vec[:n]), dtype="<i2").reshape(-1, dim))
         cls, vec = cls[n:], vec[n:]
         s = v @ v.T
         np.fill_diagonal(s, -3)
@@ -198,25 +202,32 @@ def _least(batches, links: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least)], names=["cls", "least"])
 
 
-def _meet(batches, dim: int, floor: float):
-    """Offers from comparing, at each vector, the vectors sent to it, in slices of at most SLICE."""
+def _meet(batches, dim: int, floor: float, links: int):
+    """Offers from comparing, at each vector, all vectors sent to it with each other. Of what one meeting offers to a
+    vector its ``links`` best are kept; no other could become one of its links."""
     for t in _sorted_groups(batches, 0):
         at = t.column(0).to_numpy()
         cls, least = t.column(1).to_numpy(), t.column(2).to_numpy()
-        q = _unit(_matrix(t.column(3), "i1", dim))
+        q = _unit(_matrix(t.column(3), "<i2", dim))
         bound = np.maximum(least, floor)
         starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         rows: list[tuple] = []
         for s, e in zip(starts, np.concatenate((starts[1:], [len(at)]))):
-            for a in range(s, e, SLICE):
-                z = min(e, a + SLICE)
-                if z - a < 2:
-                    continue
-                sim = q[a:z] @ q[a:z].T
-                np.fill_diagonal(sim, -3)
-                i, j = np.nonzero(sim > bound[a:z, None])
+            if e - s < 2:
+                continue
+            for a in range(s, e, TILE):
+                z = min(e, a + TILE)
+                sim = q[a:z] @ q[s:e].T
+                sim[np.arange(z - a), np.arange(a - s, z - s)] = -3
+                if e - s > links + 1:
+                    best, value = _best(sim, links)
+                    i, k = np.nonzero(value > bound[a:z, None])
+                    j, v = best[i, k], value[i, k]
+                else:
+                    i, j = np.nonzero(sim > bound[a:z, None])
+                    v = sim[i, j]
                 if len(i):
-                    rows.append((cls[a + i], cls[a + j], sim[i, j]))
+                    rows.append((cls[a + i], cls[s + j], v))
         if rows:
             u, v, w = (np.concatenate(x) for x in zip(*rows))
             order = np.lexsort((v, u))
@@ -254,7 +265,7 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
 
     ``vectors``: ``cls, vec``, cls unique. Offers below ``floor`` are not made, as far as links go that a
     caller who asks for pairs of at least that cosine has no use for; links of the first graph are kept at any
-    cosine, for the joins to walk on. Comparisons in the rounds use 8 bits per number.
+    cosine, for the joins to walk on. Comparisons in the rounds use 16 bits per number.
     """
     links = LINKS if floor >= NEAR else MORE_LINKS
     vecs = ws.cut(
@@ -270,7 +281,7 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
         first = one if first is None else first.unionByName(one)
     merge = lambda df: ws.cut(df.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _merge(b, links), _LINK))
     graph = merge(first)
-    slack = floor - 0.02  # what 8 bits per number may be off, with room
+    slack = floor - 0.001  # what 16 bits per number may be off, with room
     for turn in range(ROUNDS):
         ends = ws.cut(
             graph.mapInArrow(_ends, "cls bigint, at bigint, fresh boolean").repartition("cls")
@@ -285,11 +296,11 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
             dealt = sent.withColumn("salt", F.lit(0).cast("long"))
         else:
             dealt = sent.join(hubs, "at", "left").withColumn(
-                "salt", F.pmod(F.xxhash64("cls"), F.coalesce(F.ceil(F.col("n") / HUB), F.lit(1)).cast("long"))
+                "salt", F.pmod(F.xxhash64(F.lit(turn), "cls"), F.coalesce(F.ceil(F.col("n") / HUB), F.lit(1)).cast("long"))
             )
         offers = (
             dealt.repartition("at", "salt").sortWithinPartitions("at", "salt").select("at", "cls", "least", "short")
-            .mapInArrow(lambda b: _meet(b, dim, slack), _LINK)
+            .mapInArrow(lambda b: _meet(b, dim, slack, links), _LINK)
         )
         old = graph
         kept = old.withColumn("fresh", F.expr("cast(repeat(char(0), length(fresh)) as binary)"))
@@ -317,7 +328,7 @@ def most_similar(vectors: DataFrame, dim: int, k: int = 5, floor: float = -1.0,
     ws = Workspace(vectors.sparkSession, "neighbours")
     members = ws.cut(vectors.select("id", F.xxhash64("vec").alias("cls"), "vec"))
     graph, vecs = neighbour_graph(ws, members.groupBy("cls").agg(F.min("vec").alias("vec")), dim, floor, seed)
-    pairs = graph.select("cls", "nbr", "sim").mapInArrow(lambda b: _pairs(b, floor - 0.02), "a bigint, b bigint").distinct()
+    pairs = graph.select("cls", "nbr", "sim").mapInArrow(lambda b: _pairs(b, floor - 0.001), "a bigint, b bigint").distinct()
     v = vecs.select("cls", "vec")
     exact = (
         pairs.join(v.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a")
@@ -359,38 +370,52 @@ def _neighbours_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate(nbr) if nbr else np.zeros(0, np.int64))], names=["q", "cls"])
 
 
-def _scores(batches, dim: int):
+def _scores(batches, dim: int, kind: str = "<f4"):
     for b in batches:
-        x, y = (_matrix(b.column(i), "<f4", dim).astype(np.float64) for i in (2, 3))
+        x, y = (_matrix(b.column(i), kind, dim).astype(np.float64) for i in (2, 3))
+        if kind != "<f4":
+            x, y = (v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] for v in (x, y))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], names=["q", "cls", "cosine"])
 
 
-def graph_search(ws: Workspace, graph: DataFrame, vecs: DataFrame, queries: DataFrame, dim: int, k: int = 5, beam: int = 48, entries: int = 256, rounds: int = 16) -> DataFrame:
+def _shorten(batches, dim: int):
+    """Short forms (16 bits per number) of the second column's vectors."""
+    for b in batches:
+        v = _matrix(b.column(1), "<f4", dim)
+        q = np.rint(v * (32767 / np.abs(v).max(1, keepdims=True))).astype("<i2")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in q], pa.binary())], names=["q", "vec", "short"])
+
+
+def graph_search(ws: Workspace, graph: DataFrame, vecs: DataFrame, queries: DataFrame, dim: int, k: int = 5, beam: int = 32, entries: int = 128, rounds: int = 16) -> DataFrame:
     """``q, cls, cosine``: for each query (``q, vec``) the k best vectors found by greedy search on the graph.
 
-    All queries walk at once. A query starts at the nearest of ``entries`` vectors picked by hash, a bounded set,
-    and in each round looks at the links of the members of its beam that were not looked at; it ends when its
-    beam brings nothing new. What is compared is a few times the beam per query and round.
+    All queries walk at once, over short forms. A query starts at the nearest of ``entries`` vectors picked by hash, a
+    bounded set, and in each round looks at the links of the members of its beam that were not looked at; it ends
+    when its beam brings nothing new. The best 2 k of a beam are compared exactly. What is compared is a few times
+    the beam per query and round.
     """
-    v = vecs.select("cls", "vec")
-    start = ws.cut(v.orderBy(F.xxhash64("cls")).limit(entries).select("cls", F.col("vec").alias("y")))
-    q = ws.cut(queries.select("q", F.col("vec").alias("x")))
+    short = vecs.select("cls", F.col("short").alias("y"))
+    start = ws.cut(short.orderBy(F.xxhash64("cls")).limit(entries))
+    q = ws.cut(queries.select("q", "vec").mapInArrow(lambda b: _shorten(b, dim), f"q {queries.schema['q'].dataType.simpleString()}, vec binary, short binary"))
+    x = q.select("q", F.col("short").alias("x"))
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "cls")
-    keep = lambda df: df.withColumn("n", F.row_number().over(best)).where(F.col("n") <= beam).drop("n")
-    scored = lambda df: df.select("q", "cls", "x", "y").mapInArrow(lambda b: _scores(b, dim), "q bigint, cls bigint, cosine double")
+    keep = lambda df, n: df.withColumn("n", F.row_number().over(best)).where(F.col("n") <= n).drop("n")
+    scored = lambda df: df.select("q", "cls", "x", "y").mapInArrow(lambda b: _scores(b, dim, "<i2"), "q bigint, cls bigint, cosine double")
     # A stated query set against a bounded set of entries.
-    state = ws.cut(keep(scored(q.join(F.broadcast(start), F.lit(True)))).withColumn("seen", F.lit(False)))
+    state = ws.cut(keep(scored(x.join(F.broadcast(start), F.lit(True))), beam).withColumn("seen", F.lit(False)))
     for _ in range(rounds):
         todo = state.where("not seen").select("q", "cls")
         found = todo.join(graph.select("cls", "nbr"), "cls").select("q", "nbr").mapInArrow(_neighbours_of, "q bigint, cls bigint").distinct()
         new = found.join(state.select("q", "cls"), ["q", "cls"], "left_anti")
-        hits = scored(new.join(q, "q").join(v.withColumnRenamed("vec", "y"), "cls")).withColumn("seen", F.lit(False))
-        nxt = ws.cut(keep(state.withColumn("seen", F.lit(True)).unionByName(hits)))
+        hits = scored(new.join(x, "q").join(short, "cls")).withColumn("seen", F.lit(False))
+        nxt = ws.cut(keep(state.withColumn("seen", F.lit(True)).unionByName(hits), beam))
         ws.drop(state)
         state = nxt
         if state.where("not seen").isEmpty():
             break
-    return keep(state).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "cls", F.round("cosine", 6).alias("cosine"))
+    last = keep(state, 2 * k).select("q", "cls").join(q.select("q", F.col("vec").alias("x")), "q").join(vecs.select("cls", F.col("vec").alias("y")), "cls")
+    exact = last.select("q", "cls", "x", "y").mapInArrow(lambda b: _scores(b, dim), "q bigint, cls bigint, cosine double")
+    return keep(exact, k).select("q", "cls", F.round("cosine", 6).alias("cosine"))
 
 
 def search_vectors(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 5, seed: int = 7) -> DataFrame:

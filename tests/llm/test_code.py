@@ -299,3 +299,41 @@ def test_greedy_search_finds_the_nearest(spark):
         n += len(cos)
     assert len(got) == 12 and n == 60 and hit / n >= 0.9
     assert search_vectors(v, q.limit(0), 16).count() == 0
+
+
+def test_all_vectors_that_meet_are_compared():
+    import pyarrow as pa
+
+    from graphloom.llm.neighbours import _meet
+
+    rnd = np.random.default_rng(3)
+    v = rnd.standard_normal((1300, 8))
+    v[1299] = v[0]  # far apart in the input
+    q = np.rint(v * (32767 / np.abs(v).max(1, keepdims=True))).astype("<i2")
+    n = len(v)
+    t = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, -1, np.float32)), pa.array([r.tobytes() for r in q], pa.binary())], names=["at", "cls", "least", "short"]
+    )
+    got = {}
+    for b in _meet([t], 8, -1.0, 4):
+        for c, nbr in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got[c] = set(np.frombuffer(nbr, "<i8"))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -3)
+    want = np.argsort(-s, axis=1)[:, :4]
+    assert all(len(got[i] & set(want[i])) >= 3 for i in range(n)) and 1299 in got[0] and 0 in got[1299]
+
+
+def test_recall_in_a_dense_cluster(spark):
+    """More nearly equal vectors than links, closer to each other than 8 bits could tell."""
+    rnd = np.random.default_rng(4)
+    centre = rnd.standard_normal(64)
+    x = np.concatenate([centre + 0.02 * rnd.standard_normal((900, 64)), rnd.standard_normal((600, 64))])
+    x = x[rnd.permutation(len(x))]
+    ids = [f"n{k:04d}" for k in range(len(x))]
+    want, s = top(x, 5, ids)
+    at = {i: k for k, i in enumerate(ids)}
+    pairs = {tuple(sorted((i, j))) for i, js in want.items() for j in js if s[at[i], at[j]] >= 0.92}
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(vectors(spark, x, ids), 64).collect()}
+    assert len(got & pairs) >= 0.9 * len(pairs) and len(got & pairs) >= 0.9 * len(got)
