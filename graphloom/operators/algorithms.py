@@ -44,14 +44,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, types: list[str] = TRAVERSAL, d
     return rank
 
 
-def components(ws: Workspace, pairs: DataFrame, most: int = 60) -> DataFrame:
+def components(ws: Workspace, pairs: DataFrame) -> DataFrame:
     """``id, root`` of every id in undirected (a, b) pairs, given both ways; root is the component's smallest id.
 
     Labels fall to the least label around, then to their label's label, until none changes.
     """
     pairs = ws.cut(pairs)
     lab = ws.cut(pairs.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
-    for _ in range(most):
+    while True:
         around = pairs.join(lab.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         low = ws.cut(lab.join(around, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")))
         jump = low.join(low.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", "old", F.coalesce("next", "root").alias("root"))
@@ -61,8 +61,7 @@ def components(ws: Workspace, pairs: DataFrame, most: int = 60) -> DataFrame:
         ws.drop(lab)
         lab = new.select("id", "root")
         if done:
-            break
-    return lab
+            return lab
 
 
 def spanning_forest(ws: Workspace, pairs: DataFrame) -> DataFrame:

@@ -48,20 +48,6 @@ def recommended_tests(found: DataFrame) -> DataFrame:
     return s.select("id", "score", rank.alias("category")).orderBy("category", F.desc("score"), "id")
 
 
-def test_shield(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 3) -> DataFrame:
-    """Each affected caller with its shield: direct if a test calls it, secondary if one is near it, else none."""
-    ws = Workspace(nodes.sparkSession, "shield")
-    hit = ws.cut(impact(nodes, edges, target, depth))
-    tests = nodes.where(test_role()).select(F.col("id").alias("src"))
-    calls = edges.where("type = 'Calls'").join(tests, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("tests"))
-    info = nodes.select("id", "file_path", "namespace")
-    near = nodes.where(test_role()).groupBy("namespace").agg(F.count("*").alias("near")).where("namespace is not null")
-    j = hit.join(info, "id").join(calls, "id", "left").join(near, "namespace", "left")
-    n = F.coalesce("tests", F.lit(0)), F.coalesce("near", F.lit(0))
-    score = F.when(n[0] > 0, 100).otherwise(0) + F.when(n[1] > 0, 5).otherwise(0)
-    return j.select("id", "dist", "bucket", F.when(n[0] > 0, "direct").when(n[1] > 0, "secondary").otherwise("unshielded").alias("shield"), score.cast("int").alias("score"))
-
-
 def impact_confidence(hit: DataFrame, nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:
     """Affected callers as proven, heuristic or unknown by freshness and the certainty of their edges."""
     least = edges.where(F.col("type").isin(TRAVERSAL)).groupBy(F.col("src").alias("id")).agg(
@@ -273,37 +259,6 @@ def file_reasons(nodes: DataFrame, context: DataFrame) -> DataFrame:
     return j.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count_distinct("id").alias("nodes"))
 
 
-def responsibility_slices(nodes: DataFrame, edges: DataFrame, owner: str) -> DataFrame:
-    """Methods of a class by the first word of their names: size, callees and callers outside, and a score."""
-    own = inside(nodes, edges, owner).where("level > 0").select("id")
-    m = nodes.where("type = 'Method'").join(own, "id", "left_semi").select("id", F.lower(F.regexp_extract("name", "^([a-z]+|[A-Z][a-z]*)", 1)).alias("slice")).where("slice != ''")
-    e = edges.where(F.col("type").isin(STRUCTURAL))
-    deps = e.join(m.select(F.col("id").alias("src"), "slice"), "src").groupBy("slice").agg(F.count_distinct("dst").alias("deps"))
-    calls = e.join(m.select(F.col("id").alias("dst"), "slice"), "dst").groupBy("slice").agg(F.count_distinct("src").alias("callers"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    g = m.groupBy("slice").agg(F.count("*").alias("methods")).join(deps, "slice", "left").join(calls, "slice", "left")
-    return g.select("slice", "methods", z("deps").alias("deps"), z("callers").alias("callers"), (F.col("methods") + 5 * z("deps") + 4 * z("callers")).cast("long").alias("score"))
-
-
-def extraction_suggestions(nodes: DataFrame, edges: DataFrame, found: DataFrame, least: int = 3) -> DataFrame:
-    """Communities worth a module of their own: size, hotspots and god classes in them, and a score with its level."""
-    hot = hotspots(nodes, edges, limit=50).select("id", F.lit(1).alias("hot"))
-    god = god_classes(nodes, edges).select("id", F.lit(1).alias("god"))
-    j = found.join(hot, "id", "left").join(god, "id", "left").groupBy("community").agg(F.count("*").alias("size"), F.count("hot").alias("hot"), F.count("god").alias("god")).where(F.col("size") >= least)
-    s = F.least(F.col("size"), F.lit(5)) + 2 * F.col("hot") + 3 * F.col("god")
-    return j.select("community", "size", "hot", "god", s.cast("int").alias("score"), F.when(s >= 9, "High").when(s >= 5, "Medium").otherwise("Low").alias("level"))
-
-
-def feature_path(nodes: DataFrame, query_terms: list[str], limit: int = 20) -> DataFrame:
-    """Nodes along a feature by weighted terms: 6 for each in the name, 2 in the summary, 1 in the path."""
-    name, text, path = (F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "summary", "file_path"))
-    s = F.lit(0)
-    for t in (x.lower() for x in query_terms if len(x) >= 4):
-        s = s + F.when(name.contains(t), 6).otherwise(0) + F.when(text.contains(t), 2).otherwise(0) + F.when(path.contains(t), 1).otherwise(0)
-    l = layer(F.col("namespace"), F.col("file_path"))  # noqa: E741
-    return nodes.select("id", s.cast("int").alias("score"), l.alias("layer")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
-
-
 def doctor_status(nodes: DataFrame, edges: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: nodes, nodes with a vector, call edges, diagnostics and documents."""
     a = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "Diagnostic").alias("diagnostics"))
@@ -348,40 +303,6 @@ def edit_route(nodes: DataFrame, edges: DataFrame, terms: list[str]) -> DataFram
     return j.select("file_path", "score", F.when(F.coalesce("first", F.lit(False)), "anchor").when(F.coalesce("linked", F.lit(False)), "companion").otherwise("context").alias("role"))
 
 
-def implementation_patterns(nodes: DataFrame, edges: DataFrame, term: str, seeds: int = 24, seed_score: float = 0.55, limit: int = 10) -> DataFrame:
-    """``scope, id, score``: the best example of a pattern per scope, a namespace prefix of three parts.
-
-    Seeds match the term by name; of their neighbours, five kinds of evidence count 18 each (callers, callees,
-    interfaces, stores, entry points), direct tests 8 up to three, and entry, store and external 6 each. Two
-    kinds are needed. Low freshness costs 25, medium 6.
-    """
-    low = term.lower()
-    seed = nodes.where(F.lower("name").contains(low) & F.col("type").isin("Class", "Method", "Interface")).orderBy("name", "id").limit(seeds)
-    ws = Workspace(nodes.sparkSession, "patterns")
-    seed = ws.cut(seed)
-    ids = seed.select("id")
-    e = edges.where(F.col("type").isin([*TRAVERSAL]))
-    kinds = nodes.select(F.col("id").alias("other"), F.col("type").alias("kind"), test_role().alias("tests"))
-    near = (
-        e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", F.lit(True).alias("out"))
-        .unionByName(e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit(False).alias("out")))
-        .join(kinds, "other")
-    )
-    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
-    g = near.groupBy("id").agg(
-        any_(~F.col("out") & ~F.col("tests")).alias("callers"), any_(F.col("out")).alias("callees"), any_(F.col("out") & (F.col("type") == "Implements")).alias("bases"),
-        any_(F.col("kind").isin("DatabaseTable", "MessageTopic")).alias("store"), any_(F.col("kind") == "ApiEndpoint").alias("entry"), any_(F.col("kind") == "ExternalConcept").alias("external"),
-        F.least(F.count_if(~F.col("out") & F.col("tests")), F.lit(3)).alias("tests"),
-    )
-    kinds_found = F.col("callers") + F.col("callees") + F.col("bases") + F.col("store") + F.col("entry")
-    less = F.when(freshness() == "Low", 25).when(freshness() == "Medium", 6).otherwise(0)
-    score = F.round(F.lit(100 * seed_score)) + 18 * kinds_found + 8 * F.col("tests") + 6 * (F.col("entry") + F.col("store") + F.col("external")) - less
-    s = seed.join(g, "id").where(kinds_found >= 2)
-    s = s.select(F.coalesce(F.substring_index("namespace", ".", 3), F.lit("(none)")).alias("scope"), "id", score.cast("int").alias("score"))
-    best = s.groupBy("scope").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("id"))).alias("b")).select("scope", "b.id", "b.score")
-    return best.orderBy(F.desc("score"), "scope").limit(limit)
-
-
 #: Which analyses read the output of which.
 TOOL_LINKS = [
     ("upsert_nodes", "extract_keywords"), ("upsert_nodes", "hotspots"), ("upsert_edges", "hotspots"), ("upsert_edges", "impact"), ("extract_keywords", "keyword_statistics"),

@@ -6,6 +6,8 @@ ones and a lost executor costs one hop. Spark broadcasts a frontier or joins it
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,15 @@ def moves(edges: DataFrame, types: list[str] | None, direction: str = "out") ->
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def reach(ws: Workspace, steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+def reach(ws: Workspace, steps: DataFrame, start: DataFrame, depth: int | None) -> DataFrame:
     """Least number of steps from each root: (root, id, dist, first_rel), the start itself at 0.
 
     ``start``: (root, id). ``steps``: (a, b, rel). first_rel is the smallest relation of the first step among
-    the shortest ways. Stops early when nothing new is found.
+    the shortest ways. Stops early when nothing new is found; without a depth only then.
     """
     seen = ws.cut(start.distinct().select("root", "id", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("first_rel")))
     front = seen
-    for hop in range(1, depth + 1):
+    for hop in itertools.count(1) if depth is None else range(1, depth + 1):
         new = (
             front.join(steps, F.col("id") == F.col("a")).select("root", F.col("b").alias("id"), F.coalesce("first_rel", "rel").alias("first_rel"))
             .groupBy("root", "id").agg(F.min("first_rel").alias("first_rel")).join(seen, ["root", "id"], "left_anti")
@@ -40,7 +42,8 @@ def reach(ws: Workspace, steps: DataFrame, start: DataFrame, depth: int) -> Data
         front = ws.cut(new)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        # A long walk is cut off now and then, so that plans stay short.
+        seen = seen.unionByName(front) if hop % 16 else ws.cut(seen.unionByName(front))
     return seen
 
 
@@ -309,9 +312,9 @@ def trace_endpoint(nodes: DataFrame, edges: DataFrame, route: str, depth: int =
     return out.orderBy("length", "target_name", "path").limit(limit).select("length", "target", "path")
 
 
-def closure(ws: Workspace, steps: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """All ids reachable from each root, to the fixpoint; ``most`` only guards against endless chains."""
-    return reach(ws, steps, start, most).select("root", "id", "dist")
+def closure(ws: Workspace, steps: DataFrame, start: DataFrame) -> DataFrame:
+    """All ids reachable from each root, to the fixpoint, however long the ways."""
+    return reach(ws, steps, start, None).select("root", "id", "dist")
 
 
 def type_hierarchy(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ _add("ref_A1_pagerank", order_graph, lambda n, e: _score(A.pagerank(n, e)).order
 _add("ref_A1_pagerank_all_ingest", ingest_graph, lambda n, e: A.pagerank(n, e).select("id", F.round(F.col("score") + 1e-7, 4).alias("score")), _rank("gn", "ge", 20).replace("round(score, 6)", "round(score + 1e-7, 4)"))
 
 
-_UND = f"""un AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM ge WHERE type IN {_TR} UNION ALL SELECT dst, src FROM ge WHERE type IN {_TR}) WHERE a <> b AND a IN (SELECT id FROM gn WHERE project_context IN ('TidalLedger', 'OrchardDesk')) AND b IN (SELECT id FROM gn WHERE project_context IN ('TidalLedger', 'OrchardDesk')))"""
+_UND = f"""un AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM ge WHERE type IN {_TR} UNION ALL SELECT dst, src FROM ge WHERE type IN {_TR}) WHERE a <> b)"""
 _CC = """cc AS (SELECT a AS id, a AS other FROM un UNION SELECT cc.id, un.b FROM cc JOIN un ON un.a = cc.other)"""
 _add("ref_A2_betweenness", ingest_graph, lambda n, e: _score(A.betweenness(n, e)), f"""{_UND},
 bf AS (SELECT DISTINCT a AS s, a AS id, 0 AS d FROM un UNION SELECT s, un.b, d + 1 FROM bf JOIN un ON un.a = bf.id WHERE d < 18),

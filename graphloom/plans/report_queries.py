@@ -19,9 +19,9 @@ from ..operators.traverse import editing_context, impact
 from ..sources.projection import INGEST_GRAPH_SQL, ORDER_GRAPH_SQL, ingest_graph, order_graph
 from ..sources.tables import table
 from ..streaming.watch import debounce
-from .knowledge_queries import DOCS_SQL, _COS, documents
-from .structural_queries import _god, _FRESH, _VIOL
-from .traverse_queries import _impact
+from .knowledge_queries import DOCS_SQL, _COS, _HAS, documents
+from .structural_queries import SQL as _ST, _god, _FRESH, _VIOL
+from .traverse_queries import SQL as _TV, _down, _impact
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -125,7 +125,7 @@ def _m5(s, d):
     return M.replace_keywords(has, part).groupBy("id").agg(F.count("*").alias("keywords"))
 
 
-_raw("ref_M5_replace_keywords", _m5)
+_raw("ref_M5_replace_keywords", _m5, f"WITH {INGEST_GRAPH_SQL}, {DOCS_SQL}, {_HAS} SELECT id, count(*) AS keywords FROM hk GROUP BY id")
 
 
 def _t5(s, d):
@@ -187,9 +187,6 @@ _IMP = ", " + _impact("n", "e", "part:5", "Class", 3).rsplit("\nSELECT best.id",
 _add("ref_C1_impact_confidence", order_graph, lambda n, e: C.impact_confidence(impact(n, e, "part:5", 3), n.withColumn("line_number", F.lit(None).cast("int")), e, "part:5"), _IMP + f""",
 ls AS (SELECT src AS id, min(coalesce(confidence, 1.0)) AS least, bool_or(type IN ('Implements', 'Inherits')) AS ab FROM e WHERE type IN {sql_list(TRAVERSAL)} GROUP BY src)
 SELECT hit.id, dist, CASE WHEN {_FRESH.replace('coalesce(line_number > 0, false) OR ', '').replace('type IN', 'n.type IN')} = 'Low' THEN 'unknown' WHEN coalesce(ab, false) OR coalesce(least, 1.0) < 0.95 OR bucket = 'workflow' THEN 'heuristic' ELSE 'proven' END AS confidence FROM hit JOIN n ON n.id = hit.id LEFT JOIN ls ON ls.id = hit.id""")
-_add("ref_C2_test_shield", order_graph, lambda n, e: C.test_shield(n, e, "part:5", 3), _IMP + f""",
-tst AS (SELECT id, namespace FROM n WHERE {_TT}), cl AS (SELECT dst AS id, count(DISTINCT src) AS t FROM e WHERE type = 'Calls' AND src IN (SELECT id FROM tst) GROUP BY dst), nr AS (SELECT namespace, count(*) AS k FROM tst GROUP BY 1)
-SELECT hit.id, dist, bucket, CASE WHEN coalesce(t, 0) > 0 THEN 'direct' WHEN coalesce(k, 0) > 0 THEN 'secondary' ELSE 'unshielded' END AS shield, 100 * (coalesce(t, 0) > 0)::INT + 5 * (coalesce(k, 0) > 0)::INT AS score FROM hit JOIN n ON n.id = hit.id LEFT JOIN cl ON cl.id = hit.id LEFT JOIN nr ON nr.namespace = n.namespace""")
 
 
 def _kinds(s, d):
@@ -235,9 +232,6 @@ _add("ref_C14_C21_surface", ingest_graph, lambda n, e: C.implementation_surface(
 f AS (SELECT file_path, sum(b + (file_role IN ('Source', 'Unknown'))::INT) AS s, count(*) AS nodes FROM sc WHERE b > 0 GROUP BY 1), fb AS (SELECT file_path, 4 * count(*) - 6 AS plus FROM gn WHERE file_path IS NOT NULL GROUP BY 1 HAVING count(*) > 10),
 t AS (SELECT f.file_path, (s + coalesce(plus, 0))::BIGINT AS score, nodes FROM f LEFT JOIN fb ON fb.file_path = f.file_path ORDER BY score DESC, f.file_path LIMIT 17)
 SELECT file_path, score, nodes, CASE WHEN score >= 12 THEN 'High' WHEN score >= 6 THEN 'Medium' ELSE 'Low' END AS confidence, row_number() OVER (ORDER BY score DESC, file_path) <= 5 AS is_primary FROM t""")
-_add("ref_C17_feature_path", ingest_graph, lambda n, e: C.feature_path(n, ["endpoint", "shipment"]), """
-, sc AS (SELECT id, namespace, file_path, 6 * contains(lower(coalesce(name, '')), 'endpoint')::INT + 2 * contains(lower(coalesce(summary, '')), 'endpoint')::INT + contains(lower(coalesce(file_path, '')), 'endpoint')::INT + 6 * contains(lower(coalesce(name, '')), 'shipment')::INT + 2 * contains(lower(coalesce(summary, '')), 'shipment')::INT + contains(lower(coalesce(file_path, '')), 'shipment')::INT AS score FROM gn)
-SELECT id, score, """ + layer_sql() + " AS layer FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 _add("ref_C18_replace_surface", ingest_graph, lambda n, e: C.replace_surface(n, e, "tern-log"), f"""
 , m AS (SELECT id AS src, coalesce(array_to_string(string_split(namespace, '.')[1:2], '.'), '(none)') AS module FROM gn)
 SELECT module, count(DISTINCT ge.src) AS nodes, count(*) AS edges FROM ge JOIN m ON m.src = ge.src WHERE ge.type IN {sql_list(STRUCTURAL)} AND dst IN (SELECT id FROM gn WHERE contains(lower(name), 'tern-log') OR contains(lower(id), 'tern-log')) GROUP BY 1""")
@@ -250,10 +244,12 @@ _add("ref_C19_node_risk", order_graph, lambda n, e: C.node_risk(n.withColumn("li
 p AS (SELECT n.id, (CASE WHEN fan >= 8 THEN 4 WHEN fan >= 3 THEN 2 WHEN fan > 0 THEN 1 ELSE 0 END + CASE WHEN cv.id IS NULL THEN 2 ELSE 0 END + CASE WHEN change_count >= 5 THEN 2 WHEN change_count >= 3 THEN 1 ELSE 0 END
  + 3 * (n.id IN (SELECT src FROM viol WHERE violation IS NOT NULL))::INT + (updated_at IS NULL OR (coalesce(trim(file_path), '') = '' AND type IN {sql_list(NEEDS_PATH)}))::INT)::INT AS points FROM n LEFT JOIN fn ON fn.id = n.id LEFT JOIN cv ON cv.id = n.id WHERE n.id LIKE 'part:1%')
 SELECT *, CASE WHEN points >= 8 THEN 'High' WHEN points >= 4 THEN 'Medium' ELSE 'Low' END AS risk FROM p""")
-_add("ref_C20_pull_request", order_graph, lambda n, e: C.pull_request_report(n, e, n.where(_CHG)))
-_add("ref_C25_file_reasons", order_graph, lambda n, e: C.file_reasons(n, editing_context(n, e, "customer:8")))
-_add("ref_C12_responsibility_slices", ingest_graph, lambda n, e: C.responsibility_slices(n, e, _owner(n, e)))
-_add("ref_C11_extraction_suggestions", ingest_graph, lambda n, e: C.extraction_suggestions(n, e, A.communities(n, e, COMMUNITY)))
+_add("ref_C20_pull_request", order_graph, lambda n, e: C.pull_request_report(n, e, n.where(_CHG)), f"""
+, cn AS (SELECT id FROM n WHERE {_CHG})
+SELECT 'changed' AS section, id FROM cn UNION ALL SELECT DISTINCT 'affected', src FROM e WHERE type IN {sql_list(TRAVERSAL)} AND dst IN (SELECT id FROM cn) AND src NOT IN (SELECT id FROM cn)
+UNION ALL SELECT 'untested', id FROM ({_ST['ref_J2_coverage_gaps']}) WHERE id IN (SELECT id FROM cn) UNION ALL SELECT 'hotspot', id FROM ({_ST['ref_R1_hotspots']}) WHERE id IN (SELECT id FROM cn)""")
+_add("ref_C25_file_reasons", order_graph, lambda n, e: C.file_reasons(n, editing_context(n, e, "customer:8")), f""", c9 AS ({_TV['ref_G9_editing_context']})
+SELECT file_path, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, count(DISTINCT c9.id) AS nodes FROM c9 JOIN n ON n.id = c9.id WHERE file_path IS NOT NULL GROUP BY 1""")
 
 
 def _owner(n, e):
@@ -262,7 +258,7 @@ def _owner(n, e):
 
 
 _raw("ref_R19_shared_evidence", lambda s, d: C.shared_evidence(table(s, d, "lineitem").select(F.col("l_returnflag").alias("group"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("evidence"))), """
-WITH i AS (SELECT DISTINCT l_returnflag AS g, l_orderkey AS id, l_suppkey AS ev FROM lineitem WHERE l_quantity >= 49), c AS (SELECT g, count(DISTINCT id) AS n FROM i GROUP BY 1),
+WITH i AS (SELECT DISTINCT l_returnflag AS g, l_orderkey AS id, l_suppkey AS ev FROM lineitem), c AS (SELECT g, count(DISTINCT id) AS n FROM i GROUP BY 1),
 h AS (SELECT g, count(*) AS hit FROM (SELECT DISTINCT a.g, a.id, b.id AS other FROM i a JOIN i b ON a.g = b.g AND a.ev = b.ev AND a.id < b.id) GROUP BY 1)
 SELECT c.g AS "group", (n * (n - 1) / 2)::BIGINT AS pairs, round(coalesce(hit, 0) / (n * (n - 1) / 2)::DOUBLE, 6) AS share FROM c LEFT JOIN h ON h.g = c.g""")
 
@@ -313,12 +309,12 @@ def _runs(s, d):
                     F.concat(F.lit('{"arity":'), (k % 4).cast("string"), F.lit(',"r'), (k % 5).cast("string"), F.lit('":2}')).alias("reasons"))
 
 
-_RUNS = """rn AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'csharp' ELSE 'typescript' END AS language, 's' || o_orderkey % 6 AS scope, o_orderdate AS at_, o_orderkey % 97 = 0 AS partial, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE 'incremental' END AS mode, o_orderkey % 500 AS scanned, o_orderkey % 60 AS ingested, o_orderkey % 90 AS resolved, o_orderkey % 5 AS indeterminate, o_orderkey % 7 AS external FROM orders WHERE o_orderkey < 4000)"""
+_RUNS = """rn AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'csharp' ELSE 'typescript' END AS language, 's' || o_orderkey % 6 AS scope, o_orderdate AS at_, o_orderkey % 97 = 0 AS partial, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE 'incremental' END AS mode, o_orderkey % 500 AS scanned, o_orderkey % 60 AS ingested, o_orderkey % 90 AS resolved, o_orderkey % 5 AS indeterminate, o_orderkey % 7 AS external FROM orders)"""
 _raw("ref_R7_relationship_trust", lambda s, d: X.relationship_trust(_runs(s, d)), f"""WITH {_RUNS},
 fl AS (SELECT language, scope, arg_max(resolved, {{'a': at_, 'k': k}}) AS fr FROM rn WHERE mode = 'full' GROUP BY 1, 2), la AS (SELECT * FROM rn QUALIFY row_number() OVER (PARTITION BY language, scope ORDER BY at_ DESC, k DESC) = 1),
 t AS (SELECT count(*) AS runs, bool_or(partial OR coalesce(mode = 'incremental' AND ingested * 10 <= scanned AND resolved * 2 < fr, false)) AS low, sum(resolved)::BIGINT AS resolved, sum(indeterminate)::BIGINT AS indeterminate, sum(external)::BIGINT AS external FROM la LEFT JOIN fl USING (language, scope))
 SELECT CASE WHEN low THEN 'Low' WHEN indeterminate > 0 THEN 'Medium' ELSE 'High' END AS confidence, runs, resolved, 0::BIGINT AS unresolved, indeterminate, external FROM t""")
-_raw("ref_R7_reason_counts", lambda s, d: X.reason_counts(_runs(s, d)), """WITH x AS (SELECT 'arity' AS reason, o_orderkey % 4 AS n FROM orders WHERE o_orderkey < 4000 UNION ALL SELECT 'r' || o_orderkey % 5, 2 FROM orders WHERE o_orderkey < 4000), g AS (SELECT reason, sum(n)::BIGINT AS n FROM x GROUP BY 1)
+_raw("ref_R7_reason_counts", lambda s, d: X.reason_counts(_runs(s, d)), """WITH x AS (SELECT 'arity' AS reason, o_orderkey % 4 AS n FROM orders UNION ALL SELECT 'r' || o_orderkey % 5, 2 FROM orders), g AS (SELECT reason, sum(n)::BIGINT AS n FROM x GROUP BY 1)
 SELECT reason, n, round(100.0 * n / (SELECT sum(n) FROM g)::DOUBLE, 1) AS percent FROM g ORDER BY n DESC, reason LIMIT 3""")
 
 
@@ -346,19 +342,30 @@ def _styles(s, d):
     )
 
 
-_STY = """d AS (SELECT p_partkey AS id, p_brand || p_partkey % 5 AS file_path, lower(p_type) AS property, 'CssClass' AS target_kind, 'c' || p_partkey % 4 AS target, p_partkey % 40 AS so, p_partkey AS line, (0, p_partkey % 3 + 1, p_partkey % 2) AS spec, CASE WHEN p_partkey % 3 = 0 THEN '.c' || p_partkey % 4 ELSE 'div .x' END AS selector FROM part WHERE p_partkey < 4000)"""
+_STY = """d AS (SELECT p_partkey AS id, p_brand || p_partkey % 5 AS file_path, lower(p_type) AS property, 'CssClass' AS target_kind, 'c' || p_partkey % 4 AS target, p_partkey % 40 AS so, p_partkey AS line, (0, p_partkey % 3 + 1, p_partkey % 2) AS spec, CASE WHEN p_partkey % 3 = 0 THEN '.c' || p_partkey % 4 ELSE 'div .x' END AS selector FROM part)"""
 _raw("ref_J15_cascade_conflicts", lambda s, d: W.cascade_conflicts(_styles(s, d)), f"WITH {_STY} SELECT file_path, property, target_kind, target, w.id AS winner, l.id AS loser, CASE WHEN w.spec > l.spec THEN 'specificity' ELSE 'order' END AS reason FROM d w JOIN d l USING (file_path, property, target_kind, target) WHERE (w.spec, w.so, w.line) > (l.spec, l.so, l.line)")
 _raw("ref_J16_specificity_warnings", lambda s, d: W.specificity_warnings(_styles(s, d)), f"WITH {_STY} SELECT file_path, property, target_kind, target, c.id AS stronger, s.id AS simple FROM d s JOIN d c USING (file_path, property, target_kind, target) WHERE s.selector = '.' || target AND c.spec > s.spec AND abs(c.so - s.so) <= 6 AND c.id <> s.id")
-_raw("ref_R13_near_duplicate_styles", lambda s, d: W.near_duplicate_styles(_styles(s, d)))
-_raw("ref_S15_table_accesses", lambda s, d: X.table_accesses(table(s, d, "nodes").where("source_snippet is not null").select(F.col("ingest_no").alias("id"), F.col("source_snippet").alias("text"))))
+_raw("ref_R13_near_duplicate_styles", lambda s, d: W.near_duplicate_styles(_styles(s, d)), """WITH RECURSIVE v AS (SELECT p_partkey AS id, lower(p_type) AS property, p_size::DOUBLE AS number FROM part),
+x AS (SELECT property, number, row_number() OVER (PARTITION BY property ORDER BY number) AS k FROM (SELECT DISTINCT property, number FROM v)),
+w AS (SELECT property, number, k, number AS leader FROM x WHERE k = 1 UNION ALL SELECT x.property, x.number, x.k, CASE WHEN x.number - w.leader <= greatest(2.0, 0.08 * abs(w.leader)) THEN w.leader ELSE x.number END FROM w JOIN x ON x.property = w.property AND x.k = w.k + 1)
+SELECT v.property, 'px' AS unit, leader, v.number, id FROM v JOIN w ON w.property = v.property AND w.number = v.number""")
+_raw("ref_S15_table_accesses", lambda s, d: X.table_accesses(table(s, d, "nodes").where("source_snippet is not null").select(F.col("ingest_no").alias("id"), F.col("source_snippet").alias("text"))), r"""
+WITH x AS (SELECT ingest_no AS id, unnest(regexp_extract_all(source_snippet, '(?i)\b((?:select\b[^;"]*?\bfrom|insert\s+into|update|delete\s+from)\s+[A-Za-z_][A-Za-z0-9_.]*)', 1)) AS s FROM nodes)
+SELECT DISTINCT id, CASE WHEN regexp_matches(s, '(?i)^select') THEN 'Read' ELSE 'Write' END AS operation, regexp_extract(s, '([A-Za-z_][A-Za-z0-9_.]*)$', 1) AS table_name FROM x""")
 
 # Status, packs, routes and patterns
 _raw("ref_R10_doctor_status", lambda s, d: (lambda n, e: C.doctor_status(n, e, documents(s, d), table(s, d, "nodes").where("embedding_csv is not null and id is not null").select("id")))(*ingest_graph(s, d)), f"WITH {INGEST_GRAPH_SQL}, {DOCS_SQL}" + """
 SELECT (SELECT count(*) FROM gn) AS nodes, (SELECT count(*) FROM gn WHERE type = 'Diagnostic') AS diagnostics, (SELECT count(*) FROM ge WHERE type = 'Calls') AS call_edges, (SELECT count(*) FROM kd) AS documents, (SELECT count(*) FROM gn WHERE id IN (SELECT id FROM nodes WHERE embedding_csv IS NOT NULL)) AS embedded""")
-_raw("ref_C24_with_trust", lambda s, d: C.with_trust(St.hotspots(*order_graph(s, d)).select("id", "fan_in"), X.relationship_trust(_runs(s, d))))
-_add("ref_C4_context_pack", order_graph, lambda n, e: C.context_pack(n, e, "part:5", 2))
-_add("ref_C15_edit_route", ingest_graph, lambda n, e: C.edit_route(n, e, ["route", "index"]))
-_add("ref_C10_implementation_patterns", order_graph, lambda n, e: C.implementation_patterns(n.withColumn("line_number", F.lit(None).cast("int")), e, "large"))
+_raw("ref_C24_with_trust", lambda s, d: C.with_trust(St.hotspots(*order_graph(s, d)).select("id", "fan_in"), X.relationship_trust(_runs(s, d))),
+     f"WITH h AS ({_ST['ref_R1_hotspots']}), t AS ({SQL['ref_R7_relationship_trust']}) SELECT id, fan_in, CASE WHEN confidence <> 'High' THEN 'relationship evidence is ' || lower(confidence) END AS warning FROM h, t")
+_J3_PART = _J3.format(n="n", e="e").replace("(SELECT min(dst) FROM e ee WHERE ee.type = 'Calls' AND src IN (SELECT id FROM n WHERE file_role = 'Test'))", "'part:5'")
+_add("ref_C4_context_pack", order_graph, lambda n, e: C.context_pack(n, e, "part:5", 2), f"""{_J3_PART},
+c9 AS ({_TV['ref_G9_editing_context'].replace('customer:8', 'part:5')}), im AS (WITH RECURSIVE {_impact('n', 'e', 'part:5', 'Class', 2)}), dn AS (WITH RECURSIVE {_down('n', 'e', 'part:5', 2)})
+SELECT 'target' AS part, id FROM n WHERE id = 'part:5' UNION ALL SELECT role, id FROM c9 UNION ALL SELECT 'affected', id FROM im UNION ALL SELECT 'needed', id FROM dn UNION ALL SELECT 'test', id FROM rt""")
+_add("ref_C15_edit_route", ingest_graph, lambda n, e: C.edit_route(n, e, ["route", "index"]), f""",
+su AS ({SQL['ref_C14_C21_surface'].replace('HAVING count(*) > 10', 'HAVING false')}), bt AS (SELECT file_path FROM su ORDER BY score DESC, file_path LIMIT 1), mi AS (SELECT id FROM gn WHERE file_path = (SELECT file_path FROM bt)),
+li AS (SELECT DISTINCT file_path FROM gn WHERE id IN (SELECT dst FROM ge WHERE type IN {sql_list(TRAVERSAL)} AND src IN (SELECT id FROM mi) UNION SELECT src FROM ge WHERE type IN {sql_list(TRAVERSAL)} AND dst IN (SELECT id FROM mi)) AND file_path IS NOT NULL)
+SELECT file_path, score, CASE WHEN file_path = (SELECT file_path FROM bt) THEN 'anchor' WHEN file_path IN (SELECT file_path FROM li) THEN 'companion' ELSE 'context' END AS role FROM su""")
 _raw("ref_C22_tool_dependencies", lambda s, d: C.tool_dependencies(s, "impact"), "SELECT 'impact' AS producer, unnest(['test_shield', 'impact_confidence']) AS consumer")
 
 # Settings: event properties as JSON files; a graph of configuration from parts and suppliers
@@ -388,7 +395,7 @@ def _config(s, d):
     return n, e
 
 
-_CFG = """p AS (SELECT *, lower(p_type) || ':s' || p_size % 5 AS key FROM part WHERE p_partkey < 3000), su AS (SELECT *, ['economy', 'promo', 'small'][s_suppkey % 3 + 1] AS sec FROM supplier)"""
+_CFG = """p AS (SELECT *, lower(p_type) || ':s' || p_size % 5 AS key FROM part), su AS (SELECT *, ['economy', 'promo', 'small'][s_suppkey % 3 + 1] AS sec FROM supplier)"""
 _raw("ref_J4_config_definitions", lambda s, d: Se.definitions(*_config(s, d), "Promo:S1"), f"""WITH {_CFG}
 SELECT 'file:' || p_brand AS file, 'entry:' || p_partkey AS entry, 'key:' || key AS key, CASE WHEN p_partkey % 2 = 0 THEN 'DefinesConfig' ELSE 'OverridesConfig' END AS relation FROM p WHERE key = 'promo:s1' ORDER BY p_brand || '.json', p_name, 'entry:' || p_partkey LIMIT 100""")
 _raw("ref_J5_config_usages", lambda s, d: Se.usages(*_config(s, d), "promo:s1"), f"""WITH {_CFG},
@@ -409,4 +416,5 @@ def _m7(s, d):
 
 _raw("ref_M7_document_links", _m7, f"WITH {INGEST_GRAPH_SQL}, {DOCS_SQL}" + """, a AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(related_node_ids_csv, '[,;|\\r\\n]'))) AS target FROM kd), b AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(related_document_ids_csv, '[,;|\\r\\n]'))) AS key FROM kd),
 l AS (SELECT DISTINCT id, 'Mentions' AS type, target FROM a WHERE target IN (SELECT id FROM gn) UNION ALL SELECT DISTINCT b.id, 'References', t.id FROM b JOIN kd t ON t.id = b.key OR t.source = b.key WHERE b.key <> '') SELECT type, count(*) AS links, count(DISTINCT id) AS documents FROM l GROUP BY 1""")
-_raw("ref_M6_save_classes", lambda s, d: M.save_classes(*(lambda k: (k.withColumn("classification", F.lit("Unknown")), k.where("keyword < 'm'")))(K.keyword_statistics(K.extract_keywords(K.keyword_sources(ingest_graph(s, d)[0], documents(s, d)))).select("keyword", F.lit("DomainConcept").alias("classification")))))
+_raw("ref_M6_save_classes", lambda s, d: M.save_classes(*(lambda k: (k.withColumn("classification", F.lit("Unknown")), k.where("keyword < 'm'")))(K.keyword_statistics(K.extract_keywords(K.keyword_sources(ingest_graph(s, d)[0], documents(s, d)))).select("keyword", F.lit("DomainConcept").alias("classification")))),
+     f"WITH {INGEST_GRAPH_SQL}, {DOCS_SQL}, {_HAS} SELECT DISTINCT keyword, CASE WHEN keyword < 'm' THEN 'DomainConcept' ELSE 'Unknown' END AS classification FROM hk")

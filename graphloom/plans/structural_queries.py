@@ -142,4 +142,4 @@ _FRESH_ORDER = _FRESH.replace("coalesce(line_number > 0, false) OR ", "")
 _add("ref_R8_weather_score", order_graph, lambda n, e: S.unit_health(_with_lines(n), e), f"""
 , {_gaps('n', 'e')}, {_VIOL}, {_CYC},
 o AS (SELECT (SELECT count(*) FROM ({_CYC2} LIMIT 50)) AS cycles, (SELECT count(*) FROM (SELECT 1 FROM viol WHERE violation IS NOT NULL LIMIT 50)) AS broken, (SELECT count(*) FROM gap) AS gaps, (SELECT count(*) FROM n WHERE {_FRESH_ORDER} = 'Low') AS low)
-SELECT *, greatest(0, least(100, 100 - (least(25, 5 * cycles) + least(25, 5 * broken) + least(20, gaps // 5) + least(20, low // 10))))::INT AS score FROM o""")
+SELECT *, greatest(0, least(100, 100 - (least(25, 5 * cycles) + least(25, 5 * broken) + least(20, gaps // 5) + least(20, low // 10) + CASE WHEN EXISTS (SELECT 1 FROM e WHERE type IN {sql_list(TRAVERSAL)}) THEN least(10, (SELECT count(*) FROM n)) ELSE 0 END)))::INT AS score FROM o""")
