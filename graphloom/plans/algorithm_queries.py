@@ -35,14 +35,21 @@ _add("ref_A1_pagerank_all_ingest", ingest_graph, lambda n, e: A.pagerank(n, e).s
 
 _UND = f"""un AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM ge WHERE type IN {_TR} UNION ALL SELECT dst, src FROM ge WHERE type IN {_TR}) WHERE a <> b)"""
 _CC = """cc AS (SELECT a AS id, a AS other FROM un UNION SELECT cc.id, un.b FROM cc JOIN un ON un.a = cc.other)"""
-_add("ref_A2_betweenness", ingest_graph, lambda n, e: _score(A.betweenness(n, e)), f"""{_UND},
-bf AS (SELECT DISTINCT a AS s, a AS id, 0 AS d FROM un UNION SELECT s, un.b, d + 1 FROM bf JOIN un ON un.a = bf.id WHERE d < 18),
-ds AS MATERIALIZED (SELECT s, id, min(d) AS d FROM bf GROUP BY 1, 2),
-wy AS (SELECT s, s AS id, 0 AS d, 1.0::DOUBLE AS ways FROM (SELECT DISTINCT a AS s FROM un) UNION ALL
-  SELECT s, id, d, sum(ways) FROM (SELECT wy.s, un.b AS id, wy.d + 1 AS d, wy.ways FROM wy JOIN un ON un.a = wy.id JOIN ds ON ds.s = wy.s AND ds.id = un.b AND ds.d = wy.d + 1) GROUP BY 1, 2, 3),
-w AS MATERIALIZED (SELECT s, id, d, ways FROM wy)
-SELECT v.id, round(coalesce(sum(CASE WHEN x.s <> v.id AND y.id <> v.id AND x.d + y.d = z.d THEN x.ways * y.ways / z.ways END), 0) / 2, 6) AS score
-FROM (SELECT DISTINCT a AS id FROM un) v LEFT JOIN w x ON x.id = v.id LEFT JOIN w y ON y.s = v.id LEFT JOIN w z ON z.s = x.s AND z.id = y.id GROUP BY v.id""")
+def _betweenness(depth: int) -> str:
+    """Ways from every source level by level (neighbours that are in neither of the last two levels), then what each
+    source leans on its nodes from the farthest level back. A graph may be so deep."""
+    out = "b0 AS MATERIALIZED (SELECT DISTINCT a AS s, a AS id, 1.0::DOUBLE AS ways FROM un)"
+    for k in range(depth):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM b{j} o WHERE o.s = x.s AND o.id = un.b)" for j in ({k, k - 1} - {-1}))
+        out += f", b{k + 1} AS MATERIALIZED (SELECT x.s, un.b AS id, sum(ways) AS ways FROM b{k} x JOIN un ON un.a = x.id WHERE true {seen} GROUP BY 1, 2)"
+    for k in range(depth - 1, 0, -1):
+        dep, join = ("(1 + coalesce(z.dep, 0))", f"LEFT JOIN l{k + 1} z ON z.s = y.s AND z.id = y.id") if k < depth - 1 else ("1", "")
+        out += f", l{k} AS MATERIALIZED (SELECT x.s, x.id, sum(x.ways / y.ways * {dep}) AS dep FROM b{k} x JOIN un ON un.a = x.id JOIN b{k + 1} y ON y.s = x.s AND y.id = un.b {join} GROUP BY 1, 2)"
+    levels = " UNION ALL ".join(f"SELECT id, dep FROM l{k}" for k in range(1, depth))
+    return f"{out} SELECT v.id, round(coalesce(sum(dep), 0) / 2, 6) AS score FROM (SELECT DISTINCT a AS id FROM un) v LEFT JOIN ({levels}) x ON x.id = v.id GROUP BY v.id"
+
+
+_add("ref_A2_betweenness", ingest_graph, lambda n, e: _score(A.betweenness(n, e)), f"{_UND}, {_betweenness(30)}")
 _add("ref_A3_articulation_points", ingest_graph, lambda n, e: A.articulation_points(n, e), f"""{_UND},
 rv AS (SELECT DISTINCT a AS v, b AS st_, b AS at_ FROM un UNION SELECT rv.v, rv.st_, un.b FROM rv JOIN un ON un.a = rv.at_ WHERE un.b <> rv.v),
 c AS (SELECT v, st_, min(at_) AS c FROM rv GROUP BY 1, 2) SELECT v AS id, count(DISTINCT c) AS parts FROM c GROUP BY v HAVING count(DISTINCT c) > 1""")
