@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import selector_specificity
+from ..functions.scalars import colour
 
 
 def class_attributes(pages: DataFrame) -> DataFrame:
@@ -96,3 +97,34 @@ def near_duplicate_styles(values: DataFrame) -> DataFrame:
     )
     lead = per.select("property", "unit", F.explode(walk).alias("w")).select("property", "unit", "w.number", "w.leader")
     return v.join(lead, ["property", "unit", "number"]).select("property", "unit", "leader", "number", "id")
+
+
+#: Fixed value: how far apart two colours may be to be near-duplicates.
+COLOUR_TOLERANCE = 18.0
+
+
+def near_duplicate_colours(values: DataFrame) -> DataFrame:
+    """``property, leader, colour, id`` clusters of near-equal colours, as hex with alpha.
+
+    In the order of their hex forms, a colour joins the first leader within the tolerance, else it leads. The distinct
+    colours of a property are walked, not the rows; their number is bounded by the style sheets' vocabulary. Values
+    that are no colour are left out.
+    """
+    v = values.select("id", "property", F.explode(F.array(colour(F.col("value")))).alias("c")).where("c is not null")
+    byte = lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")
+    v = v.select("id", "property", F.concat(F.lit("#"), *[byte(F.col(f"c.{k}").cast("long")) for k in "rgba"]).alias("colour"), "c")
+    per = v.groupBy("property").agg(F.array_sort(F.collect_set(F.struct("colour", "c"))).alias("xs"))
+    far = lambda a, b: F.sqrt(sum((F.pow(a["c"][k].cast("double") - b["c"][k].cast("double"), 2) for k in "rgba"), F.lit(0.0)))
+    kind = "struct<colour:string,c:struct<r:int,g:int,b:int,a:int>>"
+
+    def step(acc, x):
+        near = F.filter(acc["leaders"], lambda l: far(l, x) <= COLOUR_TOLERANCE)
+        lead = F.when(F.size(near) > 0, near[0]).otherwise(x)
+        return F.struct(
+            F.when(F.size(near) > 0, acc["leaders"]).otherwise(F.concat(acc["leaders"], F.array(x))).alias("leaders"),
+            F.concat(acc["out"], F.array(F.struct(x["colour"].alias("colour"), lead["colour"].alias("leader")))).alias("out"),
+        )
+
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("leaders"), F.array().cast("array<struct<colour:string,leader:string>>").alias("out"))
+    walked = per.select("property", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("w")).select("property", "w.colour", "w.leader")
+    return v.join(walked, ["property", "colour"]).select("property", "leader", "colour", "id")

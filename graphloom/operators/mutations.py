@@ -57,6 +57,31 @@ def delete_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[
     return delete_nodes(nodes, edges, nodes.withColumn("low", F.lower("file_path")).join(low, "low", "left_semi"))
 
 
+def delete_kinds(nodes: DataFrame, edges: DataFrame, types: list[str], project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Without the nodes of some types (diagnostics, configuration), of one project if named, and without the
+    configuration keys that nothing is linked with any more once configuration goes."""
+    gone = nodes.where(F.col("type").isin(types))
+    if project is not None:
+        gone = gone.where(F.lower("project_context") == project.strip().lower())
+    n, e = delete_nodes(nodes, edges, gone)
+    if "ConfigurationEntry" in types and "ConfigurationKey" not in types:
+        used = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+        n, e = delete_nodes(n, e, n.where("type = 'ConfigurationKey'").join(used, "id", "left_anti"))
+    return n, e
+
+
+def delete_all(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return nodes.limit(0), edges.limit(0)
+
+
+def delete_batches(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges without the wanted ids, and how many of each type went: ``type, deleted``. The batch is one
+    set however large, joined away at once; ids that are unknown or given twice count nothing."""
+    hit = nodes.join(gone.select("id").distinct(), "id", "left_semi")
+    n, e = delete_nodes(nodes, edges, gone)
+    return n, e, hit.groupBy("type").agg(F.count("*").alias("deleted"))
+
+
 def incremental_plan(before: DataFrame, now: DataFrame, force: bool = False) -> DataFrame:
     """``path, action``: changed or deleted files from ``path, hash`` of both states; equal ones are left out.
 

@@ -146,13 +146,41 @@ def parse_diagnostics(lines: DataFrame) -> DataFrame:
     return tsc.unionByName(lint).withColumn("line", F.col("line").cast("int")).withColumn("severity", F.lower("severity"))
 
 
-#: Statements that name a table.
-_TABLE = r"(?i)\b(from|join|into|update|table)\s+[\"`\[]?([A-Za-z_][A-Za-z0-9_.]*)"
-
-
 def table_accesses(texts: DataFrame) -> DataFrame:
     """``id, operation, table_name`` of SQL named in a text column."""
     m = F.regexp_extract_all("text", F.lit(r"(?i)\b((?:select\b[^;\"]*?\bfrom|insert\s+into|update|delete\s+from)\s+[A-Za-z_][A-Za-z0-9_.]*)"), 1)
     x = texts.select("id", F.explode(m).alias("s"))
     op = F.lower(F.regexp_extract("s", r"(?i)^(select|insert|update|delete)", 1))
     return x.select("id", F.when(op == "select", "Read").otherwise("Write").alias("operation"), F.regexp_extract("s", r"([A-Za-z_][A-Za-z0-9_.]*)$", 1).alias("table_name")).distinct()
+
+
+#: Calls of two query libraries and words of graph queries, by what they do.
+_READS = ["findUnique", "findUniqueOrThrow", "findFirst", "findFirstOrThrow", "findMany", "count", "aggregate", "groupBy", "select", "first", "pluck"]
+_WRITES = ["create", "createMany", "update", "updateMany", "upsert", "delete", "deleteMany", "insert", "del", "truncate", "increment", "decrement"]
+
+
+def data_accesses(texts: DataFrame) -> DataFrame:
+    """``id, provider, operation, name`` of tables, models and labels that source texts (``id, text``) access.
+
+    Besides SQL (:func:`table_accesses`): model calls ``prisma.model.call(``, builder chains that begin with
+    ``knex('table')`` or name it by ``from``, ``into`` or ``table`` (Write if any call of the chain writes), and labels
+    and relationship types of graph queries (Write if the text creates, merges, sets or deletes). Recognised by
+    regular expressions over the text, so a name that is computed is not found; null texts have none.
+    """
+    t = texts.where("text is not null").select("id", "text")
+    kind = lambda c: F.when(c.isin(_WRITES), "Write").otherwise("Read")
+    sql = table_accesses(t).select("id", F.lit("sql").alias("provider"), "operation", F.col("table_name").alias("name"))
+    calls = "|".join(_READS + _WRITES)
+    model = t.select("id", F.explode(F.regexp_extract_all("text", F.lit(rf"(?i:\bprisma(?:client)?)\.([A-Za-z_]\w*\.(?:{calls}))\s*\("), 1)).alias("x"))
+    prisma = model.select("id", F.lit("prisma").alias("provider"), kind(F.substring_index("x", ".", -1)).alias("operation"), F.substring_index("x", ".", 1).alias("name"))
+    named = r"(?:\bknex\s*\(|\.\s*(?:from|into|table)\s*\()\s*['\"`]([A-Za-z_][\w.]*)['\"`]"
+    chain = t.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(\bknex\b[^;]*)"), 1)).alias("x"))
+    writes = F.col("x").rlike(r"\.\s*(?:" + "|".join(_WRITES) + r")\s*\(")
+    knex = chain.select("id", F.lit("knex").alias("provider"), F.when(writes, "Write").otherwise("Read").alias("operation"), F.explode(F.regexp_extract_all("x", F.lit(named), 1)).alias("name"))
+    graph = t.where(F.col("text").rlike(r"(?i)\b(?:match|merge|create)\s*\("))
+    labels = F.concat(
+        F.regexp_extract_all("text", F.lit(r"\(\s*\w*\s*:\s*`?([A-Za-z_]\w*)`?"), 1), F.regexp_extract_all("text", F.lit(r"\[\s*\w*\s*:\s*`?([A-Za-z_]\w*)`?"), 1)
+    )
+    does = F.when(F.col("text").rlike(r"(?i)\b(?:merge|create)\s*\(|\bset\s+\w+\.|\bdelete\s+\w+"), "Write").otherwise("Read")
+    cypher = graph.select("id", F.lit("cypher").alias("provider"), does.alias("operation"), F.explode(labels).alias("name"))
+    return sql.unionByName(prisma).unionByName(knex).unionByName(cypher).distinct()
