@@ -21,8 +21,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same pattern over ASCII letters, digits and white space, for texts that have no other characters.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+", re.ASCII)
 DEFAULT_VOCABULARY = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
-#: Words remembered by one Python worker; when full the memory is emptied, which changes no result.
-MEMO_WORDS = 400_000
+#: Words and pairs of tokens remembered by one Python worker; when full a memory is emptied, which changes no result.
+MEMO_WORDS, MEMO_PAIRS = 400_000, 2_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -91,6 +91,8 @@ class TrieEncoder:
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Encodings of sorted distinct non-empty words, in the same order."""
+        if len(self._fits) > MEMO_PAIRS:
+            self._fits.clear()
         get, length, reach, size, known, stands = self.ids.get, self.length, self.reach.get, self.size, self._fits, self._stands
         out = []
         last: list[int] = [-1]  # last token of each prefix of the word at hand
