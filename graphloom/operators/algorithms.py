@@ -23,21 +23,23 @@ def projected(nodes: DataFrame, edges: DataFrame, types: list[str] = TRAVERSAL,
 def pagerank(nodes: DataFrame, edges: DataFrame, types: list[str] = TRAVERSAL, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """``id, score`` over the whole graph, not normalised: (1 - d) + d times what callers pass on.
 
-    Parallel edges count each. Nodes without in-edges keep 1 - d.
+    Parallel edges count each. Nodes without in-edges keep 1 - d. Links lie in buckets of their source and ranks in
+    buckets of the node, so a round shuffles only what is passed on, summed up per target before it moves.
     """
-    ws = Workspace(nodes.sparkSession, "pagerank")
+    spark = nodes.sparkSession
+    ws, n = Workspace(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = nodes.select("id").distinct()
     e = moves(edges, types).select("a", "b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     e = e.groupBy("a", "b").agg(F.count("*").alias("n"))
     deg = e.groupBy("a").agg(F.sum("n").alias("deg"))
-    links = ws.cut(e.join(deg, "a").select("a", "b", (F.col("n") / F.col("deg")).alias("w")))
-    rank = ws.cut(ids.withColumn("score", F.lit(1 - damping)))
+    links = ws.cut_by(e.join(deg, "a").select("a", "b", (F.col("n") / F.col("deg")).alias("w")), "a", n)
+    rank = ws.cut_by(ids.withColumn("score", F.lit(1 - damping)), "id", n)
     for k in range(rounds):
         given = links.join(rank, F.col("a") == F.col("id")).groupBy("b").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
         new = rank.select("id").join(given, F.col("id") == F.col("b"), "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         # Two rounds per table: a plan of two joins is short enough.
         if k % 2 or k == rounds - 1:
-            old, rank = rank, ws.cut(new)
+            old, rank = rank, ws.cut_by(new, "id", n)
             ws.drop(old)
         else:
             rank = new
@@ -272,15 +274,25 @@ def communities(nodes: DataFrame, edges: DataFrame, types: list[str], levels: in
     return place.join(least, "community").select("id", F.col("name").alias("community"))
 
 
-def community_report(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Per community: size, share of production files, most common first two namespace parts."""
-    j = found.join(nodes.select("id", "file_role", F.substring_index("namespace", ".", 2).alias("segment")), "id")
+def community_report(nodes: DataFrame, found: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """Per community: size, share of production nodes, most common first two namespace parts, bucket and confidence.
+
+    Production candidates have ``least`` members, as many of them production, and a ``share`` of production (High from
+    0.8, else Medium); others with any production node are broader matches (Medium), the rest noise (Low).
+    """
+    from .structural import actionability
+
+    prod = actionability(nodes).select("id", (F.col("bucket") == "ProductionCandidate").cast("int").alias("prod"))
+    j = found.join(nodes.select("id", F.substring_index("namespace", ".", 2).alias("segment")), "id").join(prod, "id")
     seg = j.where("segment is not null").groupBy("community", "segment").agg(F.count("*").alias("n")).groupBy("community").agg(
         F.min_by("segment", F.struct(-F.col("n"), F.col("segment"))).alias("segment")
     )
-    return j.groupBy("community").agg(
-        F.count("*").alias("size"), F.round(F.avg(F.when(F.col("file_role").isin("Source", "Unknown"), 1.0).otherwise(0.0)), 4).alias("production_share")
-    ).join(seg, "community", "left")
+    g = j.groupBy("community").agg(F.count("*").alias("size"), F.sum("prod").alias("prod")).withColumn("r", F.col("prod") / F.col("size"))
+    bucket = (
+        F.when((F.col("prod") >= least) & (F.col("r") >= share), "ProductionCandidate").when(F.col("prod") > 0, "BroaderHeuristicMatch").otherwise("SuppressedNoise")
+    )
+    sure = F.when((F.col("prod") >= least) & (F.col("r") >= max(share, 0.8)), "High").when(F.col("prod") > 0, "Medium").otherwise("Low")
+    return g.select("community", "size", F.round("r", 4).alias("production_share"), bucket.alias("bucket"), sure.alias("confidence")).join(seg, "community", "left")
 
 
 def risky_core(nodes: DataFrame, edges: DataFrame, types: list[str] = TRAVERSAL, sources: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cosine, freshness, layer
 from ..plans.session import Workspace
 from .model import PRODUCTION_ROLES, STRUCTURAL, TRAVERSAL
-from .structural import coverage_gaps, god_classes, hotspots, is_test, namespace_cycles, violations
+from .structural import coverage_gaps, god_classes, hotspots, is_test, namespace_cycles, unreferenced, violations
 from .traverse import impact, inside
 
 
@@ -143,13 +143,17 @@ def caller_groups(nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:
 
 
 def stale_knowledge(docs: DataFrame, nodes: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``signal, id``: documents that name unknown symbols or are older than the code, concepts nothing uses."""
+    """``signal, id``: documents that name unknown symbols or are older than the code, concepts nothing uses, and, from
+    ten of them on or beside any other signal, the first 25 classes and methods that nothing refers to."""
     newest = nodes.agg(F.max("updated_at").alias("newest"))
     old = docs.crossJoin(F.broadcast(newest)).where(F.col("updated_at") < F.date_sub("newest", 180)).select(F.lit("older-than-code").alias("signal"), "id")  # one row
     lost = symbols.where("not known").select(F.lit("unresolved-mention").alias("signal"), "id").distinct()
     used = edges.select(F.col("dst").alias("id")).distinct()
     orphan = nodes.where("type = 'ExternalConcept'").join(used, "id", "left_anti").select(F.lit("orphan-concept").alias("signal"), "id")
-    return old.unionByName(lost).unionByName(orphan)
+    some = old.unionByName(lost).unionByName(orphan)
+    bare = unreferenced(nodes, edges).select(F.lit("unreferenced-code").alias("signal"), "id").limit(25)
+    told = some.limit(1).agg(F.count("*").alias("told")).crossJoin(bare.agg(F.count("*").alias("bare")))  # one row each
+    return some.unionByName(bare.join(F.broadcast(told), (F.col("told") > 0) | (F.col("bare") >= 10)).select("signal", "id"))
 
 
 def exact_symbol(nodes: DataFrame, wanted: str, kind: str | None = None, path: str | None = None, line: int | None = None, limit: int = 5) -> DataFrame:

@@ -31,15 +31,18 @@ def is_diagnostic(nodes: DataFrame) -> Column:
     return kind & (F.coalesce("external_kind", F.lit("")) != "IndexRun") if "external_kind" in nodes.columns else kind
 
 
-def graph_counts(nodes: DataFrame, edges: DataFrame, project: str | None = None) -> DataFrame:
-    """One row: nodes, call edges with an end in the project, diagnostics."""
+def graph_counts(nodes: DataFrame, edges: DataFrame, project: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, call edges with an end in the project, diagnostics, and with ``vectors`` (id) nodes that have one."""
     mine = of_project(nodes, project)
     calls = with_ends(edges.where("type = 'Calls'"), nodes, ["project_context"], ["project_context"])
     if (project or "").strip():
         p = project.strip().lower()
         calls = calls.where((F.lower("s_project_context") == p) | (F.lower("t_project_context") == p))
     a = mine.agg(F.count("*").alias("nodes"), F.count_if(is_diagnostic(nodes)).alias("diagnostics"))
-    return a.crossJoin(F.broadcast(calls.agg(F.count("*").alias("call_edges"))))  # one row each
+    a = a.crossJoin(F.broadcast(calls.agg(F.count("*").alias("call_edges"))))  # one row each
+    if vectors is None:
+        return a
+    return a.crossJoin(F.broadcast(mine.join(vectors.select("id"), "id", "left_semi").agg(F.count("*").alias("embedded"))))  # one row
 
 
 def project_contexts(nodes: DataFrame, first: str = "", last: str = "", limit: int = 100) -> DataFrame:
@@ -303,6 +306,22 @@ def freshness_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(freshness().alias("confidence")).agg(F.count("*").alias("nodes"))
 
 
+def freshness_findings(nodes: DataFrame, project: str | None = None, limit: int = 200) -> DataFrame:
+    """``id, confidence, missing`` of the first nodes by confidence (Low first) and id: which of path, line, hash and
+    time a node should have and lacks."""
+    from ..functions.columns import NEEDS_HASH, NEEDS_LINE, NEEDS_PATH
+
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    line = F.coalesce(F.col("line_number") > 0, F.lit(False)) | F.coalesce(F.col("line_count") > 0, F.lit(False))
+    need = lambda kinds: F.coalesce(F.col("type").isin(kinds), F.lit(False))
+    lacks = [(F.col("updated_at").isNull(), "time"), (need(NEEDS_PATH) & blank("file_path"), "path"), (need(NEEDS_LINE) & ~line, "line"), (need(NEEDS_HASH) & blank("source_hash"), "hash")]
+    rank = F.when(F.col("confidence") == "Low", 0).when(F.col("confidence") == "Medium", 1).otherwise(2)
+    return (
+        of_project(nodes, project).select("id", freshness().alias("confidence"), F.concat_ws(",", *[F.when(c, n) for c, n in lacks]).alias("missing"))
+        .orderBy(rank, "id").limit(limit)
+    )
+
+
 def graph_drift(nodes: DataFrame) -> DataFrame:
     """One row: how many nodes lack path, line, hash or time, or are stored under a role their path denies."""
     from ..functions.columns import NEEDS_HASH, NEEDS_LINE, NEEDS_PATH

@@ -217,7 +217,8 @@ _raw("ref_C13_stale_knowledge", lambda s, d: (lambda n, e, k: C.stale_knowledge(
 x AS (SELECT DISTINCT id, unnest(regexp_extract_all(regexp_replace(content, '(?s)```.*?```', ' ', 'g'), '`([A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*|\.[A-Za-z][A-Za-z0-9]*)+)`', 1)) AS symbol FROM kd)
 SELECT 'older-than-code' AS signal, id FROM kd WHERE updated_at < (SELECT max(updated_at)::DATE - 180 FROM gn)
 UNION ALL SELECT DISTINCT 'unresolved-mention', id FROM x WHERE split_part(symbol, '.', -1) NOT IN (SELECT name FROM gn WHERE name IS NOT NULL)
-UNION ALL SELECT 'orphan-concept', id FROM gn WHERE type = 'ExternalConcept' AND id NOT IN (SELECT dst FROM ge)""")
+UNION ALL SELECT 'orphan-concept', id FROM gn WHERE type = 'ExternalConcept' AND id NOT IN (SELECT dst FROM ge)
+UNION ALL SELECT 'unreferenced-code', id FROM (SELECT id FROM gn WHERE type IN ('Method', 'Class') AND id NOT IN (SELECT dst FROM ge WHERE type IN """ + sql_list([*STRUCTURAL, "Contains"]) + """) ORDER BY type, name, id LIMIT 25)""")
 _add("ref_C16_exact_symbol", ingest_graph, lambda n, e: C.exact_symbol(n, "resolve", "Method", ".cs", 80), f"""
  SELECT id, ((CASE WHEN lower(name) = 'resolve' THEN 10 WHEN ends_with(lower(id), 'resolve') THEN 8 WHEN contains(lower(name), 'resolve') THEN 4 ELSE 0 END) + CASE WHEN type = 'Method' THEN 5 ELSE 0 END + CASE WHEN ends_with(lower(file_path), '.cs') THEN 6 ELSE 0 END + CASE WHEN abs(line_number - 80) <= 5 THEN 3 ELSE 0 END + CASE WHEN {_FRESH} = 'High' THEN 1 ELSE 0 END)::INT AS score
 FROM gn WHERE contains(lower(name), 'resolve') OR contains(lower(id), 'resolve') ORDER BY score DESC, id LIMIT 5""")

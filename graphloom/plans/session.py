@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 #: Folders of workspaces that are not deleted yet, by application.
 _OPEN: dict[str, list[str]] = {}
+#: Names under which bucketed tables stand in the catalogue of the session, by application.
+_TABLES: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -67,6 +69,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete the tables of all workspaces so far. DataFrames that operators returned earlier cannot be read
     any more, so call it once their rows are written or collected."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for root in _OPEN.pop(spark.sparkContext.applicationId, []):
         _delete(spark, root)
 
@@ -104,6 +108,17 @@ class Workspace:
         self._paths[id(out)] = out, path
         return out
 
+    def cut_by(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Like :meth:`cut`, in buckets of a key: joins and aggregations by that key over as many partitions read
+        the table as it lies, without a shuffle."""
+        path, name = f"{self.root}/{self._n}", f"graphloom_{uuid.uuid4().hex}"
+        self._n += 1
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        self._paths[id(out)] = out, path
+        _TABLES.setdefault(self.spark.sparkContext.applicationId, []).append(name)
+        return out
+
     def drop(self, df: DataFrame) -> None:
         _, path = self._paths.pop(id(df), (None, None))
         if path:

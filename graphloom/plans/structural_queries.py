@@ -8,6 +8,7 @@ from ..functions.columns import NEEDS_HASH, NEEDS_LINE, NEEDS_PATH, PROFILES, ef
 from ..operators import structural as S
 from ..operators.model import COARSE, COVERING, FORBIDDEN, LAYERS, STRUCTURAL, TRAVERSAL, WORKFLOW, sql_list
 from ..sources.projection import INGEST_GRAPH_SQL, ORDER_GRAPH_SQL, ingest_graph, order_graph
+from ..sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,9 +24,11 @@ PROJECT = "TidalLedger"
 _FRESH = f"""CASE WHEN updated_at IS NULL OR (type IN {sql_list(NEEDS_PATH)} AND coalesce(trim(file_path), '') = '') THEN 'Low'
  WHEN (type IN {sql_list(NEEDS_LINE)} AND NOT (coalesce(line_number > 0, false) OR coalesce(line_count > 0, false))) OR (type IN {sql_list(NEEDS_HASH)} AND coalesce(trim(source_hash), '') = '') THEN 'Medium' ELSE 'High' END"""
 
-_add("ref_P1_graph_counts", ingest_graph, lambda n, e: S.graph_counts(n, e, PROJECT), f"""
+QUERIES["ref_P1_graph_counts"] = lambda s, d: S.graph_counts(*ingest_graph(s, d), PROJECT, table(s, d, "nodes").where("embedding_csv is not null and id is not null").select("id"))
+SQL["ref_P1_graph_counts"] = f"""WITH {INGEST_GRAPH_SQL}
 SELECT (SELECT count(*) FROM gn WHERE lower(project_context) = 'tidalledger') AS nodes, (SELECT count(*) FROM gn WHERE lower(project_context) = 'tidalledger' AND type = 'Diagnostic') AS diagnostics,
- (SELECT count(*) FROM ge JOIN gn s ON s.id = src JOIN gn t ON t.id = dst WHERE ge.type = 'Calls' AND (lower(s.project_context) = 'tidalledger' OR lower(t.project_context) = 'tidalledger')) AS call_edges""")
+ (SELECT count(*) FROM ge JOIN gn s ON s.id = src JOIN gn t ON t.id = dst WHERE ge.type = 'Calls' AND (lower(s.project_context) = 'tidalledger' OR lower(t.project_context) = 'tidalledger')) AS call_edges,
+ (SELECT count(*) FROM gn WHERE lower(project_context) = 'tidalledger' AND id IN (SELECT id FROM nodes WHERE embedding_csv IS NOT NULL)) AS embedded"""
 _add("ref_P2_project_contexts", ingest_graph, lambda n, e: S.project_contexts(n), "SELECT DISTINCT project_context FROM gn WHERE project_context IS NOT NULL ORDER BY 1 LIMIT 100")
 _add("ref_P3_suggest_project", ingest_graph, lambda n, e: S.suggest_project(n, "tidal-ledgr"), """
 , p AS (SELECT DISTINCT project_context, lower(regexp_replace(project_context, '[^\\p{L}\\p{Nd}]', '', 'g')) AS b FROM gn WHERE project_context IS NOT NULL),
@@ -131,6 +134,10 @@ _add("ref_R11_graph_drift", ingest_graph, lambda n, e: S.graph_drift(n), f"""
  count(*) FILTER (type IN {sql_list(NEEDS_HASH)} AND coalesce(trim(file_path), '') <> '' AND coalesce(trim(source_hash), '') = '') AS no_hash,
  count(*) FILTER (file_role NOT IN ('Unknown', 'Test') AND coalesce(trim(file_path), '') <> '' AND {path_role_sql('file_path')} = 'Test') AS role_conflicts, count(*) FILTER ({_FRESH} = 'Low') AS low FROM gn)
 SELECT *, CASE WHEN low > 25 OR no_path > 50 OR no_line > 100 OR role_conflicts > 50 THEN 'high' WHEN low > 5 OR no_path > 10 OR no_line > 25 OR role_conflicts > 10 THEN 'moderate' ELSE 'low' END AS severity FROM d""")
+_add("ref_R12_freshness_findings", ingest_graph, lambda n, e: S.freshness_findings(n, PROJECT), f"""
+SELECT id, {_FRESH} AS confidence, concat_ws(',', CASE WHEN updated_at IS NULL THEN 'time' END, CASE WHEN type IN {sql_list(NEEDS_PATH)} AND coalesce(trim(file_path), '') = '' THEN 'path' END,
+ CASE WHEN type IN {sql_list(NEEDS_LINE)} AND NOT (coalesce(line_number > 0, false) OR coalesce(line_count > 0, false)) THEN 'line' END, CASE WHEN type IN {sql_list(NEEDS_HASH)} AND coalesce(trim(source_hash), '') = '' THEN 'hash' END) AS missing
+FROM gn WHERE lower(project_context) = 'tidalledger' ORDER BY CASE {_FRESH} WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, id LIMIT 200""")
 _add("ref_R12_freshness_counts", ingest_graph, lambda n, e: S.freshness_counts(n), f"SELECT {_FRESH} AS confidence, count(*) AS nodes FROM gn GROUP BY 1")
 
 
