@@ -427,3 +427,82 @@ def change_documents(files: DataFrame, node_words: DataFrame, doc_words: DataFra
     s = doc_words.join(change, "keyword").join(d, "id").groupBy("id", "source").agg(F.round(F.sum(F.col("w") * F.col("weight") * factor), 3).alias("score")).where("score >= 4")
     best = s.groupBy(F.lower("source").alias("k")).agg(F.min_by(F.struct("source", "id", "score"), F.struct(-F.col("score"), F.col("source"), F.col("id"))).alias("b")).select("b.*")
     return best.orderBy(F.desc("score"), F.lower("source"), "id").limit(limit).select("source", "id", "score", F.when(F.col("score") >= 8, "High").otherwise("Medium").alias("confidence"))
+
+
+#: Types one can edit, roles that tools write, endings and folders of documentation.
+EDITABLE = ["Method", "Class", "Struct", "ApiEndpoint", "ConfigurationKey"]
+WRITTEN_ROLES = ["Generated", "BuildArtifact", "Snapshot", "Migration"]
+DOC_PATH = r"(?i)\.(md|markdown|txt)$|/docs/|^docs/"
+
+
+def prune_surface(nodes: DataFrame, surface: DataFrame, terms: list[str], primary: int = 5, context: int = 12) -> DataFrame:
+    """``file_path, score, part, reason`` of an implementation surface (``file_path, score``): files to edit and context.
+
+    A file is context for the first reason that holds: ``stale`` (its first matching node has low freshness),
+    ``documentation`` path, ``test`` role, ``generated`` roles, ``configuration`` unless a node has a term for its name,
+    ``contract`` (all its matching nodes are contracts), ``file-only`` (none of them can be edited). The others are
+    primary; if there is none, the best file is. The first ``primary`` and ``context`` by score and path are given.
+    """
+    from ..functions.columns import effective_role
+
+    name = F.lower(F.coalesce("name", F.lit("")))
+    match = F.lit(False)
+    exact = F.lit(False)
+    for t in terms:
+        match = match | name.contains(t.lower()) | _low("summary").contains(t.lower())
+        exact = exact | (name == t.lower())
+    m = nodes.where(match).join(surface.select("file_path"), "file_path", "left_semi")
+    per = m.groupBy("file_path").agg(
+        F.min_by(freshness(), F.struct(F.coalesce("line_number", F.lit(2**31 - 1)), "id")).alias("fresh"), F.min_by(effective_role(F.col("file_path"), F.col("file_role")), "id").alias("role"),
+        F.max(exact.cast("int")).alias("exact"), F.min(_contract().cast("int")).alias("contract"), F.max(F.col("type").isin(EDITABLE).cast("int")).alias("editable"),
+    )
+    why = (
+        F.when(F.col("fresh") == "Low", "stale").when(F.regexp_replace("file_path", r"\\", "/").rlike(DOC_PATH), "documentation").when(F.col("role") == "Test", "test")
+        .when(F.col("role").isin(WRITTEN_ROLES), "generated").when((F.col("role") == "Configuration") & (F.col("exact") == 0), "configuration")
+        .when(F.col("contract") == 1, "contract").when(F.col("editable") == 0, "file-only")
+    )
+    ws = Workspace(nodes.sparkSession, "surface")
+    all_ = ws.cut(surface.select("file_path", "score").join(per, "file_path").select("file_path", "score", why.alias("reason")))
+    none = all_.agg(F.count_if(F.col("reason").isNull()).alias("free"))
+    best = Window.orderBy(F.desc("score"), "file_path")  # a surface has at most a few dozen files
+    j = all_.withColumn("n", F.row_number().over(best)).crossJoin(F.broadcast(none))  # one row
+    j = j.withColumn("part", F.when(F.col("reason").isNull() | (F.col("free") == 0) & (F.col("n") == 1), "primary").otherwise("context"))
+    first = Window.partitionBy("part").orderBy(F.desc("score"), "file_path")
+    j = j.withColumn("k", F.row_number().over(first)).where(F.when(F.col("part") == "primary", F.col("k") <= primary).otherwise(F.col("k") <= context))
+    return j.select("file_path", "score", "part", F.when(F.col("part") == "context", F.col("reason")).alias("reason"))
+
+
+def replace_risk(nodes: DataFrame, edges: DataFrame, concept: str) -> DataFrame:
+    """``module, nodes, risk, safe, level`` of what depends on a concept, by the first two parts of the namespace.
+
+    Points of a node: 3 for a contract or a node with an interface; 2 each for an endpoint or a caller that is one, for
+    infrastructure or a callee that is some, diagnostics in its file, no test that calls it, low freshness, and callers
+    of other projects. Up to 2 points are safe. A module's risk is the sum; its level is High from 8, Medium from 4,
+    and Low if all its nodes are safe.
+    """
+    low = concept.lower()
+    ws = Workspace(nodes.sparkSession, "replace")
+    e = edges.where(F.col("type").isin(TRAVERSAL)).select("src", "dst", "type").distinct()
+    what = nodes.where(_low("name").contains(low) | F.lower("id").contains(low)).select(F.col("id").alias("dst"))
+    mine = ws.cut(e.join(what, "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(nodes, "id"))
+    ids = mine.select("id")
+    about = nodes.select(F.col("id").alias("other"), _api().alias("api"), _infrastructure().alias("infra"), test_role().alias("is_test"), F.lower("project_context").alias("project"))
+    out = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", F.lit(True).alias("out"))
+    into = e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit(False).alias("out"))
+    near = out.unionByName(into).join(about, "other").join(mine.select("id", F.lower("project_context").alias("own")), "id")
+    yes = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    g = near.groupBy("id").agg(
+        yes(F.col("out") & (F.col("type") == "Implements")).alias("bases"), yes(~F.col("out") & F.col("api")).alias("by_api"), yes(F.col("out") & F.col("infra")).alias("on_infra"),
+        yes(~F.col("out") & F.col("is_test") & (F.col("type") == "Calls")).alias("tested"), yes(~F.col("out") & ~F.col("own").eqNullSafe(F.col("project"))).alias("abroad"),
+    )
+    faulty = nodes.where("type = 'Diagnostic' and file_path is not null").select("file_path").distinct().withColumn("faulty", F.lit(1))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    j = mine.join(g, "id", "left").join(faulty, "file_path", "left")
+    risk = (
+        F.when(_contract() | (n("bases") == 1), 3).otherwise(0) + F.when(_api() | (n("by_api") == 1), 2).otherwise(0) + F.when(_infrastructure() | (n("on_infra") == 1), 2).otherwise(0)
+        + 2 * n("faulty") + 2 * (1 - n("tested")) + F.when(freshness() == "Low", 2).otherwise(0) + 2 * n("abroad")
+    )
+    m = j.select(F.coalesce(F.substring_index("namespace", ".", 2), F.lit("(none)")).alias("module"), risk.alias("r"))
+    s = m.groupBy("module").agg(F.count("*").alias("nodes"), F.sum("r").cast("long").alias("risk"), F.count_if(F.col("r") <= 2).alias("safe"))
+    level = F.when(F.col("safe") == F.col("nodes"), "Low").when(F.col("risk") >= 8, "High").when(F.col("risk") >= 4, "Medium").otherwise("Low")
+    return s.select("module", "nodes", "risk", "safe", level.alias("level"))

@@ -18,9 +18,7 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """
     fits = (F.col("required") <= F.col("args")) & (F.col("variadic") | (F.col("args") <= F.col("total")))
     c = calls.join(methods.withColumnsRenamed({"name": "m_name"}), (F.col("name") == F.col("m_name")), "left")
-    named = F.count("m_name").over(Window.partitionBy("call_id"))
-    c = c.withColumn("named", named).withColumn("ok", F.coalesce(fits, F.lit(False)))
-    w = Window.partitionBy("call_id")
+    c = c.withColumn("ok", F.coalesce(fits, F.lit(False)))
     tests = {
         "receiver": F.col("owner") == F.col("receiver"),
         "own": F.col("kind").isin("This", "Unqualified") & (F.col("owner") == F.col("src_type")),
@@ -28,18 +26,20 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
         "file": F.col("file") == F.col("src_file"),
         "namespace": F.col("namespace") == F.col("src_namespace"),
     }
-    for t, cond in tests.items():
-        hit = F.coalesce(F.col("ok") & cond, F.lit(False))
-        c = c.withColumn(f"n_{t}", F.count_if(hit).over(w)).withColumn(f"t_{t}", F.max(F.when(hit, F.col("id"))).over(w))
+    hit = {t: F.coalesce(F.col("ok") & cond, F.lit(False)) for t, cond in tests.items()}
+    # All candidates of a call come out of the join together, so they are summed up before anything is shuffled.
+    g = c.groupBy("call_id", "kind", "name", "args").agg(
+        F.count("m_name").alias("named"), F.count_if("ok").alias("fit"),
+        *[F.count_if(h).alias(f"n_{t}") for t, h in hit.items()], *[F.max(F.when(h, F.col("id"))).alias(f"t_{t}") for t, h in hit.items()],
+    )
     one = lambda t: F.when(F.col(f"n_{t}") == 1, F.struct(F.col(f"t_{t}").alias("target"), F.lit(t).alias("tier")))
     typed = F.col("kind") == "Typed"
     found = F.when(F.col("kind") != "Chained", F.when(typed, one("receiver")).otherwise(F.coalesce(one("receiver"), one("own"), one("sole"), one("file"), one("namespace"))))
-    c = c.withColumn("f", found).withColumn("fit", F.count_if("ok").over(w))
     disposition = (
         F.when(F.col("f").isNotNull(), "resolved").when(F.col("name").isNull() | F.col("args").isNull(), "indeterminate").when(F.col("named") == 0, "external")
         .when(F.col("fit") == 0, "unresolved").otherwise("indeterminate")
     )
-    return c.select("call_id", "f.target", "f.tier", disposition.alias("disposition")).distinct()
+    return g.withColumn("f", found).select("call_id", "f.target", "f.tier", disposition.alias("disposition"))
 
 
 def resolve_types(refs: DataFrame, types: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import layer_sql
+from ..functions.columns import effective_role_sql, layer_sql
 from ..operators import algorithms as A
 from ..operators import knowledge as K
 from ..operators import reports as R
@@ -12,7 +12,7 @@ from ..operators.model import COMMUNITY, TRAVERSAL, sql_list
 from ..sources.projection import INGEST_GRAPH_SQL, ORDER_GRAPH_SQL, ingest_graph, order_graph
 from ..sources.tables import table
 from .knowledge_queries import DOCS_SQL, _COS, _HAS, documents
-from .report_queries import _TT
+from .report_queries import SQL as _REPORT_SQL, _TT
 from .structural_queries import _FRESH, _gaps, _god
 from .traverse_queries import _impact
 
@@ -227,3 +227,36 @@ dd AS (SELECT id, replace(coalesce(source, ''), '\\', '/') AS source FROM kd WHE
 sc AS (SELECT hk.id, dd.source, round(sum(w * weight * CASE WHEN contains(lower(dd.source), hk.keyword) THEN 1.8 WHEN contains(lower(dd.source), 'docs/features/') THEN 1.25 WHEN ends_with(lower(dd.source), 'readme.md') OR ends_with(lower(dd.source), 'todo.md') THEN 1.15 ELSE 1.0 END::DOUBLE), 3) AS score
  FROM hk JOIN cw ON cw.keyword = hk.keyword JOIN dd ON dd.id = hk.id GROUP BY 1, 2 HAVING round(sum(w * weight * CASE WHEN contains(lower(dd.source), hk.keyword) THEN 1.8 WHEN contains(lower(dd.source), 'docs/features/') THEN 1.25 WHEN ends_with(lower(dd.source), 'readme.md') OR ends_with(lower(dd.source), 'todo.md') THEN 1.15 ELSE 1.0 END::DOUBLE), 3) >= 4)
 SELECT source, id, score, CASE WHEN score >= 8 THEN 'High' ELSE 'Medium' END AS confidence FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lower(source) ORDER BY score DESC, source, id) = 1) ORDER BY score DESC, lower(source), id LIMIT 20"""
+
+# Implementation surface without its context
+_SURFACE_TERMS = ["route", "index"]
+
+
+def _pruned(s, d):
+    from ..operators.scoring import implementation_surface
+
+    n, _ = ingest_graph(s, d)
+    return R.prune_surface(n, implementation_surface(n, _SURFACE_TERMS), _SURFACE_TERMS)
+
+
+QUERIES["ref_C14_pruned_surface"] = _pruned
+_HIT = "(" + " OR ".join(f"contains(lower(coalesce(name, '')), '{t}') OR contains(lower(coalesce(summary, '')), '{t}')" for t in _SURFACE_TERMS) + ")"
+SQL["ref_C14_pruned_surface"] = f"""WITH {INGEST_GRAPH_SQL},
+su AS ({_REPORT_SQL['ref_C14_C21_surface'].replace('HAVING count(*) > 10', 'HAVING false')}),
+mt AS (SELECT *, {effective_role_sql('file_path', 'file_role')} AS eff, {_FRESH} AS fresh FROM gn WHERE {_HIT} AND file_path IN (SELECT file_path FROM su)),
+pf AS (SELECT file_path, arg_min(fresh, {{'l': coalesce(line_number, 2147483647), 'i': id}}) AS fresh, arg_min(eff, id) AS role, max((lower(name) IN {sql_list(_SURFACE_TERMS)})::INT) AS exact, min({_CONTRACT}::INT) AS contract, max((type IN {sql_list(R.EDITABLE)})::INT) AS editable FROM mt GROUP BY 1),
+al AS (SELECT su.file_path, score, CASE WHEN fresh = 'Low' THEN 'stale' WHEN regexp_matches(replace(su.file_path, '\\', '/'), '(?i)\\.(md|markdown|txt)$|/docs/|^docs/') THEN 'documentation' WHEN role = 'Test' THEN 'test' WHEN role IN {sql_list(R.WRITTEN_ROLES)} THEN 'generated'
+ WHEN role = 'Configuration' AND coalesce(exact, 0) = 0 THEN 'configuration' WHEN contract = 1 THEN 'contract' WHEN editable = 0 THEN 'file-only' END AS reason FROM su JOIN pf ON pf.file_path = su.file_path),
+pt AS (SELECT *, CASE WHEN reason IS NULL OR ((SELECT count(*) FROM al WHERE reason IS NULL) = 0 AND row_number() OVER (ORDER BY score DESC, file_path) = 1) THEN 'primary' ELSE 'context' END AS part FROM al)
+SELECT file_path, score, part, CASE WHEN part = 'context' THEN reason END AS reason FROM pt QUALIFY row_number() OVER (PARTITION BY part ORDER BY score DESC, file_path) <= CASE part WHEN 'primary' THEN 5 ELSE 12 END"""
+
+# Risk of replacing a dependency
+QUERIES["ref_C18_replace_risk"] = lambda s, d: R.replace_risk(*ingest_graph(s, d), "tern-log")
+SQL["ref_C18_replace_risk"] = f"""WITH {INGEST_GRAPH_SQL},
+ed AS (SELECT DISTINCT src, dst, type FROM ge WHERE type IN {_TR}), mi AS (SELECT * FROM gn WHERE id IN (SELECT src FROM ed WHERE dst IN (SELECT id FROM gn WHERE contains(lower(coalesce(name, '')), 'tern-log') OR contains(lower(id), 'tern-log')))),
+ab AS (SELECT id AS other, {_API} AS api, {_INFRA} AS infra, {_TT} AS is_test, lower(project_context) AS project FROM gn),
+nr AS (SELECT x.id, x.type, out, ab.*, lower(mi.project_context) AS own FROM (SELECT src AS id, dst AS o, type, true AS out FROM ed WHERE src IN (SELECT id FROM mi) UNION ALL SELECT dst, src, type, false FROM ed WHERE dst IN (SELECT id FROM mi)) x JOIN ab ON ab.other = x.o JOIN mi ON mi.id = x.id),
+g AS (SELECT id, max((out AND type = 'Implements')::INT) AS bases, max((NOT out AND api)::INT) AS by_api, max((out AND infra)::INT) AS on_infra, max((NOT out AND is_test AND type = 'Calls')::INT) AS tested, max((NOT out AND own IS DISTINCT FROM project)::INT) AS abroad FROM nr GROUP BY id),
+r AS (SELECT coalesce(array_to_string(string_split(namespace, '.')[1:2], '.'), '(none)') AS module, CASE WHEN {_CONTRACT} OR coalesce(bases, 0) = 1 THEN 3 ELSE 0 END + CASE WHEN {_API} OR coalesce(by_api, 0) = 1 THEN 2 ELSE 0 END + CASE WHEN {_INFRA} OR coalesce(on_infra, 0) = 1 THEN 2 ELSE 0 END
+ + CASE WHEN file_path IN (SELECT file_path FROM gn WHERE type = 'Diagnostic' AND file_path IS NOT NULL) THEN 2 ELSE 0 END + 2 * (1 - coalesce(tested, 0)) + CASE WHEN {_FRESH} = 'Low' THEN 2 ELSE 0 END + 2 * coalesce(abroad, 0) AS r FROM mi LEFT JOIN g ON g.id = mi.id)
+SELECT module, count(*) AS nodes, sum(r)::BIGINT AS risk, count(*) FILTER (r <= 2) AS safe, CASE WHEN count(*) FILTER (r <= 2) = count(*) THEN 'Low' WHEN sum(r) >= 8 THEN 'High' WHEN sum(r) >= 4 THEN 'Medium' ELSE 'Low' END AS level FROM r GROUP BY 1"""

@@ -34,34 +34,74 @@ def refresh_batches(requests: DataFrame, handle: Callable[[DataFrame, int], None
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
 
 
-def upsert_stream(new: DataFrame, folder: str, columns: list[str], checkpoint: str, once: bool = False):
-    """Node requests merged into Parquet snapshots, one folder per batch; a repeated batch writes the same folder.
+#: Parts of a streamed table; a batch rewrites only those that it touches.
+BUCKETS = 64
 
-    A batch reads the newest snapshot before its own, so a batch that is run again after a failure gives the
-    same result.
+
+def upsert_stream(new: DataFrame, folder: str, columns: list[str], checkpoint: str, once: bool = False, buckets: int = BUCKETS):
+    """Node requests merged into a Parquet table in buckets of the id, with one folder per batch for the buckets that
+    the batch touches; a repeated batch writes the same folder.
+
+    A batch reads the newest version of its buckets before its own, so a batch that is run again after a failure
+    gives the same result, and its work grows with the buckets it touches, not with the table. ``buckets`` must stay
+    the same for a folder. :func:`latest_snapshot` reads the table, :func:`drop_superseded` deletes old versions.
     """
     from ..operators.mutations import upsert_nodes
 
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
+
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = latest_snapshot(spark, folder, n - 1)
-        if old is None:
-            old = batch.select("id", *columns, "source_hash", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
-                               F.lit(None).cast("timestamp").alias("last_indexed_at"), F.lit(0).cast("long").alias("change_count")).limit(0)
-        at = batch.agg(F.max("ts")).first()[0]
-        upsert_nodes(old, batch, F.lit(at), columns).write.mode("overwrite").parquet(f"{folder}/v{n:012d}")
+        batch.persist()
+        try:
+            touched = [r[0] for r in batch.where("id is not null").select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+            old = latest_snapshot(spark, folder, n - 1, touched)
+            if old is None:
+                none = F.lit(None).cast("timestamp")
+                old = batch.select("id", *columns, "source_hash", none.alias("created_at"), none.alias("updated_at"), none.alias("last_indexed_at"), F.lit(0).cast("long").alias("change_count")).limit(0)
+            merged = upsert_nodes(old, batch, batch.agg(F.max("ts")).scalar(), columns)
+            merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v{n:012d}")
+        finally:
+            batch.unpersist()
 
     w = new.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def latest_snapshot(spark: SparkSession, folder: str, most: int) -> DataFrame | None:
-    """The newest complete snapshot of at most that number."""
+def _versions(spark: SparkSession, folder: str, most: int) -> list[tuple[int, int, str]]:
+    """(bucket, version, path) of all complete versions of at most that number."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(folder)
+    path = jvm.org.apache.hadoop.fs.Path
+    p = path(folder)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [n for n in names if n.startswith("v") and int(n[1:]) <= most and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{folder}/{max(done)}") if done else None
+        return []
+    out = []
+    for v in fs.listStatus(p):
+        name = v.getPath().getName()
+        if name.startswith("v") and int(name[1:]) <= most and fs.exists(path(f"{folder}/{name}/_SUCCESS")):
+            for b in fs.listStatus(v.getPath()):
+                part = b.getPath().getName()
+                if part.startswith("bucket="):
+                    out.append((int(part[len("bucket="):]), int(name[1:]), f"{folder}/{name}/{part}"))
+    return out
+
+
+def latest_snapshot(spark: SparkSession, folder: str, most: int, only: list[int] | None = None) -> DataFrame | None:
+    """The newest complete version of at most that number of each bucket, or of some buckets; None if there is none."""
+    newest: dict[int, tuple[int, str]] = {}
+    for b, v, path in _versions(spark, folder, most):
+        if (only is None or b in only) and (b not in newest or v > newest[b][0]):
+            newest[b] = v, path
+    return spark.read.parquet(*[p for _, p in newest.values()]) if newest else None
+
+
+def drop_superseded(spark: SparkSession, folder: str, before: int) -> int:
+    """Delete versions of buckets that have a newer one of at most the number ``before``; how many were deleted."""
+    all_ = _versions(spark, folder, before)
+    newest = {b: max(v for c, v, _ in all_ if c == b) for b, _, _ in all_}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = [p for b, v, p in all_ if v < newest[b]]
+    for p in gone:
+        path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(p), True)
+    return len(gone)

@@ -101,6 +101,20 @@ def test_feature_path_and_status(spark):
     assert (r["status"], r["confidence"], r["risk"]) == ("not_found_in_graph", "low", "unknown")
 
 
+def test_pruned_surface(spark):
+    n, _ = graph(spark, [
+        {"id": "a", "name": "RouteTable", "path": "src/a.cs"}, {"id": "b", "name": "route", "path": "docs/b.md"}, {"id": "c", "name": "IRoute", "type": "Interface", "path": "src/IRoute.cs"},
+        {"id": "d", "name": "RouteTests", "path": "tests/RouteTests.cs", "role": "Test"}, {"id": "e", "name": "route list", "type": "Property", "path": "src/e.cs"}, {"id": "f", "name": "other", "path": "src/f.cs"},
+    ], [("a", "f", "Calls")])
+    surface = spark.createDataFrame([("src/a.cs", 9), ("docs/b.md", 8), ("src/IRoute.cs", 7), ("tests/RouteTests.cs", 6), ("src/e.cs", 5), ("src/f.cs", 4)], "file_path string, score int")
+    got = {r["file_path"]: (r["part"], r["reason"]) for r in R.prune_surface(n, surface, ["route"]).collect()}
+    assert got == {
+        "src/a.cs": ("primary", None), "docs/b.md": ("context", "documentation"), "src/IRoute.cs": ("context", "contract"), "tests/RouteTests.cs": ("context", "test"), "src/e.cs": ("context", "file-only"),
+    }
+    got = {r["file_path"]: (r["part"], r["reason"]) for r in R.prune_surface(n, surface.where("score in (8, 7)"), ["route"]).collect()}
+    assert got == {"docs/b.md": ("primary", None), "src/IRoute.cs": ("context", "contract")}  # something must be primary
+
+
 def test_documents_of_a_change(spark):
     files = spark.createDataFrame([("src/Billing/tax.cs",), (None,)], "file_path string")
     words = lambda rows: spark.createDataFrame(rows, "id string, keyword string, weight double")
@@ -140,3 +154,13 @@ def test_long_chains_are_walked_to_the_end(spark, length):
     n, e = graph(spark, [{"id": i} for i in ids[:2]], [(a, b, "Inherits") for a, b in zip(ids, ids[1:])])
     got = type_hierarchy(e.where("true")).where("id = 'c000'").agg(F.max("dist"), F.count("*")).first()
     assert tuple(got) == (length - 1, length - 1)
+
+
+def test_risk_of_replacing_a_dependency(spark):
+    n, e = graph(spark, [
+        {"id": "lib", "type": "ExternalConcept", "name": "OldLog", "ns": None}, {"id": "a", "ns": "A.B.C", "path": "src/a.cs"}, {"id": "b", "ns": "A.B", "path": "src/Infrastructure/b.cs"},
+        {"id": "t", "role": "Test", "path": "tests/x.cs"}, {"id": "ep", "type": "ApiEndpoint", "path": "src/ep.cs"},
+    ], [("a", "lib", "Uses"), ("b", "lib", "Uses"), ("t", "a", "Calls"), ("ep", "b", "Calls")])
+    # a is tested and safe; b is infrastructure, called by an endpoint, without a test: 2 + 2 + 2.
+    assert [tuple(r) for r in R.replace_risk(n, e, "oldlog").collect()] == [("A.B", 2, 6, 1, "Medium")]
+    assert R.replace_risk(n, e, "nothing").count() == 0

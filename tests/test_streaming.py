@@ -35,3 +35,12 @@ def test_upsert_stream(spark, tmp_path):
         q.awaitTermination()
     got = {r["id"]: (r["name"], r["change_count"]) for r in watch.latest_snapshot(spark, out, 99).collect()}
     assert got == {"a": ("z", 1), "b": ("y", 2)}
+    # A later batch of one id rewrites one bucket only; what it supersedes can go.
+    spark.createDataFrame([("c", 5, "w", "h", T0), (None, 6, "w", "h", T0)], schema).write.mode("append").parquet(src)
+    watch.upsert_stream(spark.readStream.schema(schema).parquet(src), out, ["name"], str(tmp_path / "c"), once=True).awaitTermination()
+    versions = {v: [b for b, n, _ in watch._versions(spark, out, 99) if n == v] for _, v, _ in watch._versions(spark, out, 99)}
+    assert len(versions[max(versions)]) == 1
+    before = {tuple(r) for r in watch.latest_snapshot(spark, out, 99).select("id", "name", "change_count").collect()}
+    assert before == {("a", "z", 1), ("b", "y", 2), ("c", "w", 1)} and watch.drop_superseded(spark, out, 99) >= 2
+    assert {tuple(r) for r in watch.latest_snapshot(spark, out, 99).select("id", "name", "change_count").collect()} == before
+    assert watch.latest_snapshot(spark, str(tmp_path / "none"), 9) is None
