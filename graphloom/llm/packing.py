@@ -103,6 +103,20 @@ def _assign(batches, idf: np.ndarray, mean: float, centres: np.ndarray):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.argmax(x @ centres.T, axis=1).astype(np.int32))], names=["doc_id", "n", "tokens", "centre"])
 
 
+def _nearest(items: np.ndarray, score: np.ndarray, sizes: np.ndarray, ids: np.ndarray, first: int = 48):
+    """Items with a positive score, best first, then larger, then smaller id. The first few are found without sorting
+    all; the others are sorted once they are asked for."""
+    s = score[items]
+    items, s = items[s > 0], s[s > 0]
+    rest = items[:0]
+    if len(items) > 4 * first:
+        least = np.partition(s, len(s) - first)[len(s) - first]
+        rest, items = items[s < least], items[s >= least]
+    yield from items[np.lexsort((ids[items], -sizes[items], -score[items]))].tolist()
+    if len(rest):
+        yield from rest[np.lexsort((ids[rest], -sizes[rest], -score[rest]))].tolist()
+
+
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], capacity: int, idf: np.ndarray, mean: float):
     """Containers of one shard: lists of item numbers. Items are at most ``capacity`` long and not empty.
 
@@ -147,13 +161,11 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], cap
                 np.concatenate([post_doc[x] for x in lists]), weights=np.concatenate([post_w[x] for x in lists]), minlength=n
             )
             open_ = by_size[: np.searchsorted(sorted_sizes, gap, side="right")]
-            near = open_[np.lexsort((ids[open_], -sizes[open_], -score[open_]))]
-            near = near[score[near] > 0]
-            for i in near:
+            for i in _nearest(open_, score, sizes, ids):
                 if capacity - gap >= NEAR_SHARE * capacity:
                     break
                 if sizes[i] <= gap:
-                    box.append(int(i))
+                    box.append(i)
                     free[i] = False
                     gap -= int(sizes[i])
             while True:
