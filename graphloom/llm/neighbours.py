@@ -27,7 +27,9 @@ ORDERS, BLOCK, SIGNS = 6, 1024, 24
 #: each round. Rows of a comparison held at once.
 HUB, TILE = 4096, 512
 #: Rounds end when fewer than this share of the links changed, at the latest after ROUNDS.
-SETTLED, ROUNDS = 0.01, 8
+SETTLED, ROUNDS = 0.001, 8
+#: The same share for a graph that is only walked on: a search finds its way over links that are not yet the best.
+WALKABLE = 0.1
 _LINK = "cls bigint, nbr binary, sim binary, fresh binary"
 
 
@@ -260,12 +262,13 @@ def _cosines(batches, dim: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], names=["a", "b", "cosine"])
 
 
-def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float = -1.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float = -1.0, seed: int = 7, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
     """``(links, vectors)``: packed links of every distinct vector, and the vectors with their short forms.
 
     ``vectors``: ``cls, vec``, cls unique. Offers below ``floor`` are not made, as far as links go that a
     caller who asks for pairs of at least that cosine has no use for; links of the first graph are kept at any
-    cosine, for the joins to walk on. Comparisons in the rounds use 16 bits per number.
+    cosine, for the joins to walk on. Comparisons in the rounds use 16 bits per number. Rounds end once no more than
+    ``settled`` of the links change.
     """
     links = LINKS if floor >= NEAR else MORE_LINKS
     vecs = ws.cut(
@@ -312,7 +315,7 @@ def neighbour_graph(ws: Workspace, vectors: DataFrame, dim: int, floor: float =
             F.sum(F.length("fresh")).alias("all"),
             F.sum(F.length(F.regexp_replace(F.hex("fresh"), "00", "")) / 2).alias("fresh"),
         ).first()
-        if not n["all"] or n["fresh"] <= SETTLED * n["all"]:
+        if not n["all"] or n["fresh"] <= settled * n["all"]:
             break
     return graph, vecs
 
@@ -423,7 +426,7 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 5,
     smallest id and the number of ids that share it. An empty index gives no rows."""
     ws = Workspace(vectors.sparkSession, "search")
     members = ws.cut(vectors.select("id", F.xxhash64("vec").alias("cls"), "vec"))
-    graph, vecs = neighbour_graph(ws, members.groupBy("cls").agg(F.min("vec").alias("vec")), dim, -1.0, seed)
+    graph, vecs = neighbour_graph(ws, members.groupBy("cls").agg(F.min("vec").alias("vec")), dim, -1.0, seed, WALKABLE)
     hits = graph_search(ws, graph, vecs, queries, dim, k)
     names = members.groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("ids"))
     return hits.join(names, "cls").select("q", "id", "ids", "cosine")

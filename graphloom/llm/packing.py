@@ -17,7 +17,7 @@ from .bpe import DEFAULT_VOCABULARY, encode_batches, encoder
 
 K1, B = 1.2, 0.75
 OUT = "container_id bigint, position int, doc_id bigint, start_token int, n_tokens int"
-#: Tokens a shard holds on average: a few hundred containers, a few MB of index.
+#: Tokens a shard holds at most, about: a few hundred containers, a few MB of index.
 SHARD_TOKENS = 1_000_000
 #: Numbers in a sketch, documents the centres are fitted on (the only sample; every document is assigned and packed),
 #: the most centres, and turns of the fit.
@@ -259,7 +259,7 @@ def pack(
     ws.drop(coded)
     # One row per centre.
     held = {r["centre"]: r["tokens"] for r in placed.groupBy("centre").agg(F.sum("n").alias("tokens")).collect()}
-    parts = {c: max(1, round(t / shard_tokens)) for c, t in held.items()}
+    parts = {c: max(1, -(-t // shard_tokens)) for c, t in held.items()}
     first, at = {}, 0
     for c in sorted(parts):
         first[c], at = at, at + parts[c]
