@@ -29,7 +29,7 @@ HUB, TILE = 4096, 512
 #: Rounds end when fewer than this share of the links changed, at the latest after ROUNDS.
 SETTLED, ROUNDS = 0.001, 8
 #: The same share for a graph that is only walked on: a search finds its way over links that are not yet the best.
-WALKABLE = 0.1
+WALKABLE = 0.03
 _LINK = "cls bigint, nbr binary, sim binary, fresh binary"
 
 
@@ -389,7 +389,7 @@ def _shorten(batches, dim: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in q], pa.binary())], names=["q", "vec", "short"])
 
 
-def graph_search(ws: Workspace, graph: DataFrame, vecs: DataFrame, queries: DataFrame, dim: int, k: int = 5, beam: int = 32, entries: int = 128, rounds: int = 16) -> DataFrame:
+def graph_search(ws: Workspace, graph: DataFrame, vecs: DataFrame, queries: DataFrame, dim: int, k: int = 5, beam: int = 96, entries: int = 256, rounds: int = 16) -> DataFrame:
     """``q, cls, cosine``: for each query (``q, vec``) the k best vectors found by greedy search on the graph.
 
     All queries walk at once, over short forms. A query starts at the nearest of ``entries`` vectors picked by hash, a
