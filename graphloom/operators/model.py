@@ -14,7 +14,7 @@ EDGE_TYPES = [
     "UsesCssVariable", "DefinesCssVariable", "Reads", "Writes", "PublishesTo", "SubscribesTo", "DefinesConfig", "OverridesConfig", "ReadsConfig", "BindsConfig",
 ]
 FILE_ROLES = ["Source", "Test", "Migration", "Snapshot", "Generated", "BuildArtifact", "Configuration", "Unknown"]
-#: Groups of edge types.
+#: Groups of edge types.
 STRUCTURAL = [
     "Calls", "Uses", "DependsOn", "UsesClass", "UsesId", "DefinesSelector", "ImportsStyle", "UsesCssVariable", "DefinesCssVariable",
     "Reads", "Writes", "PublishesTo", "SubscribesTo",
@@ -24,10 +24,10 @@ COARSE = ["Calls", "Uses", "DependsOn"]
 ENDPOINT = ["Calls", "Uses", "Reads", "Writes", "PublishesTo", "SubscribesTo"]
 COMMUNITY = ["Calls", "Uses", "UsesClass", "DependsOn", "Contains"]
 COVERING = ["Calls", "Uses", "DependsOn", "UsesClass", "UsesId", "DefinesSelector", "ImportsStyle", "UsesCssVariable", "DefinesCssVariable"]
-#: Vertex types that stand beside the code.
+#: Vertex types that stand beside the code.
 WORKFLOW = ["ApiEndpoint", "File", "ExternalConcept", "MessageTopic", "ExternalService", "Diagnostic", "ConfigurationFile", "ConfigurationKey", "ConfigurationEntry"]
 PRODUCTION_ROLES = ["Source", "Unknown"]
-#: Default layers: name and the namespace parts that show it; forbidden dependencies between layers, in order.
+#: Default layers, name and the namespace parts that show it; forbidden dependencies between layers, in order.
 LAYERS = {
     "Core": [".Core", ".Domain"],
     "Application": [".Application"],

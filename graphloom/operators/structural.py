@@ -186,6 +186,10 @@ def members(nodes: DataFrame, edges: DataFrame, kind: str = "Class") -> DataFram
     return one.unionByName(two).distinct()
 
 
+#: Names and path of wiring, whose gaps come last.
+GAP_LAST_NAMES, GAP_LAST_ENDS, GAP_LAST_PATH = ["dependencyinjection", "neo4joptions", "embeddingoptions"], ["options", "endpoints", "tools"], "/program.cs"
+
+
 def coverage_gaps(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
     """Production classes and methods that no test calls or uses, nor, for classes, any of their members."""
     prod = nodes.where(F.col("type").isin("Class", "Method") & F.col("file_role").isin(PRODUCTION_ROLES))
@@ -196,10 +200,9 @@ def coverage_gaps(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataF
     known = nodes.select(F.col("id").alias("src"))
     fan = edges.where(F.col("type").isin(COVERING)).join(known, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("fan_in"))
     name, path = F.lower("name"), F.lower(F.coalesce("file_path", F.lit("")))
-    plumbing = (
-        path.contains("/program.cs") | name.isin("dependencyinjection", "neo4joptions", "embeddingoptions")
-        | name.endswith("options") | name.endswith("endpoints") | name.endswith("tools")
-    )
+    plumbing = path.contains(GAP_LAST_PATH) | name.isin(GAP_LAST_NAMES)
+    for end in GAP_LAST_ENDS:
+        plumbing = plumbing | name.endswith(end)
     return (
         open_.join(fan, "id", "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0)).cast("long"))
         .orderBy(plumbing.cast("int"), F.desc("fan_in"), F.desc(F.coalesce("line_count", F.lit(0))), F.desc(F.coalesce("change_count", F.lit(0))), "type", "name", "id")
