@@ -405,7 +405,7 @@ def graph_search(ws: Workspace, graph: DataFrame, vecs: DataFrame, queries: Data
     keep = lambda df, n: df.withColumn("n", F.row_number().over(best)).where(F.col("n") <= n).drop("n")
     scored = lambda df: df.select("q", "cls", "x", "y").mapInArrow(lambda b: _scores(b, dim, "<i2"), "q bigint, cls bigint, cosine double")
     # A stated query set against a bounded set of entries.
-    state = ws.cut(keep(scored(x.join(F.broadcast(start), F.lit(True))), beam).withColumn("seen", F.lit(False)))
+    state = ws.cut(keep(scored(x.repartition("q").join(F.broadcast(start), F.lit(True))), beam).withColumn("seen", F.lit(False)))
     for _ in range(rounds):
         todo = state.where("not seen").select("q", "cls")
         found = todo.join(graph.select("cls", "nbr"), "cls").select("q", "nbr").mapInArrow(_neighbours_of, "q bigint, cls bigint").distinct()
