@@ -68,6 +68,29 @@ def test_bridges_and_articulation_points_against_removal(spark, seed):
     assert {(r["a"], r["b"]) for r in A.bridges(n, e).collect()} == cut
 
 
+@pytest.mark.parametrize("run", [A.bridges, A.articulation_points])
+def test_a_graph_that_one_task_holds_is_not_walked_level_by_level(spark, run):
+    ids = [f"n{i:03d}" for i in range(200)]
+    random.Random(3).shuffle(ids)
+    n, e = plain(spark, [*zip(ids, ids[1:]), ("x", "y"), ("y", "z"), ("z", "x")])
+    sc = spark.sparkContext
+    sc.setJobGroup("held", "held")
+    got = run(n, e).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("held"))
+    sc.setJobGroup("", "")
+    assert len(got) == (199 if run is A.bridges else 198) and jobs < 60
+    if run is A.bridges:
+        assert {tuple(r["sizes"]) for r in got} == {(200 - k, k) for k in range(1, 101)}
+
+
+@pytest.mark.parametrize("held", [0, A.HELD_LINKS])
+def test_blocks_held_and_by_joins(spark, held, monkeypatch):
+    monkeypatch.setattr(A, "HELD_LINKS", held)
+    n, e = plain(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("b", "a"), ("p", "q"), ("r", "r")])
+    assert {(r["a"], r["b"], *r["sizes"]) for r in A.bridges(n, e).collect()} == {("c", "d", 3, 2), ("d", "e", 4, 1), ("p", "q", 1, 1)}
+    assert {(r["id"], r["parts"]) for r in A.articulation_points(n, e).collect()} == {("c", 2), ("d", 2)}
+
+
 def test_components_of_a_long_chain(spark):
     ids = [f"n{i:03d}" for i in range(60)]
     random.Random(5).shuffle(ids)
