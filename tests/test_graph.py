@@ -287,3 +287,27 @@ def test_intents(spark):
     ask = lambda q: {r["id"] for r in T.answer_intent(n, e, q).collect()}
     assert ask("implementations of I") == {"A"} and ask("who calls i") == {"A", "F"} and ask("members in n") == {"I", "A"} and ask("callees of A") == {"I"}
     assert ask("who calls nobody") == set() and ask("hello") == set()
+
+
+def most_rows(plan):
+    """The most rows that an operator of an executed plan gave."""
+    m = plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([m.get().value() if m.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_calls_do_not_meet_their_candidates_one_by_one(spark):
+    m = spark.range(300).selectExpr("'m' || id as id", "'f' as name", "0 as required", "1 as total", "false as variadic", "'o' || id as owner", "'x' || id % 7 as file", "'n' || id % 50 as namespace")
+    m = m.unionByName(m.where("id = 'm5'").selectExpr("'g' as id", "'g' as name", "required", "total", "variadic", "owner", "file", "namespace"))
+    c = spark.range(400).selectExpr(
+        "id as call_id", "case when id = 8 then null when id = 9 then 'h' when id = 10 then 'g' else 'f' end as name", "case when id = 12 then null when id = 16 then 5 else 1 end as args", "'o' || id as src_type",
+        "'x9' as src_file", "'n9' as src_namespace", "case when id = 4 then 'o7' end as receiver", "element_at(array('Typed', 'This', 'Unqualified', 'Chained'), cast(id % 4 + 1 as int)) as kind",
+    )
+    df = X.resolve_calls(c, m)
+    got = {r["call_id"]: (r["target"], r["tier"], r["disposition"]) for r in df.collect()}
+    assert [got[i] for i in (1, 3, 4, 8, 9, 10, 12, 16)] == [
+        ("m1", "own", "resolved"), (None, None, "indeterminate"), ("m7", "receiver", "resolved"), (None, None, "indeterminate"), (None, None, "external"), ("g", "sole", "resolved"),
+        (None, None, "indeterminate"), (None, None, "unresolved"),
+    ]
+    assert len(got) == 400 and got[302] == (None, None, "indeterminate")
+    assert most_rows(df._jdf.queryExecution().executedPlan()) <= 400
