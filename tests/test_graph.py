@@ -311,3 +311,16 @@ def test_calls_do_not_meet_their_candidates_one_by_one(spark):
     ]
     assert len(got) == 400 and got[302] == (None, None, "indeterminate")
     assert most_rows(df._jdf.queryExecution().executedPlan()) <= 400
+
+
+def test_outcomes_are_worked_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    o = spark.range(10).selectExpr("id", "if(id < 8, 'resolved', 'external') as disposition", "if(id < 8, 'sole', null) as reason")
+    got = {tuple(r) for r in X.accounting(o.coalesce(1).mapInArrow(count, o.schema)).collect()}
+    assert got == {("resolved", "sole", 8, "0,1,2"), ("external", None, 2, "8,9")} and made.value == 10
