@@ -72,6 +72,16 @@ def test_extraction_suggestions(spark):
     assert (r["score"], r["confidence"], r["is_primary"]) == (6 + 3 + 3 + 2 - 1 + 2, "Medium", True)
 
 
+def test_extraction_plan_reads_the_graph_from_tables(spark):
+    """However large the plan of the graph is, that of the report is not."""
+    n, e = spark.createDataFrame([{"id": "a"}], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA)
+    for k in range(40):
+        n = n.join(spark.range(1).selectExpr(f"'n{k}' as id"), "id", "left")
+    df = R.extraction_suggestions(n, e, n.select("id", F.col("name").alias("community")))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") < 40
+
+
+
 def test_implementation_patterns(spark):
     n, e = graph(spark, [
         {"id": "s", "name": "SaveTray", "ns": "A.B.C.D", "path": "src/s.cs"}, {"id": "u", "name": "Use", "ns": "U", "path": "src/u.cs"}, {"id": "tb", "type": "DatabaseTable", "ns": None},
