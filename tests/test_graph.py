@@ -113,6 +113,15 @@ def test_betweenness_of_a_long_chain_and_a_square(spark):
     assert {r["id"]: r["score"] for r in A.betweenness(n, e, sources=n.where("id = 'a'")).collect()} == {"b": 0.5, "c": 0.0}
 
 
+def test_betweenness_of_a_wide_and_a_narrow_graph(spark):
+    """Fronts of few and of most nodes: two hubs over forty leaves, and a tail."""
+    leaves = [f"l{i:02d}" for i in range(40)]
+    got = {r["id"]: r["score"] for r in A.betweenness(*plain(spark, [(h, x) for h in "pq" for x in leaves] + [("p", "t"), ("t", "u")])).collect()}
+    # A leaf is on one of 40 ways from q to each of p, t and u; p on half the ways of leaves, on all those of t and u but their own.
+    assert got["l00"] == pytest.approx(3 / 40) and got["t"] == pytest.approx(42) and got["u"] == 0
+    assert got["q"] == pytest.approx(40 * 39 / 4) and got["p"] == pytest.approx(40 * 39 / 4 + 2 * 41)
+
+
 @pytest.mark.parametrize("name", ["ref_A2_betweenness", "ref_A3_articulation_points", "ref_A4_bridges", "ref_A8_risky_core"])
 def test_algorithms_read_all_projects(spark, name):
     """The graph and the operator are what the query was registered with; no node is of a named project."""
